@@ -51,7 +51,7 @@ def quoted(name: str) -> str:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the size of ``df``: no job runs."""
-    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(found, 1 << 50)
 
 

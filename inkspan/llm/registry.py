@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, substrings
 
-QUERIES = {"op6_mixing": mixing.op6_mixing}
-ORACLE_SQL = {"op6_mixing": mixing.OP6_SQL}
+QUERIES = {"op5_substrings": substrings.op5_substrings, "op6_mixing": mixing.op6_mixing}
+ORACLE_SQL = {"op5_substrings": substrings.OP5_SQL, "op6_mixing": mixing.OP6_SQL}
