@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, substrings
+from . import mixing, nearby, substrings
 
-QUERIES = {"op5_substrings": substrings.op5_substrings, "op6_mixing": mixing.op6_mixing}
+QUERIES = {
+    "op5_substrings": substrings.op5_substrings,
+    "op6_mixing": mixing.op6_mixing,
+    "op9_nearby": nearby.op9_nearby,
+}
 ORACLE_SQL = {"op5_substrings": substrings.OP5_SQL, "op6_mixing": mixing.OP6_SQL}
