@@ -60,6 +60,22 @@ def held_out(column, modulus: int, remainder: int):
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def labelled(labels: DataFrame, label: str, modulus: int, remainder: int, doc_id: str = "doc_id") -> DataFrame:
+    """``(ident, y)``: the rows to learn from, one for each id whose labels agree and are 0 or 1.
+
+    Ids whose crc32 leaves ``remainder`` are held out; null ids and labels teach nothing.
+    """
+    rows = labels.select(F.col(quoted(doc_id)).alias("ident"), F.col(quoted(label)).cast("int").alias("y"))
+    rows = rows.filter("ident is not null and y in (0, 1)").filter(~held_out(F.col("ident"), modulus, remainder))
+    return rows.groupBy("ident").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("ident", "y")
+
+
+def bounded(rows: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """At most ``most`` of ``(ident, y)``, the first in a seeded order: small enough to broadcast."""
+    order = F.xxhash64(F.col("ident").cast("string"), F.lit(seed))
+    return written(rows.orderBy(order, "ident").limit(most))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list of non-null longs.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, nearby, substrings
+from . import mixing, nearby, quality, substrings
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op5_substrings": substrings.op5_substrings,
     "op6_mixing": mixing.op6_mixing,
     "op9_nearby": nearby.op9_nearby,

@@ -93,9 +93,10 @@ def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         i = j
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> Words:
+def split(data: np.ndarray, offsets: np.ndarray, between: np.ndarray | None = None) -> Words:
+    """Words of each row; ``between`` marks other byte values that are not in a word."""
     n = len(data)
-    space = _SPACE[data]
+    space = (_SPACE if between is None else between)[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.empty(n, bool)
@@ -135,6 +136,24 @@ def hashes(w: Words, lower: bool = False, length: np.ndarray | None = None) -> n
         return mix(np.add.reduceat(_TABLE[raw] * powers(int(_M), int(size.max()) + 1)[own], at) + size.astype(U64))
 
 
+def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over offsets[i] .. offsets[i+1]-1."""
+    total = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "bui" else np.float64)
+    np.cumsum(values, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def distinct_per_row(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Number of distinct hashes of each row."""
+    if not len(h):
+        return np.zeros(len(first) - 1, np.int64)
+    row = np.repeat(np.arange(len(first) - 1, dtype=U64), np.diff(first))
+    key = np.sort((row << U64(40)) | (h & U64((1 << 40) - 1)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.bincount((key[new] >> U64(40)).astype(np.int64), minlength=len(first) - 1)
+
+
 def hash_text(word: str) -> int:
     """The hash that :func:`hashes` gives one word."""
     raw = np.frombuffer(word.encode(), np.uint8)
