@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import bounded, held_out, labelled, quoted, table, written
+from .common import held_out, labelled, quoted, table, written
 
 #: The statistics, in the order of the vector.
 NAMES = (

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, nearby, quality, substrings
+from . import mixing, nearby, quality, substrings, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_substrings": substrings.op5_substrings,
     "op6_mixing": mixing.op6_mixing,
     "op9_nearby": nearby.op9_nearby,
