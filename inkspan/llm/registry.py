@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, nearby, pieces, quality, substrings, toxicity
+from . import matroska, mixing, nearby, pieces, quality, substrings, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_substrings": substrings.op5_substrings,
     "op6_mixing": mixing.op6_mixing,
+    "op7_matroska": matroska.op7_matroska,
     "op8_pieces": pieces.op8_pieces,
     "op9_nearby": nearby.op9_nearby,
 }
