@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import matroska, mixing, nearby, pieces, quality, substrings, toxicity
+from . import matroska, mixing, nearby, pieces, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op3_warc": warc.op3_warc,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_substrings": substrings.op5_substrings,
     "op6_mixing": mixing.op6_mixing,
@@ -13,4 +14,6 @@ QUERIES = {
     "op8_pieces": pieces.op8_pieces,
     "op9_nearby": nearby.op9_nearby,
 }
-ORACLE_SQL = {"op5_substrings": substrings.OP5_SQL, "op6_mixing": mixing.OP6_SQL}
+ORACLE_SQL = {
+    "op3_warc": warc.OP3_SQL,
+   "op5_substrings": substrings.OP5_SQL, "op6_mixing": mixing.OP6_SQL}
