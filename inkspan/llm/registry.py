@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import matroska, mixing, nearby, pieces, quality, substrings, toxicity, warc
+from . import extraction, matroska, mixing, nearby, pieces, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_extraction": extraction.op2_extraction,
     "op3_warc": warc.op3_warc,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_substrings": substrings.op5_substrings,
