@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, matroska, mixing, nearby, pieces, quality, substrings, toxicity, warc
+from . import extraction, matroska, mixing, nearby, neighbours, pieces, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_matroska": matroska.op7_matroska,
     "op8_pieces": pieces.op8_pieces,
     "op9_nearby": nearby.op9_nearby,
+    "op10_neighbours": neighbours.op10_neighbours,
 }
 ORACLE_SQL = {
     "op3_warc": warc.OP3_SQL,
