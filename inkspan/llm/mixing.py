@@ -174,7 +174,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as the mix repeats it."""
     rows = mix(docs, **options)
     n = fresh(rows, "copy")
-    return rows.withColumn(n, F.explode(F.expr("sequence(1L, mix_repeats)"))).select(
+    # sequence(1, 0) would count down.
+    return rows.filter("mix_repeats > 0").withColumn(n, F.explode(F.expr("sequence(1L, mix_repeats)"))).select(
         [F.col(quoted(c)) for c in docs.columns]
     )
 
@@ -192,7 +193,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size,
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size,
          md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
   FROM documents),
 s AS (

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -289,7 +290,10 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = 35) -> Da
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns text, spans, then others: the others with n_words, n_removed and kept text put before."""
+    """Columns text, spans, then others: the others with n_words, n_removed and kept text put before.
+
+    A first other column named ``untouched`` asks for the text as it is where nothing goes.
+    """
     for batch in batches:
         data, off = W.utf8(batch.column(0))
         spans = batch.column(1)
@@ -312,18 +316,21 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = ends[1:][left > 0] - 1
             joined = np.delete(joined, last)
             ends[1:] -= np.cumsum(left > 0)
-            text = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(ends.tobytes()), pa.py_buffer(joined.tobytes()))
+            text = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(ends.tobytes()), pa.py_buffer(joined.tobytes())).cast(pa.string())
+            if batch.schema.names[2:3] == ["untouched"]:
+                text = pc.if_else(pa.array(left == w.counts), batch.column(0).slice(i, j - i), text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w.counts, pa.int64()), pa.array(w.counts - left, pa.int64()), text.cast(pa.string()), *[batch.column(c).slice(i, j - i) for c in range(2, batch.num_columns)]],
+                [pa.array(w.counts, pa.int64()), pa.array(w.counts - left, pa.int64()), text, *[batch.column(c).slice(i, j - i) for c in range(2, batch.num_columns)]],
                 names=["n_words", "n_removed", "kept", *batch.schema.names[2:]],
             )
 
 
-def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, keep=None) -> DataFrame:
+def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, keep=None, untouched: bool = False) -> DataFrame:
     """Removes each word covered by a window whose word sequence also starts elsewhere.
 
     Returns the columns ``keep`` (default: all but the text) with ``sub_words``,
-    ``sub_removed`` (longs) and ``sub_kept``, the kept words joined by one space.
+    ``sub_removed`` (longs) and ``sub_kept``, the kept words joined by one space
+    (with ``untouched``, the very text where no word goes).
     Windows are judged on the input.  Null text counts as none; a text of fewer
     than ``window`` words keeps them all; repeated rows repeat each other's
     windows; ids are not used, so null or repeated ids do no harm; an empty
@@ -349,6 +356,15 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, keep=
     )
 
 
+def without_repeated(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
+    """``docs`` with the words of repeated windows gone from ``text``; other rows and columns stay as they are.
+
+    A null text becomes empty.
+    """
+    rows = remove_repeated(docs, text, window, untouched=True).withColumnRenamed("sub_kept", text)
+    return rows.select([F.col(quoted(c)) for c in docs.columns])
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeated(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return rows.select(
