@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lazy import pandas
+
 
 def canonical_target(c: Column) -> Column:
     """Forward slashes; no leading ``./`` or ``/``, no final ``.md``; a ``#fragment`` stays."""
@@ -17,7 +19,7 @@ def canonical_target(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\.md$", ""))
 
 
-@F.pandas_udf("string")
+@pandas("string")
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lazy import pandas
 from ..functions.path import is_safe, media_type
 from ..schema import ASSETS
 from ..sources import frontmatter as fm
@@ -31,7 +32,7 @@ def declared_in(front: dict) -> list[dict]:
     return out
 
 
-@F.pandas_udf(_DECLARED)
+@pandas(_DECLARED)
 def _declared(states: pd.Series, yamls: pd.Series) -> pd.Series:
     return pd.Series([declared_in(fm.load(y) or {}) if s == fm.OK else [] for s, y in zip(states, yamls)])
 

@@ -6,12 +6,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lazy import pandas
 from ..functions import documents as D
 
 _OUT = "struct<text:string,metadata:map<string,string>,error_code:string,error:string>"
 
 
-@F.pandas_udf(_OUT)
+@pandas(_OUT)
 def _extract(names: pd.Series, contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([D.extract(n or "", None if c is None else bytes(c)) for n, c in zip(names, contents)], columns=["text", "metadata", "error_code", "error"])
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lazy import pandas
+
 #: Device names that some systems reserve.
 RESERVED = ("con", "prn", "aux", "nul", *(f"com{k}" for k in range(1, 10)), *(f"lpt{k}" for k in range(1, 10)))
 DEPTH = 64
@@ -33,7 +35,7 @@ def alias(path: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFC", path).casefold())
 
 
-@F.pandas_udf("struct<path:string,alias:string>")
+@pandas("struct<path:string,alias:string>")
 def _portable(s: pd.Series) -> pd.DataFrame:
     own = s.map(lambda p: portable(p) if p is not None else None)
     return pd.DataFrame({"path": own, "alias": own.map(lambda p: alias(p) if p is not None else None)})

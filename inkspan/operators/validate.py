@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lazy import pandas
 from ..functions import text as T
 from ..functions.link import canonical_target
 from ..functions.path import bare, is_content, matches_globs
@@ -59,7 +60,7 @@ def _fact(value) -> dict:
     return {"kind": kind, "text": fm.scalar(value), "items": fm.listed(value) if value is not None else [], "flat": flat}
 
 
-@F.pandas_udf(_FACTS)
+@pandas(_FACTS)
 def _facts(states: pd.Series, yamls: pd.Series) -> pd.DataFrame:
     out = []
     for state, raw in zip(states, yamls):

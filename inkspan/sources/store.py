@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lazy import pandas
 from ..errors import NOT_A_STORE, StoreError
 from ..functions import path as P
 from ..schema import ASSETS, LAYERS, LOG, RECORDS
@@ -103,7 +104,7 @@ def files(spark: SparkSession, store: Store, layer: str | None = None, folder: s
     return described(rows.mapInPandas(_read(store.root), "path string, size long, content binary"))
 
 
-@F.pandas_udf("struct<fm_state:string,fm_yaml:string,body:string,body_line:int>")
+@pandas("struct<fm_state:string,fm_yaml:string,body:string,body_line:int>")
 def _split(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([fm.split(t or "") for t in text], columns=["fm_state", "fm_yaml", "body", "body_line"])
 
@@ -162,7 +163,7 @@ def _cut(schema: str) -> list[str]:
 _EDGE = "array<struct<target:string,dst_key:string,region:string,line:int,start:int,end:int,raw:string,alias:string>>"
 
 
-@F.pandas_udf(_EDGE)
+@pandas(_EDGE)
 def _edges(text: pd.Series) -> pd.Series:
     return text.map(lambda t: fm.edges(t or ""))
 
@@ -175,7 +176,7 @@ def edges(rows: DataFrame) -> DataFrame:
 _SECTION = "array<struct<heading:string,level:int,line:int,body:string>>"
 
 
-@F.pandas_udf(_SECTION)
+@pandas(_SECTION)
 def _sections(text: pd.Series) -> pd.Series:
     return text.map(lambda t: fm.sections(t or ""))
 
