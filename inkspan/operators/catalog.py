@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,8 +115,6 @@ def json_line(r) -> str:
 
 def json_lines(records: DataFrame) -> DataFrame:
     """``(folder, path, place, json)``: the complete catalogue lines of each type-folder, and of loose files by layer."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def line(r: pd.DataFrame) -> pd.Series:
         return pd.Series([json_line(x) for x in r.to_dict("records")])
