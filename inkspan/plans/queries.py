@@ -611,3 +611,95 @@ def match_key_value_groups(spark, sf):
 @stated("SELECT c_custkey, c_acctbal = 1863.84 AS equal FROM customer")
 def match_number_text(spark, sf):
     return tb.customers(spark, sf).select(F.element_at("tokens", "c_custkey")[0]["num"].cast("long").alias("c_custkey"), match.where("c_acctbal", "1.86384e3").alias("equal"))
+
+
+# -- more rules --------------------------------------------------------------------------------------------------------
+
+
+def _by_code(parts) -> DataFrame:
+    return validate.united(parts).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@stated("SELECT 'FM_MISSING_TYPE' AS code, count(*) AS n FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'FM_MISSING_CREATED', count(*) FROM orders WHERE o_orderpriority = '5-LOW' "
+        "UNION ALL SELECT 'FM_BAD_TIMESTAMP', count(*) FROM orders WHERE o_orderpriority = '2-HIGH' UNION ALL SELECT 'FM_BAD_META_TYPE', count(*) FROM orders WHERE o_orderstatus <> 'F' "
+        "UNION ALL SELECT 'FM_BAD_ID', count(*) FROM orders WHERE contains(o_orderpriority, ' ')")
+def validate_frontmatter_rules(spark, sf):
+    created = F.when(F.col("o_orderpriority") == "2-HIGH", "1996-01-01").when(F.col("o_orderpriority") != "5-LOW", "1996-01-01T00:00:00Z")
+    rows = _fields(tb.read(spark, sf, "orders"), F.col("o_orderkey"), type=F.nullif("o_orderstatus", F.lit("P")), created=created, updated=F.lit("1996-01-01T00:00:00+01:00"),
+                   summary=F.lit("x"), id=F.col("o_orderpriority"), **{"meta-type": F.when(F.col("o_orderstatus") == "F", "fact").otherwise("odd")})
+    rows = rows.withColumns({"utf8_ok": F.lit(True), "malformed": F.lit(False), "body": F.lit(""), "flow": F.array().cast("array<string>")})
+    return _by_code(validate.file_rules(rows, validate.Config()))
+
+
+@stated("SELECT 'SCHEMA_LINK_PREFIX_MISMATCH' AS code, count(*) AS n FROM customer WHERE c_mktsegment = 'MACHINERY'")
+def validate_link_prefix(spark, sf):
+    to = F.concat(F.lit("[["), F.when(F.col("c_mktsegment") == "MACHINERY", "records/people/").otherwise("records/companies/"), F.col("c_nationkey").cast("string"), F.lit("|shown]]"))
+    return _by_code(validate.schema_rules(_fields(tb.read(spark, sf, "customer"), F.col("c_custkey"), company=to), _schema(_spec("company", link_prefix="records/companies/"))))
+
+
+@stated("SELECT 'POLICY_IGNORED_TYPE_PRESENT' AS code, count(*) AS n FROM customer WHERE c_mktsegment = 'MACHINERY' UNION ALL "
+        "SELECT 'POLICY_IGNORED_TYPE_DERIVED', count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY'")
+def validate_ignored_types(spark, sf):
+    config = validate.Config(ignored=["machinery"])
+    people = tb.customers(spark, sf)
+    own = _fields(tb.read(spark, sf, "customer"), F.col("c_custkey"), type=F.lower("c_mktsegment"))
+    own = own.withColumns({"utf8_ok": F.lit(True), "malformed": F.lit(False), "body": F.lit(""), "flow": F.array().cast("array<string>")})
+    derived = _fields(tb.read(spark, sf, "orders"), F.col("o_orderkey"), derived_from=F.concat(F.lit("[[records/customers/"), F.col("o_custkey").cast("string"), F.lit("]]")))
+    return _by_code([*validate.file_rules(own, config), *validate.derived_rules(derived, people, config)]).filter(F.col("code").startswith("POLICY"))
+
+
+@stated("WITH f AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1) "
+        "SELECT 'INDEX_MISSING' AS code, count(*) AS n FROM f WHERE nation = 3 UNION ALL SELECT 'INDEX_MISSING_ENTRY', count(*) FROM customer WHERE c_nationkey <> 3 AND c_mktsegment = 'MACHINERY' "
+        "UNION ALL SELECT 'INDEX_SUMMARY_MISMATCH', count(*) FROM customer WHERE c_nationkey <> 3 AND c_mktsegment = 'HOUSEHOLD' UNION ALL SELECT 'INDEX_STALE_ENTRY', count(*) FROM f WHERE nation <> 3 "
+        "UNION ALL SELECT 'INDEX_ORPHAN', 1 UNION ALL SELECT 'INDEX_WRONG_SCOPE', 1 UNION ALL SELECT 'INDEX_JSONL_MISSING', count(*) FROM f WHERE nation = 5 "
+        "UNION ALL SELECT 'INDEX_JSONL_DESYNC', count(*) FROM customer WHERE c_nationkey <> 5 AND c_mktsegment = 'BUILDING' UNION ALL SELECT 'INDEX_JSONL_STALE', count(*) FROM customer WHERE c_nationkey <> 5 AND c_mktsegment = 'FURNITURE'")
+def validate_index_rules(spark, sf):
+    folder = F.concat(F.lit("records/n"), F.element_at("tokens", "c_nationkey")[0]["text"])
+    rows = tb.customers(spark, sf).withColumn("type_folder", folder)
+    shown = F.when(F.col("type") == "household", "another").otherwise(F.col("summary"))
+    page = lambda d, entry, summary, says: d.select(
+        F.col("type_folder").alias("folder"), F.concat("type_folder", F.lit("/index.md")).alias("path"), F.lit("type-folder").alias("scope"), says.alias("says"), F.lit(1).alias("line"),
+        entry.cast("string").alias("entry"), summary.alias("summary"))
+    listed = page(rows.filter("type_folder <> 'records/n3' and type <> 'machinery'"), F.col("path"), shown, F.col("type_folder"))
+    stale = page(rows.filter("type_folder <> 'records/n3'").select("type_folder").distinct(), F.lit("records/gone"), F.lit("x"), F.col("type_folder"))
+    orphan = page(spark.range(1).select(F.lit("records/none").alias("type_folder")), F.lit(None), F.lit("x"), F.lit("records/other"))
+    stated_rows = rows.filter("type_folder <> 'records/n5' and type <> 'building'")
+    sidecar = stated_rows.select(
+        F.concat("type_folder", F.lit("/index.jsonl")).alias("file"), "path", "type", F.when(F.col("type") == "furniture", "old").otherwise(F.col("summary")).alias("summary"), "tags", "links",
+        F.col("created_raw").alias("created"), F.col("updated_raw").alias("updated"))
+    return _by_code(validate.index_rules(rows, listed.unionByName(stale).unionByName(orphan), sidecar))
+
+
+@stated("WITH d AS (SELECT DISTINCT p_brand, p_type FROM part), m AS (SELECT DISTINCT p_brand FROM part WHERE p_brand < 'Brand#2') "
+        "SELECT 'ASSET_UNDECLARED' AS code, count(*) AS n FROM d WHERE p_brand NOT IN (SELECT p_brand FROM m) UNION ALL SELECT 'ASSET_WRAPPER_BROKEN', count(*) FROM m UNION ALL SELECT 'ASSET_MANIFEST_ORPHAN', 1")
+def validate_asset_rules(spark, sf):
+    part = tb.read(spark, sf, "part")
+    declared = part.select(F.col("p_type").alias("wrapper"), F.col("p_brand").alias("path"), F.lit(True).alias("required")).distinct()
+    manifest = part.filter("p_brand < 'Brand#2'").select(F.col("p_brand").alias("path")).distinct().withColumn("wrappers", F.array(F.lit("ECONOMY"), F.lit("gone.md")))
+    manifest = manifest.unionByName(spark.range(1).select(F.lit("nobody's").alias("path"), F.array(F.lit("ECONOMY")).alias("wrappers")))
+    paths = part.select(F.col("p_type").alias("path")).distinct()
+    return _by_code(validate.asset_rules(declared, manifest, paths))
+
+
+@stated("SELECT 'LOG_UNKNOWN_KIND' AS code, count(*) AS n FROM events WHERE event_type <> 'click' UNION ALL SELECT 'LOG_BAD_TIMESTAMP', count(*) FROM events WHERE event_type = 'error'")
+def validate_log_rules(spark, sf):
+    log = tb.log(spark, sf).withColumns({"ts": F.when(F.col("kind") != "error", F.col("ts")), "kind": F.when(F.col("kind") == "click", "update").otherwise(F.col("kind"))})
+    return _by_code(validate.log_rules(log)).filter("code <> 'LOG_OUT_OF_ORDER'")
+
+
+@stated("SELECT 'WIKI_LINK_SHORT_FORM' AS code, count(*) AS n FROM customer WHERE c_mktsegment = 'MACHINERY' UNION ALL SELECT 'WIKI_LINK_HAS_EXTENSION', count(*) FROM customer WHERE c_mktsegment = 'HOUSEHOLD' "
+        "UNION ALL SELECT 'WIKI_LINK_BROKEN', count(*) FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_nationkey > 20")
+def validate_link_forms(spark, sf):
+    nation = F.col("c_nationkey").cast("string")
+    full = F.concat(F.lit("records/nations/"), nation)
+    target = F.when(F.col("c_mktsegment") == "MACHINERY", nation).when(F.col("c_mktsegment") == "HOUSEHOLD", F.concat(full, F.lit(".md"))).otherwise(full)
+    edges = tb.read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("src"), target.alias("target"), full.alias("dst_key"), F.lit(1).alias("line"))
+    paths = tb.read(spark, sf, "nation").filter("n_nationkey <= 20").select(F.concat(F.lit("records/nations/"), F.col("n_nationkey").cast("string"), F.lit(".md")).alias("path"))
+    return _by_code(validate.link_rules(edges, paths, everything=False))
+
+
+@stated("SELECT p_type AS parent, count(DISTINCT p_brand) AS n, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands, max(p_size) AS top, arg_max(p_name, (p_size, p_partkey)) AS largest FROM part GROUP BY 1")
+def aggregate_wrappers(spark, sf):
+    brands = F.array_sort(F.collect_set("p_brand"))
+    return tb.read(spark, sf, "part").groupBy(F.col("p_type").alias("parent")).agg(
+        F.size(F.collect_set("p_brand")).cast("long").alias("n"), F.array_join(brands, ",").alias("brands"), F.max("p_size").alias("top"), F.max_by("p_name", F.struct("p_size", "p_partkey")).alias("largest"))
