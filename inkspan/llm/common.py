@@ -34,9 +34,22 @@ def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes the rows as a table in the shared folder and reads it."""
     path = f"{shared_dir(df.sparkSession)}/inkspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def forget_written(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`written` left in the shared folder; for when no result that reads them is needed."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever its letters' case."""
     have, name = {c.lower() for c in df.columns}, f"__{base}"

@@ -234,7 +234,12 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, every column as it was."""
+    """The rows of ``docs`` whose score reaches ``threshold``, every column as it was.
+
+    Null and empty texts are judged as texts without words, repeated rows
+    alike; a row without an id is judged like any other; an empty table gives
+    no rows.
+    """
     model = train(written(measure(docs, [doc_id], text)), labels, "quality", doc_id)
     rest = [F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*rest, F.coalesce(F.col(quoted(text)), F.lit("")).alias("text_in"))

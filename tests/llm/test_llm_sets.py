@@ -339,3 +339,9 @@ def test_pipeline_equals_its_stages_on_fixtures(spark, tmp_path):
 def test_word_sums():
     assert W.per_row(np.array([1, 2, 3]), np.array([0, 2, 2, 3])).tolist() == [3, 0, 3]
     assert W.distinct_per_row(np.array([1, 1, 2], W.U64), np.array([0, 2, 3])).tolist() == [1, 1]
+
+
+def test_written_tables_can_be_deleted(spark):
+    common.forget_written(spark)
+    df = common.written(spark.range(3))
+    assert df.count() == 3 and common.forget_written(spark) == 1 and common.forget_written(spark) == 0
