@@ -344,10 +344,11 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, keep=
         _digest(text).alias(key), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text_in"),
         *[F.col(quoted(c)).alias(f"keep{i}") for i, c in enumerate(keep)],
     )
-    rows = rows.join(spans.withColumnRenamed("key", key), key, "left").select(
-        "text_in", "spans", *[f"keep{i}" for i in range(len(keep))]
+    flag = [F.lit(True).alias("untouched")] if untouched else []
+    rows = rows.join(spans.withColumnRenamed("key", key).hint("merge"), key, "left").select(
+        "text_in", "spans", *flag, *[f"keep{i}" for i in range(len(keep))]
     )
-    schema = "n_words long, n_removed long, kept string" + "".join(
+    schema = "n_words long, n_removed long, kept string" + ", untouched boolean" * untouched + "".join(
         f", keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)
     )
     return rows.mapInArrow(_cleaned, schema).select(
