@@ -157,7 +157,7 @@ def _row(target: int, flush: bytes, n: int, blob: bytes) -> pa.RecordBatch:
     })
 
 
-def _candidates(sketch, cells: int, window: int, buckets: int):
+def _candidates(sketch, cells: int, window: int, buckets: int, most: int):
     """The second pass: hashes of windows estimated repeated, by bucket, and each flush's manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,14 +186,14 @@ def _candidates(sketch, cells: int, window: int, buckets: int):
                 a, b = W.windows(h, window)
                 doc = np.searchsorted(w.first, starts, "right") - 1
                 own, doc_at = np.unique(doc, return_inverse=True)
-                for lo in range(0, len(starts), FLUSH):
-                    hi = slice(lo, lo + FLUSH)
+                for lo in range(0, len(starts), most):
+                    hi = slice(lo, lo + most)
                     flush.docs.append((doc_at[hi] + len(flush.keys)).astype(np.uint32))
                     flush.at.append((starts[hi] - w.first[doc[hi]]).astype(np.uint32))
                     flush.h.append((a[starts[hi]], b[starts[hi]].astype(np.uint32)))
                     flush.keys += [keys[int(i + d)].as_py() for d in own]
                     flush.n += len(flush.at[-1])
-                    if flush.n >= FLUSH:
+                    if flush.n >= most:
                         yield from flush.send(buckets)
         yield from flush.send(buckets)
 
@@ -256,6 +256,23 @@ def _ranges(window: int):
     return run
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The union of each text's range lists, as ranges apart from each other."""
+
+    def union(parts: list[bytes]) -> bytes:
+        if len(parts) == 1:
+            return parts[0]
+        spans = np.frombuffer(b"".join(parts), np.uint32).reshape(-1, 2)
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(spans[:, 1])
+        heads = np.flatnonzero(np.append(True, spans[1:, 0] > reach[:-1]))
+        return np.stack([spans[heads, 0], reach[np.append(heads[1:], len(spans)) - 1]], 1).tobytes()
+
+    for batch in batches:
+        spans = pa.array([union(parts) for parts in batch.column(1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=["key", "spans"])
+
+
 def _digest(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary")))
 
@@ -281,12 +298,13 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = 35) -> Da
         merged[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = part
     sketch = spark.sparkContext.broadcast(bytes(merged))
     sent = docs.select(_digest(text).alias("key"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")).mapInArrow(
-        _candidates(sketch, cells, window, buckets), _SENT
+        _candidates(sketch, cells, window, buckets, FLUSH), _SENT
     )
     answered = sent.groupBy("target").applyInArrow(_group, _SENT)
     spans = answered.groupBy("flush").applyInArrow(_ranges(window), "key binary, spans binary")
-    # A text that several flushes hold has the same ranges in each.
-    return spans.groupBy("key").agg(F.max("spans").alias("spans"))
+    # A text that whole flushes hold has the same ranges in each; one cut over flushes has a part in each.
+    parts = spans.groupBy("key").agg(F.collect_set("spans").alias("parts"))
+    return parts.mapInArrow(_united, "key binary, spans binary")
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,6 +57,16 @@ def test_substrings_equal_brute_force(spark):
     assert substrings.remove_repeated(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("flush", [7, 100])
+def test_texts_cut_over_flushes_lose_all_repeats(spark, monkeypatch, flush):
+    monkeypatch.setattr(substrings, "FLUSH", flush)
+    r = random.Random(flush)
+    long = [f"w{r.randrange(10**6)}" for _ in range(500)]
+    rows = [(1, " ".join(long)), (2, " ".join(long)), (3, " ".join(long[200:320]) + " end"), (4, " ".join(long[:150] + ["mid"] + long[150:]))]
+    got = {r.doc_id: (r.sub_removed, r.sub_kept) for r in substrings.remove_repeated(docs(spark, rows)).collect()}
+    assert got == {1: (500, ""), 2: (500, ""), 3: (120, "end"), 4: (500, "mid")}
+
+
 def fingerprint(text, k=3):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     runs = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
