@@ -169,6 +169,55 @@ def test_similar_texts_share_a_class(spark):
     assert similar.similar_classes(d.limit(0)).count() == 0
 
 
+def alike_sets(texts):
+    """Components of texts by brute force: the exact Jaccard similarity of five-word shingles is 0.8 or more."""
+    ids, sets = {}, []
+    for t in texts:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(sorted({ids.setdefault(tuple(w[k : k + 5]), len(ids)) for k in range(max(1, len(w) - 4))}))
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    where = {}
+    for i, s in enumerate(sets):
+        seen = Counter(j for x in s for j in where.get(x, ()))
+        for j, both in seen.items():
+            if 5 * both >= 4 * (len(s) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for x in s:
+            where.setdefault(x, []).append(i)
+    return [find(i) for i in range(len(sets))]
+
+
+def edited(r, base, edits):
+    w = list(base)
+    for k in r.sample(range(len(w)), edits):
+        w[k] = f"e{r.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_similar_classes_equal_brute_force_near_the_line(spark):
+    """Short texts and pairs on both sides of 0.8, each pair on its own."""
+    r = random.Random(5)
+    texts = []
+    for n in [5, 6, 8, 9, 10, 13, 20] * 8 + [49, 94, 184, 400] * 25:
+        base = [f"w{r.randrange(10**9)}" for _ in range(n)]
+        less = max(1, (n - 4) // 9)
+        for other in (edited(r, base, max(1, n // 50)), " ".join(base[: n - less]), " ".join(base[: n - (n - 4) // 5]), " ".join(base[: n - (n - 4) // 5 - 1])):
+            own = [f"{w}x{len(texts)}" for w in base]
+            texts += [" ".join(own), " ".join(f"{w}x{len(texts)}" if w in base else w for w in other.split())]
+    want = alike_sets(texts)
+    got = {x.ident: x.component_id for x in similar.similar_classes(docs(spark, list(enumerate(texts)))).collect()}
+    assert 100 < sum(w != i for i, w in enumerate(want)) < len(texts) // 2
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(0)
     centre = rng.normal(size=(30, 24))
