@@ -218,6 +218,19 @@ def test_similar_classes_equal_brute_force_near_the_line(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_large_groups_of_copies_equal_brute_force(spark):
+    """Thousands of copies edited each on its own; the text that joins them is one of them, or there is none."""
+    r = random.Random(6)
+    base, lost = ([f"w{r.randrange(10**9)}" for _ in range(124)] for _ in range(2))
+    texts = [edited(r, base, r.choice([2, 2, 2, 3, 4])) for _ in range(2500)]
+    texts.insert(1700, " ".join(base))
+    texts += [edited(r, lost, r.choice([1, 2, 3])) for _ in range(400)]
+    want = alike_sets(texts)
+    got = {x.ident: x.component_id for x in similar.similar_classes(docs(spark, list(enumerate(texts)))).collect()}
+    assert max(Counter(want).values()) > 1500 and len(set(want)) > 20
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(0)
     centre = rng.normal(size=(30, 24))
