@@ -408,6 +408,21 @@ def test_pipeline_equals_its_stages_on_fixtures(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(got)
 
 
+def test_near_dedup_stage_keeps_what_brute_force_keeps(spark):
+    """Documents of the fixtures, short texts, pairs on both sides of 0.8 and a group longer than is paired at once."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    texts = [x.text for x in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    for n in [5, 8, 9, 13] * 5 + [49, 94, 400] * 10:
+        base = [f"w{r.randrange(10**9)}" for _ in range(n)]
+        texts += [" ".join(base), " ".join(base[: n - (n - 4) // 5 - r.randrange(2)])]
+    base = [f"w{r.randrange(10**9)}" for _ in range(124)]
+    texts += [edited(r, base, 2) for _ in range(3 * similar.PAIRED)] + [" ".join(base)]
+    kept = corpus_pipeline.deduplicate(spark, docs(spark, list(enumerate(texts))), SF)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(alike_sets(texts)))
+
+
 def test_word_sums():
     assert W.per_row(np.array([1, 2, 3]), np.array([0, 2, 2, 3])).tolist() == [3, 0, 3]
     assert W.distinct_per_row(np.array([1, 1, 2], W.U64), np.array([0, 2, 3])).tolist() == [1, 1]
