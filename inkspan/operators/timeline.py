@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,20 +85,32 @@ def append(root: str, kind: str, obj: str | None, note: str, now: datetime | Non
         text = open(path, encoding="utf-8").read() if os.path.exists(path) else "---\ntype: log\n---\n\n# Curator log\n\n"
         entries = parse_log(text)
         head = "".join(text.splitlines(keepends=True)[: entries[0][4] - 1]) if entries else text
-        old: dict[str, str] = {}
+        lines = text.splitlines(keepends=True)
+        ends = [e[4] - 1 for e in entries[1:]] + [len(lines)]
+        old: dict[str, list[str]] = {}
         kept = ""
-        for t, k, o, n, _ in entries:
-            if t is not None and t.strftime("%Y-%m") < now.strftime("%Y-%m"):
-                old[t.strftime("%Y-%m")] = old.get(t.strftime("%Y-%m"), "") + render_entry(t, k, o, n)
-            elif t is not None:
+        for (t, k, o, n, line), end in zip(entries, ends):
+            if t is None:  # a time that does not exist has no month: the entry stays as it is written
+                own = "".join(lines[line - 1 : end])
+                kept += own if own.endswith("\n") else own + "\n\n"
+            elif t.strftime("%Y-%m") < now.strftime("%Y-%m"):
+                old.setdefault(t.strftime("%Y-%m"), []).append(render_entry(t, k, o, n))
+            else:
                 kept += render_entry(t, k, o, n)
         os.makedirs(os.path.join(root, "log"), exist_ok=True)
-        for month, moved in old.items():
-            name = os.path.join(root, "log", f"{month}.md")
-            have = open(name, encoding="utf-8").read() if os.path.exists(name) else "---\ntype: log\n---\n\n"
-            if moved not in have:  # a writer that broke off after this step is repeated safely
-                _replace(name, have + moved)
+        names = {month: os.path.join(root, "log", f"{month}.md") for month in old}
+        have = {m: open(x, encoding="utf-8").read() if os.path.exists(x) else "---\ntype: log\n---\n\n" for m, x in names.items()}
+        # A writer that broke off after the archives left its mark, and they hold all that is to move.
+        mark = os.path.join(root, "log", ".rotating")
+        archived = {m: Counter(render_entry(t, k, o, n) for t, k, o, n, _ in parse_log(x) if t is not None) for m, x in have.items()}
+        if not (os.path.exists(mark) and all(not Counter(moved) - archived[m] for m, moved in old.items())):
+            if old:
+                _replace(mark, "")
+            for month, moved in old.items():
+                _replace(names[month], have[month] + "".join(moved))
         _replace(path, head + kept + render_entry(now, kind, obj, note))
+        if os.path.exists(mark):
+            os.remove(mark)
 
 
 def _replace(path: str, text: str) -> None:

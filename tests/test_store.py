@@ -217,3 +217,22 @@ def test_merkle(spark):
     assert merkle.portable("a/CON.txt") is None and merkle.portable("a/b.") is None and merkle.portable("cafe\u0301") == "caf\u00e9"
     rows = spark.createDataFrame([("a/B",), ("A/b",), ("x",), ("x/y",), ("ok/z",)], "path string")
     assert sorted(paths(merkle.collisions(rows), "alias")) == ["a/b", "x"]
+
+
+def test_log_append_keeps_undated_and_repeated_entries(tmp_path):
+    from datetime import datetime
+
+    undated = "## [2026-02-30 10:00] update | records/y\n  as written\n\n"
+    old = ["## [2026-01-05 08:00] create | records/x\nnote\n\n", "## [2026-01-06 08:00] update\n\n"]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "2026-01.md").write_text("---\ntype: log\n---\n\n" + old[0])
+    (tmp_path / "log.md").write_text("# Log\n\n" + old[0] + undated + old[0] + old[1])
+    timeline.append(str(tmp_path), "create", None, "", datetime(2026, 2, 1, 8, 0))
+    assert (tmp_path / "log.md").read_text() == "# Log\n\n" + undated + "## [2026-02-01 08:00] create\n\n"
+    assert (tmp_path / "log" / "2026-01.md").read_text() == "---\ntype: log\n---\n\n" + old[0] + old[0] + old[0] + old[1]
+    assert not (tmp_path / "log" / ".rotating").exists()
+    # A writer that broke off between the archive and log.md is repeated without doubles.
+    (tmp_path / "log" / ".rotating").write_text("")
+    (tmp_path / "log.md").write_text("# Log\n\n" + old[0] + old[0] + old[1])
+    timeline.append(str(tmp_path), "create", None, "", datetime(2026, 2, 1, 8, 0))
+    assert (tmp_path / "log" / "2026-01.md").read_text() == "---\ntype: log\n---\n\n" + old[0] + old[0] + old[0] + old[1]
