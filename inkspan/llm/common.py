@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, one machine) a temporary folder
-    is made, and the session is told of it.
+    Only on one machine (``local`` masters, as in tests) may the session have
+    none: a temporary folder is made there, and the session is told of it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="inkspan-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -93,6 +99,60 @@ def bounded(rows: DataFrame, most: int, seed: int = 42) -> DataFrame:
     return written(rows.filter(draw).limit(most))
 
 
+def sorted_lists(batches: Iterator[pa.RecordBatch], most: int, held_rows: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows (key, value) in their order, repeats left out: (keys, values, whether these are of long lists).
+
+    Lists of up to ``most`` values come whole, many at a time; longer ones pass
+    through as their rows come, so that no list is held.
+    """
+
+    def whole(key: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(heads, len(key)))
+        long = np.repeat(size > most, size)
+        for kind in (False, True):
+            if (own := long == kind).any():
+                yield key[own], value[own], kind
+
+    def chunks() -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if batch.num_rows:
+                parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(k) for k, _ in parts) >= held_rows:
+                rest = yield (*(np.concatenate(x) for x in zip(*parts)), False)
+                parts = [rest] if rest is not None else []
+        if parts:
+            yield (*(np.concatenate(x) for x in zip(*parts)), True)
+
+    open_key = last = None
+    source, rest = chunks(), None
+    while True:
+        try:
+            key, value, end = source.send(rest)
+        except StopIteration:
+            return
+        rest = None
+        new = np.append((key[0], value[0]) != last, (key[1:] != key[:-1]) | (value[1:] != value[:-1]))
+        key, value = key[new], value[new]
+        more = 0 if open_key is None else int((key == open_key).sum())
+        if more:
+            yield key[:more], value[:more], True
+            last = key[more - 1], value[more - 1]
+            key, value = key[more:], value[more:]
+        if not len(key):
+            continue
+        cut = len(key) if end else int((key != key[-1]).sum())
+        if cut:
+            yield from whole(key[:cut], value[:cut])
+        open_key = last = None
+        if len(key) - cut > most:
+            yield key[cut:], value[cut:], True
+            open_key, last = key[-1], (key[-1], value[-1])
+        elif cut < len(key):
+            rest = key[cut:], value[cut:]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list of non-null longs.
 
