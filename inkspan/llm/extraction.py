@@ -5,7 +5,8 @@ block passes points for its length and its commas to its ancestors, fewer with
 each level, and every container's points are discounted by its share of link
 text.  The best container is kept with those siblings that score near it or
 read like its paragraphs; what is by its element, role or name no main text
-(menus, banners, notices, adverts, forms, scripts, comments) counts nowhere.
+(menus, banners, adverts, forms, scripts, comments) counts nowhere, and
+names that an article may use too (notice, header, legal) lower its points.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
-#: Elements that never hold main text.
+#: Elements that never hold main text (a form does if an article, a main element or a first heading is in it).
 DROPPED = set("script style noscript template iframe nav footer aside form button select option textarea input svg canvas object embed "
               "head title menu dialog audio video map label fieldset legend xmp noembed noframes".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a class or an id does not rule out.
+WHOLE = HEADINGS | {"html", "body", "main", "#root"}
 #: Elements whose start ends an open paragraph, and elements that end an open one of their kind.
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary", "figcaption"}
 ENDS_OWN = {
@@ -38,61 +42,81 @@ ENDS_OWN = {
     "option": ({"option"}, {"select"}),
 }
 BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "tablist", "toolbar"}
-#: Whole words of a class or id that name something beside the main text.
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsored|sponsor|promo|promoted|promotion|banner|cookies?|consent|gdpr|notice|notices|alert|"
-    r"popup|modal|overlay|newsletter|subscribe|subscription|signup|signin|login|paywall|nav|navbar|navigation|menu|menus|breadcrumbs?|pagination|pager|"
-    r"sidebar|side|rail|aside|widget|widgets|related|recommended|recommendations|trending|popular|share|sharing|social|toolbar|footer|footnav|masthead|"
-    r"topbar|header|comments?|commentlist|disqus|replies|reply|respond|discussion|skip|copyright|legal|disclaimer|hidden)(?:$|[\s_-]|\d)", re.I)
+_WORD = r"(?:^|[\s_-])(?:%s)(?:$|[\s_-]|\d)"
+#: Whole words of a class or id that name something beside the main text wherever it stands.
+BAD_NAME = re.compile(_WORD % (
+    r"ads?|adverts?|advertisement|advertising|adsense|sponsored|sponsor|promo|promoted|promotion|cookies?|consent|gdpr|"
+    r"popup|modal|newsletter|subscribe|subscription|signup|signin|login|paywall|nav|navbar|navigation|menu|menus|breadcrumbs?|pagination|pager|"
+    r"sidebar|related|recommended|recommendations|trending|share|sharing|social|footer|footnav|masthead|topbar|comments?|commentlist|disqus|replies|respond|copyright"), re.I)
+#: Names that do so outside the best container, or where most of the text is links; elsewhere they only lower points.
+DOUBTED_NAME = re.compile(_WORD % r"banner|notices?|alert|overlay|side|rail|aside|widgets?|popular|toolbar|header|reply|discussion|skip|legal|disclaimer|hidden|teasers?", re.I)
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0  -     　]+")
-SCORED = {"p", "pre", "blockquote", "td", "li", "dd", "h2", "h3", "h4"}
+#: Containers whose own text of OWN characters or more makes points for themselves, not only for what is around them.
+BARE, OWN = {"article", "main", "body", "#root", "div", "section", "center", "td"}, 140
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "bad", "score", "chars", "linked", "commas")
+    __slots__ = ("tag", "attrs", "kids", "parent", "bad", "doubted", "under", "score", "chars", "linked", "commas", "own", "own_linked", "own_commas")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, bad: bool) -> None:
-        self.tag, self.attrs, self.parent, self.bad = tag, attrs, parent, bad
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
+        self.tag, self.attrs, self.parent = tag, attrs, parent
         self.kids: list[Node | str] = []
+        self.bad = self.doubted = self.under = False
         self.score = 0.0
-        self.chars = self.linked = self.commas = 0
+        self.chars = self.linked = self.commas = self.own = self.own_linked = self.own_commas = 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(raw)} if raw.strip(" /\n\t\r") else {}
 
 
-def _aside(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
-    """Whether an element is by itself no main text."""
-    if tag in DROPPED:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    if tag == "header" and not inside_article:
-        return True
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return True
-    if attrs.get("role", "").lower() in BAD_ROLE:
-        return True
-    if tag in BLOCK or tag in ("span", "a"):
-        name = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        return name != " " and bool(BAD_NAME.search(name))
-    return False
+def _mark(root: Node) -> None:
+    """Marks what is by its element, role or name no main text (``bad``), or may be none (``doubted``)."""
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        tag, attrs = node.tag, node.attrs
+        if tag in DROPPED:
+            node.bad = not (tag == "form" and any(k.tag in ("article", "main", "h1") for k in _below(node)))
+        elif tag == "header" and not inside:
+            node.bad = True
+        elif attrs and tag not in ("html", "body"):
+            node.bad = (
+                "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in BAD_ROLE
+                or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")))
+            )
+            if not node.bad and tag not in WHOLE and (tag in BLOCK or tag in ("span", "a")):
+                name = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+                if name != " ":
+                    node.bad = bool(BAD_NAME.search(name)) and (tag != "article" or inside)
+                    node.doubted = bool(DOUBTED_NAME.search(name)) or tag == "article" and bool(BAD_NAME.search(name))
+        if not node.bad:
+            inside = inside or tag == "article"
+            stack += [(k, inside) for k in node.kids if isinstance(k, Node)]
+
+
+def _below(node: Node) -> Iterator[Node]:
+    stack = [node]
+    while stack:
+        for kid in stack.pop().kids:
+            if isinstance(kid, Node):
+                yield kid
+                stack.append(kid)
 
 
 def parse(page: str) -> Node:
     """The tree of a page.  End tags may be missing, stray ones are passed over."""
-    root = here = Node("#root", {}, None, False)
+    root = here = Node("#root", {}, None)
     at = 0
-    articles = 0
     while True:
         m = TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
             here.kids.append(text)
         if not m:
+            _mark(root)
             return root
         at = m.end()
         tag = m[2] and m[2].lower()
@@ -107,11 +131,7 @@ def parse(page: str) -> Node:
                     break
                 up = up.parent
             if up.parent is not None:
-                while here is not up:
-                    articles -= here.tag == "article"
-                    here = here.parent
-                articles -= here.tag == "article"
-                here = here.parent
+                here = up.parent
             continue
         attrs = _attributes(m[3] or "")
         if tag in ENDS_P:
@@ -129,35 +149,42 @@ def parse(page: str) -> Node:
                 up = up.parent
             if found is not None:
                 here = found.parent
-        node = Node(tag, attrs, here, here.bad or _aside(tag, attrs, articles > 0))
+        node = Node(tag, attrs, here)
         here.kids.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*(?:>|\\Z)|\\Z", re.I).search(page, at)
             at = end.end()
         elif tag not in VOID and not (m[3] or "").endswith("/") or tag in BLOCK:
-            articles += tag == "article"
             here = node
 
 
 def _measure(root: Node) -> list[Node]:
-    """Counts text, link text and commas of every element; returns elements in page order."""
+    """Counts text, link text and commas of every element, and of its text outside blocks; returns elements in page order."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
+        node.under = node.doubted or node.parent is not None and node.parent.under
         stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.bad)
     for node in reversed(order):
         for kid in node.kids:
             if isinstance(kid, str):
-                text = kid.strip()
-                node.chars += len(text)
-                node.commas += text.count(",") + text.count("、") + text.count("،")
+                n = len(kid.strip())
+                commas = kid.count(",") + kid.count("、") + kid.count("،")
+                node.chars += n
+                node.commas += commas
+                node.own += n
+                node.own_commas += commas
             elif not kid.bad:
                 node.chars += kid.chars
                 node.linked += kid.linked
                 node.commas += kid.commas
+                if kid.tag not in BLOCK:
+                    node.own += kid.own
+                    node.own_linked += kid.own_linked
+                    node.own_commas += kid.own_commas
         if node.tag == "a":
-            node.linked = node.chars
+            node.linked, node.own_linked = node.chars, node.own
     return order
 
 
@@ -165,55 +192,72 @@ def density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
-def _leaf(node: Node) -> bool:
-    """Whether text is an element's own: it holds no block below."""
-    return not any(isinstance(k, Node) and k.tag in BLOCK for k in node.kids)
+def _up(node: Node) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
 
 
 def best(root: Node) -> list[Node]:
-    """The best container and the siblings kept with it, in page order; none for a page without text."""
+    """The best container and the siblings kept with it, in page order; none for a page without text.
+
+    Every block with text of its own passes points; a page where no container
+    scores (all its text is links, say) is its own best container.
+    """
     order = _measure(root)
+    if not root.chars:
+        return []
     containers: list[Node] = []
     for node in order:
-        if not node.chars or not (node.tag in SCORED or node.tag in ("div", "section", "article", "body", "#root", "main") and _leaf(node)):
-            continue
-        if node.tag in ("li", "h2", "h3", "h4") and density(node) > 0.5:
+        if not node.own or node.tag not in BLOCK and node is not root or 2 * node.own_linked > node.own:
             continue
-        points = 1 + node.commas + min(node.chars / 100, 3)
-        up, level = (node if node.tag in ("article", "main", "body", "#root") else node.parent), 0
-        while up is not None and level < 6:
+        points = 1 + node.own_commas + min(node.own / 100, 3)
+        if node.under:
+            points *= 0.3
+        itself = node.parent is None or node.tag in BARE and (node.own >= OWN or node.tag in ("article", "main", "body"))
+        up, at = (node if itself else node.parent), 0
+        while up is not None and at < 6:
             if not up.score:
                 containers.append(up)
-                up.score = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0}.get(up.tag, 0.001)
+                up.score = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0}.get(up.tag, 0.001) * (0.3 if up.under else 1)
                 if up.tag in ("ul", "ol", "dl", "td", "th", "li"):
                     up.score = -3.0
-            up.score += points * (1.0, 0.5, 0.3, 0.2, 0.1, 0.05)[level]
-            up, level = up.parent, level + 1
+            up.score += points * (1.0, 0.5, 0.3, 0.2, 0.1, 0.05)[at]
+            up, at = up.parent, at + 1
     if not containers:
-        return []
+        return [root]
     value = {id(n): n.score * (1 - density(n)) for n in containers}
     top = max(containers, key=lambda n: value[id(n)])
-    # An article or main element around the best container is the better bound of the text.
-    up = top
-    while up is not None:
-        if up.tag in ("article", "main"):
-            top = up
+    # What is around the best container and no more link-laden belongs to the text, up to its article or main
+    # element, or else as far as the text around it is no other block of the page's own.
+    around = next((x for x in _up(top) if x.tag in ("article", "main")), None)
+    if around is not None and density(around) <= 0.5:
+        top = around
+    inside, above = {id(x) for x in _below(top)}, {id(x) for x in _up(top)}
+    for node in order:
+        if node.doubted and id(node) not in above and (2 * node.linked > node.chars or id(node) not in inside):
+            node.bad = True
+    while around is None and top.parent is not None and top.parent.tag not in ("body", "html", "#root"):
+        rest = [k for k in top.parent.kids if isinstance(k, Node) and k is not top and not k.bad and k.chars]
+        if any(2 * k.linked > k.chars for k in rest):
             break
-        up = up.parent
+        top = top.parent
     if top.parent is None:
         return [top]
     least = max(10.0, 0.2 * value.get(id(top), 0.0))
-    kept = []
+    kept: list[Node] = []
     for kid in top.parent.kids:
         if kid is top:
             kept.append(kid)
         elif isinstance(kid, Node) and not kid.bad and kid.chars:
             near = value.get(id(kid), 0.0) >= least
-            if kid.attrs.get("class") and kid.attrs.get("class") == top.attrs.get("class") and top.tag not in ("article", "main"):
-                near |= value.get(id(kid), 0.0) > 0.05 * value[id(top)]
-            prose = kid.tag == "p" and (kid.chars > 80 and density(kid) < 0.25 or kid.chars > 20 and kid.linked == 0)
+            if kid.tag == top.tag == "article":  # by what their texts earned, not by what an article begins with
+                near = kid.score - 25 >= 0.2 * (top.score - 25)
+            elif kid.attrs.get("class") and kid.attrs.get("class") == top.attrs.get("class") and top.tag != "main":
+                near |= value.get(id(kid), 0.0) > 0.05 * value.get(id(top), 0.0)
+            prose = kid.tag == "p" and around is not top and (kid.chars > 80 and density(kid) < 0.25 or kid.chars > 20 and kid.linked == 0)
             title = kid.tag == "h1" and density(kid) < 0.5
-            if near or prose or title or kid.tag == "article" and density(kid) < 0.5:
+            if near or prose or title:
                 kept.append(kid)
     return kept
 
@@ -259,9 +303,12 @@ def extract(pages: DataFrame, html_column: str = "html", text: str = "text", kee
     """Adds ``text``, the main text of each whole page, to the columns ``keep`` (default: all).
 
     Null, empty and textless pages give the empty text; repeated rows repeat;
-    a column of the name ``text`` is replaced; an empty table gives no rows.
+    a column of the name ``text`` (whatever its letters' case) is replaced; an
+    empty table gives no rows; of containers that score alike the first on the
+    page is taken; a page of any length is parsed whole, by one task, in time
+    and memory in proportion to it.
     """
-    keep = [c for c in (pages.columns if keep is None else keep) if c != text]
+    keep = [c for c in (pages.columns if keep is None else keep) if c.lower() != text.lower()]
     rows = pages.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.col(quoted(html_column)).alias("html"))
     kinds = "".join(f"k{i} {pages.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
 
