@@ -23,8 +23,10 @@ from .common import bounded, held_out, labelled, quoted, table, written
 from .quality import logistic
 
 OTHER, INSULT, THREAT, TARGET, NOT, REPORT, END = range(7)
-#: Symbols that only pass between transducers: weakened, reported and aimed forms.
-DENIED, QUOTED, AIMED, DONE = 10, 11, 12, 13
+#: Symbols that only pass between transducers: a threat denied, reported or both, each of them aimed (AIMED more), and a match.
+DENIED, QUOTED, BOTH, AIMED, DONE = 7, 8, 9, 10, 20
+#: What a threat counts, by how it is said.
+SAID = {THREAT: 1.0, DENIED: 0.3, QUOTED: 0.5, BOTH: 0.15}
 
 #: Seed vocabulary of four languages; insults beyond it are learned.
 SEEDS = {
@@ -79,30 +81,42 @@ def compose(*parts: Transducer) -> tuple[np.ndarray, np.ndarray]:
     return np.array(to), np.array(factor)
 
 
-def grammar() -> tuple[np.ndarray, np.ndarray]:
-    """Negation, reported speech, target, threat and insult, composed in this order."""
+def parts() -> tuple[Transducer, ...]:
+    """Negation, reported speech, target, threat and insult, in the order in which they are composed."""
     negation = Transducer(0)  # a negation reaches three words on
     for state in range(4):
+        less = max(0, state - 1)
         negation.arcs[state, NOT] = (3, NOT, 1.0)
         for symbol in (OTHER, TARGET, REPORT):
-            negation.arcs[state, symbol] = (max(0, state - 1), symbol, 1.0)
-        for symbol in (INSULT, THREAT):
-            negation.arcs[state, symbol] = (max(0, state - 1), DENIED if state and symbol == THREAT else symbol, 0.3 if state else 1.0)
+            negation.arcs[state, symbol] = (less, symbol, 1.0)
+        negation.arcs[state, INSULT] = (less, INSULT, 0.3 if state else 1.0)
+        negation.arcs[state, THREAT] = (less, DENIED if state else THREAT, 1.0)
     reported = Transducer(0)  # a reporting verb weakens the rest of its clause
     reported.arcs[0, REPORT] = (1, REPORT, 1.0)
-    for symbol in (INSULT, THREAT):
-        reported.arcs[1, symbol] = (1, QUOTED if symbol == THREAT else symbol, 0.5)
+    reported.arcs[1, INSULT] = (1, INSULT, 0.5)
+    reported.arcs[1, THREAT] = (1, QUOTED, 1.0)
+    reported.arcs[1, DENIED] = (1, BOTH, 1.0)
     target = Transducer(0)  # after a target, what is said is aimed at it
     target.arcs[0, TARGET] = (1, TARGET, 1.0)
     target.arcs[1, INSULT] = (1, INSULT, 1.5)
-    target.arcs[1, THREAT] = (1, AIMED, 1.5)
-    threat = Transducer(0)  # only a threat that is aimed counts
-    threat.arcs[0, AIMED] = (0, DONE, 0.5)
-    threat.arcs[0, THREAT] = (0, OTHER, 1.0)
+    for said in SAID:
+        target.arcs[1, said] = (1, said + AIMED, 1.0)
+    threat = Transducer(0)  # a threat counts when it is aimed: at once, or where its target follows
+    for waiting in (0, *SAID):
+        for said, weight in SAID.items():
+            threat.arcs[waiting, said + AIMED] = (waiting, DONE, 0.75 * weight)
+            threat.arcs[waiting, said] = (said, OTHER, 1.0)
+        if waiting:
+            threat.arcs[waiting, TARGET] = (0, DONE, 0.75 * SAID[waiting])
     insult = Transducer(0)  # a second insult in one clause counts a little more
     insult.arcs[0, INSULT] = (1, DONE, 1.0)
     insult.arcs[1, INSULT] = (1, DONE, 1.2)
-    return compose(negation, reported, target, threat, insult)
+    return negation, reported, target, threat, insult
+
+
+def grammar() -> tuple[np.ndarray, np.ndarray]:
+    """The composed machine of :func:`parts`."""
+    return compose(*parts())
 
 
 _BETWEEN = np.ones(256, bool)  # letters and apostrophes make words here
@@ -172,8 +186,8 @@ def _counts(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "toxic": pa.array(n[:, 0]), "clean": pa.array(n[:, 1])})
 
 
-def lexicon(rows: DataFrame, most: int = 4096, odds: float = 2.0, surprise: float = 13.0) -> dict[int, float]:
-    """Learned insults of rows ``(y, text)``: feature hash to weight, ``most`` at most.
+def lexicon(rows: DataFrame, odds: float = 2.0, surprise: float = 13.0) -> dict[int, float]:
+    """Learned insults of rows ``(y, text)``: feature hash to weight, bounded by what the bounded rows hold.
 
     A feature must have smoothed log odds of ``odds`` and a log likelihood
     ratio against the base rate of ``surprise`` (about the log of the number of
@@ -188,8 +202,7 @@ def lexicon(rows: DataFrame, most: int = 4096, odds: float = 2.0, surprise: floa
     n = F.col("t") + F.col("c")
     gain = F.col("t") * F.log(F.col("t") / (n * rate)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - rate)))).otherwise(0)
     best = counts.filter("t >= 2").withColumn("v", value).filter((F.col("v") >= odds) & (gain >= surprise))
-    best = best.orderBy(F.col("t").desc(), "h").limit(most).collect()
-    return {r.h & (2**64 - 1): min(r.v, 8.0) / 4 * r.t / (r.t + 2) for r in best}
+    return {r.h & (2**64 - 1): min(r.v, 8.0) / 4 * r.t / (r.t + 2) for r in best.collect()}
 
 
 class Scorer:
