@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import quoted, table
+from .common import quoted, table, written
 
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 SCALE, ENTRY, NUMBER, KIND, CODEC, AUDIO = 0x2AD7B1, 0xAE, 0xD7, 0x83, 0x86, 0xE1
 TIME, BLOCK, GROUP, INNER, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+DEFAULT_DURATION, BLOCK_DURATION = 0x23E383, 0x9B
 POINT, CUE_TIME, CUE_AT, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: Elements that end a cluster of unknown size.
 LEVEL_ONE = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
@@ -70,6 +71,7 @@ def integer(ident: int, value: int) -> bytes:
 class Media:
     """A parsed file: tracks, packets (track, timestamp in ns, start, size, key) and cues."""
 
+    durations: dict[int, int] = field(default_factory=dict)  # ns a frame, of tracks that state it
     tracks: dict[int, str] = field(default_factory=dict)
     packets: list[tuple[int, int, int, int, bool]] = field(default_factory=list)
     clusters: list[tuple[int, int]] = field(default_factory=list)  # position in the segment, time in ns
@@ -132,7 +134,9 @@ def laces(raw, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
     return out
 
 
-def _block(raw, at: int, end: int, media: Media, time: int, key: bool | None) -> None:
+def _block(raw, at: int, end: int, media: Media, time: int, key: bool | None, lasting: int = 0) -> None:
+    """The packets of one block.  A lace's frames follow each other by the track's default duration, or
+    by equal shares of what the block lasts (``lasting``); where neither is stated they share its timestamp."""
     track, at = number(raw, at)
     if at + 3 > end:
         raise Malformed("block cut short")
@@ -140,8 +144,9 @@ def _block(raw, at: int, end: int, media: Media, time: int, key: bool | None) ->
     stamp = (time + offset) * media.scale
     key = bool(flags & 0x80) if key is None else key
     media.blocks += 1
-    # A lace's frames share its timestamp; a decoder spaces them by duration.
-    media.packets += [(track, stamp, a, n, key) for a, n in laces(raw, at + 3, end, flags >> 1 & 3)]
+    frames = laces(raw, at + 3, end, flags >> 1 & 3)
+    each = media.durations.get(track) or lasting * media.scale // len(frames)
+    media.packets += [(track, stamp + k * each, a, n, key) for k, (a, n) in enumerate(frames)]
 
 
 def _cluster(raw, at: int, end: int, media: Media, base: int, start: int) -> int:
@@ -164,9 +169,10 @@ def _cluster(raw, at: int, end: int, media: Media, base: int, start: int) -> int
         elif ident == GROUP:
             parts = list(elements(raw, body, stop))
             key = all(i != REFERENCE for i, _, _ in parts)
+            lasting = next((value(raw, a, b) for i, a, b in parts if i == BLOCK_DURATION), 0)
             for i, a, b in parts:
                 if i == INNER:
-                    _block(raw, a, b, media, time, key)
+                    _block(raw, a, b, media, time, key, lasting)
         at = stop
     return at
 
@@ -214,6 +220,8 @@ def _segment(raw, base: int, end: int, media: Media) -> None:
                         raise Malformed("a track without a number")
                     codec = raw[slice(*parts[CODEC])].decode() if CODEC in parts else ""
                     media.tracks[value(raw, *parts[NUMBER])] = codec
+                    if DEFAULT_DURATION in parts:
+                        media.durations[value(raw, *parts[NUMBER])] = value(raw, *parts[DEFAULT_DURATION])
         elif ident == CLUSTER:
             stop = _cluster(raw, body, stop, media, base, start)
         elif ident == CUES:
@@ -231,16 +239,16 @@ def _segment(raw, base: int, end: int, media: Media) -> None:
         at = stop
 
 
-def _header() -> tuple[bytes, bytes]:
+def _header(frame: int) -> tuple[bytes, bytes]:
     head = element(EBML, integer(0x4286, 1) + integer(0x42F7, 1) + integer(0x42F2, 4) + integer(0x42F3, 8)
                    + element(0x4282, b"matroska") + integer(0x4287, 4) + integer(0x4285, 2))
     info = element(INFO, integer(SCALE, 1_000_000) + element(0x4D80, b"inkspan") + element(0x5741, b"inkspan"))
     audio = element(AUDIO, element(0xB5, struct.pack(">d", RATE)) + integer(0x9F, 1) + integer(0x6264, 8))
-    track = integer(NUMBER, 1) + integer(0x73C5, 1) + integer(KIND, 2) + integer(0x9C, 1) + element(CODEC, b"A_PCM/INT/LIT") + audio
+    track = integer(NUMBER, 1) + integer(0x73C5, 1) + integer(KIND, 2) + integer(0x9C, 1) + integer(DEFAULT_DURATION, frame * 1_000_000_000 // RATE) + element(CODEC, b"A_PCM/INT/LIT") + audio
     return head, info + element(TRACKS, element(ENTRY, track))
 
 
-_HEAD, _TOP = _header()
+_HEAD, _TOP = _header(FRAME)
 
 
 def mux(payload: bytes, frame: int = FRAME, laced: int = 8, in_cluster: int = 256, lacing: int = FIXED) -> bytes:
@@ -249,8 +257,9 @@ def mux(payload: bytes, frame: int = FRAME, laced: int = 8, in_cluster: int = 25
     ``payload`` is cut every ``frame`` bytes; the last frame may be shorter
     (not with fixed lacing).  In one file every cluster has its cue.
     """
-    body, cues = [_TOP], []
-    at = len(_TOP)
+    top = _TOP if frame == FRAME else _header(frame)[1]
+    body, cues = [top], []
+    at = len(top)
     for c in range(0, len(payload), frame * in_cluster):
         time = c * 1000 // RATE
         parts = [integer(TIME, time)]
@@ -281,7 +290,8 @@ def track_bytes(raw: bytes, media: Media, track: int = 1) -> bytes:
 
 
 def features(samples: bytes, media: Media) -> str:
-    """Packets, blocks, clusters, cues that point at their cluster, milliseconds, mean, deviation, crossings of the middle."""
+    """Packets, blocks, clusters, cues that point at their cluster, milliseconds, where the last packet
+    starts, mean, deviation, crossings of the middle."""
     x = np.frombuffer(samples, np.uint8)
     at = dict(media.clusters)
     good = sum(at.get(place) == time for time, _, place in media.cues)
@@ -290,7 +300,7 @@ def features(samples: bytes, media: Media) -> str:
     high = x > 127
     return (
         f"packets={len(media.packets)};blocks={media.blocks};clusters={len(media.clusters)};cues={good};"
-        f"ms={len(x) * 1000 // RATE};mean={total / n:.6f};deviation={max(square / n - (total / n) ** 2, 0) ** 0.5:.6f};"
+        f"ms={len(x) * 1000 // RATE};last={max((p[1] for p in media.packets), default=0) // 1_000_000};mean={total / n:.6f};deviation={max(square / n - (total / n) ** 2, 0) ** 0.5:.6f};"
         f"crossings={int((high[1:] != high[:-1]).sum())}"
     )
 
@@ -301,8 +311,14 @@ def padded(text: bytes, frame: int = FRAME) -> bytes:
 
 
 def media_column(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """Adds ``media``, the padded UTF-8 of ``text`` (null as empty) as a Matroska file; a column of that name is replaced."""
-    keep = [c for c in docs.columns if c != media]
+    """Adds ``media``, the padded UTF-8 of ``text`` (null and empty: one frame of bytes 255) as a Matroska file.
+
+    A column of that name, whatever its letters' case, is replaced; other
+    columns stay; repeated rows repeat, equal texts giving equal files; an
+    empty table gives no rows; a text of any length makes one file, held by
+    one task, and must fit a cell (2 GB).
+    """
+    keep = [c for c in docs.columns if c.lower() != media.lower()]
     rows = docs.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     kinds = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
 
@@ -359,6 +375,6 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("n", F.octet_length("text").cast("long"))
-    stored = media_column(docs).select("doc_id", "n", "media")
+    stored = written(media_column(docs).select("doc_id", "n", "media"))
     return stored.mapInArrow(_digested, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
                              "media_bytes long, media_sha256 string, feature string")
