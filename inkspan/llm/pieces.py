@@ -5,13 +5,15 @@ scores or merges, and byte fallback are rebuilt as a ``tokenizers.Tokenizer``.
 Where no piece crosses a word boundary (checked on the vocabulary), a text is
 the concatenation of its chunks (a run of spaces and the word after it, or a
 line feed), so each distinct chunk is encoded once per worker, in multithreaded
-batches, and checked there against the sentencepiece library.  A chunk on which
-the two differ keeps sentencepiece's ids and is counted.
+batches, and checked there against the sentencepiece library.  A text with a
+chunk on which the two differ says so in a parity column; its ids are those of
+the tokenizers library.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -159,7 +161,6 @@ class Codec:
         self.verify = verify
         self.whole = self.model.tokenizer()
         self.whole_reference = self.model.reference()
-        self.differing = 0
         if self.model.chunked:
             self.part = self.model.tokenizer(prefix=False)
             self.part_reference = self.model.reference(prefix=False)
@@ -182,55 +183,51 @@ class Codec:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 12, np.int64)
         self.len = np.zeros(1 << 12, np.int64)
+        self.same = np.ones(1 << 12, bool)
         self.used = 0
 
-    def _both(self, texts: list[str], own, other) -> list[list[int]]:
-        ids = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
-        if self.verify:
-            for k, right in enumerate(other.encode(texts, num_threads=1)):
-                if ids[k] != right:
-                    ids[k], self.differing = right, self.differing + 1
-        return ids
-
-    def _parts(self, chunks: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each chunk.  Chunks travel many to a text, a line feed between them; on a text where
-        the libraries differ, chunk by chunk."""
+    def _both(self, texts: list[str], own, other) -> tuple[list[list[int]], list[bool]]:
+        """Ids of each text, and whether the reference has the same (true without verification)."""
+        ids = [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+        right = other.encode(texts, num_threads=threads()) if self.verify else ids
+        return ids, [a == b for a, b in zip(ids, right)]
+
+    def _parts(self, chunks: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+        """Ids and parity of each chunk.  Chunks travel many to a text, a line feed between them; a text on
+        which the libraries differ is taken apart."""
         groups = [chunks[i : i + TOGETHER] for i in range(0, len(chunks), TOGETHER)]
-        joined = ["\n".join(g) for g in groups]
-        own = self.part.encode_batch_fast(joined, add_special_tokens=False)
-        right = self.part_reference.encode(joined, num_threads=1) if self.verify else [None] * len(joined)
-        for group, e, other in zip(groups, own, right):
-            ids = e.ids
-            if other is not None and ids != other:
-                yield from (np.array(x, np.uint32) for x in self._both(group, self.part, self.part_reference))
+        for group, ids, same in zip(groups, *self._both(["\n".join(g) for g in groups], self.part, self.part_reference)):
+            if not same:
+                yield from ((np.array(x, np.uint32), ok) for x, ok in zip(*self._both(group, self.part, self.part_reference)))
                 continue
             ids = np.array(ids, np.uint32)
-            yield from (x[k > 0 :] for k, x in enumerate(np.split(ids, np.flatnonzero(ids == self.line))))
+            yield from ((x[k > 0 :], True) for k, x in enumerate(np.split(ids, np.flatnonzero(ids == self.line))))
 
     def _learn(self, chunks: list[str]) -> None:
         if "\n" in chunks:
             chunks = [c for c in chunks if c != "\n"]
-            self._keep("\n", np.array(self._both(["\n"], self.part, self.part_reference)[0], np.uint32))
-        for ids, chunk in zip(self._parts(chunks), chunks):
-            self._keep(chunk, ids)
+            (ids,), (same,) = self._both(["\n"], self.part, self.part_reference)
+            self._keep("\n", np.array(ids, np.uint32), same)
+        for (ids, same), chunk in zip(self._parts(chunks), chunks):
+            self._keep(chunk, ids, same)
 
-    def _keep(self, chunk: str, ids: np.ndarray) -> None:
+    def _keep(self, chunk: str, ids: np.ndarray, same: bool) -> None:
         k, n = len(self.known), len(ids)
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         if k == len(self.at):
-            self.at, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.len))
+            self.at, self.len, self.same = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.len, self.same))
         self.flat[self.used : self.used + n] = ids
-        self.at[k], self.len[k] = self.used, n
+        self.at[k], self.len[k], self.same[k] = self.used, n, same
         self.used += n
         self.known[chunk] = k
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and where each text's begin and end."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, where each text's begin and end, and whether both libraries agree on it."""
         if not self.model.chunked:
-            ids = self._both(texts, self.whole, self.whole_reference)
+            ids, same = self._both(texts, self.whole, self.whole_reference)
             ends = np.append(0, np.cumsum([len(x) for x in ids]))
-            return np.array([i for x in ids for i in x], np.uint32), ends.astype(np.int64)
+            return np.array([i for x in ids for i in x], np.uint32), ends.astype(np.int64), np.array(same, bool)
         chunks: list[str] = []
         counts = [0]
         for text in texts:
@@ -246,7 +243,7 @@ class Codec:
         k = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         size = self.len[k]
         ends = np.append(0, np.cumsum(size))[counts]
-        return self.flat[W.ranges(self.at[k], size)], ends
+        return self.flat[W.ranges(self.at[k], size)], ends, W.per_row(~self.same[k], np.array(counts)) == 0
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """Bytes of each text; the added first space goes."""
@@ -257,8 +254,19 @@ class Codec:
         return [raw[a + 1 : b] if first and raw[a : a + 1] == b" " and a < b else raw[a:b] for a, b in zip(cut, cut[1:])]
 
 
+def threads() -> int:
+    """Threads that a batch is encoded by: the task's cores (``spark.task.cpus``), or all outside a task."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    return task.cpus() if task else os.cpu_count() or 1
+
+
 @cache
 def codec(raw: bytes) -> Codec:
+    # Read by the tokenizers library when it makes its thread pool, at the first batch.
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    os.environ.setdefault("RAYON_NUM_THREADS", str(threads()))
     return Codec(raw)
 
 
@@ -275,32 +283,40 @@ def _rows(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str]:
     return rows, "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
 
 
-def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``ids`` (array<int>), the whole text's pieces, to the columns ``keep`` (default: all but the text).
+def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL, ids: str = "ids", keep: list[str] | None = None, parity: str = "parity") -> DataFrame:
+    """Adds ``ids`` (array<int>), the whole text's pieces, and ``parity`` to the columns ``keep`` (default: all but the text).
 
-    A null text is empty; an empty text has no ids; repeated rows repeat; a
-    column of the name ``ids`` is replaced.  ``model_path`` is read on the
-    driver and sent along (half a megabyte).
+    ``parity`` says whether the sentencepiece library gives the same ids.  A
+    null text is empty; an empty text has no ids; repeated rows repeat; columns
+    of the names ``ids`` and ``parity``, whatever their letters' case, are
+    replaced; an empty table gives no rows; a text of any length is encoded
+    whole, by one task.  ``model_path`` is read on the driver and sent along
+    (half a megabyte).
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, ids)]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (text.lower(), ids.lower(), parity.lower())]
     raw = docs.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())
     rows, kinds = _rows(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, texts in _texts(batch.column(batch.num_columns - 1)):
-                found, ends = codec(raw.value).encode(texts)
+                found, ends, same = codec(raw.value).encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in range(len(keep))], lists], names=[*batch.schema.names[:-1], "ids"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in range(len(keep))], lists, pa.array(same)], names=[*batch.schema.names[:-1], "ids", "parity"])
 
-    out = rows.mapInArrow(run, kinds + "ids array<int>")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(ids))
+    out = rows.mapInArrow(run, kinds + "ids array<int>, parity boolean")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(ids), F.col("parity").alias(parity))
 
 
 def decode(rows: DataFrame, ids: str = "ids", text: str = "text", model_path: str = MODEL) -> DataFrame:
-    """Replaces ``ids`` by the text that they stand for; null ids give null, bytes that are no UTF-8 U+FFFD."""
+    """Replaces ``ids`` by the text that they stand for; null ids give null, bytes that are no UTF-8 U+FFFD.
+
+    A column of the name ``text``, whatever its letters' case, is replaced;
+    no ids give the empty text; repeated rows repeat; an empty table gives no
+    rows; a list of any length is decoded whole, by one task.
+    """
     raw = rows.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())
-    keep = [c for c in rows.columns if c not in (ids, text)]
+    keep = [c for c in rows.columns if c.lower() not in (ids.lower(), text.lower())]
     own = rows.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.col(quoted(ids)).cast("array<int>").alias("ids"))
     kinds = "".join(f"k{i} {rows.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
 
@@ -318,7 +334,8 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "text", model_path: st
 
 def op8_pieces(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
     """Each document encoded, decoded again and digested: ``n_tokens``, ``ids_sha256`` (little-endian
-    uint32), ``n_byte_tokens``, ``text_sha256`` of the decoded text and whether it is the text itself."""
+    uint32), ``n_byte_tokens``, ``text_sha256`` of the decoded text, whether it is the text itself, and
+    whether the sentencepiece library gives the same ids."""
     docs = table(spark, sf_dir, "documents")
     raw = spark.sparkContext.broadcast(open(model_path, "rb").read())
     rows, _ = _rows(docs, ["doc_id"], "text")
@@ -328,14 +345,14 @@ def op8_pieces(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> Dat
         is_byte = np.array([t == BYTE for t in own.model.types])
         for batch in batches:
             for i, j, texts in _texts(batch.column(1)):
-                ids, ends = own.encode(texts)
+                ids, ends, same = own.encode(texts)
                 back = own.decode(ids, ends)
                 octets, cut = ids.tobytes(), (4 * ends).tolist()
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), pa.array(np.diff(ends)), pa.array(W.per_row(is_byte[ids], ends)),
                     pa.array([hashlib.sha256(octets[a:b]).hexdigest() for a, b in zip(cut, cut[1:])]),
                     pa.array([hashlib.sha256(t).hexdigest() for t in back]),
-                    pa.array([t == x.encode() for t, x in zip(back, texts)]),
-                ], names=["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "text_sha256", "round_trip"])
+                    pa.array([t == x.encode() for t, x in zip(back, texts)]), pa.array(same),
+                ], names=["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "text_sha256", "round_trip", "parity"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean, parity boolean")
