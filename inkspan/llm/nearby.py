@@ -2,19 +2,21 @@
 
 Fingerprints that differ in at most ``bits`` bits differ in at most ``bits`` of
 their 8 bytes, so a linked pair shares at least ``need = 8 - bits`` positional
-bytes.  The inverted index lists, under every choice of ``need`` positions and
-the bytes there, the distinct fingerprints that have them: a pair that reaches
-the guaranteed minimum of matches meets under at least one key, and chance
-pairs are as rare as 2**-40 a key.  Under each key the shared bytes of a pair
-are tallied, pairs below the minimum go, and the rest are verified bit by bit.
-A long posting list is not paired: its free bytes are probed for every mask of
-at most ``bits`` bits, and only a spanning forest of its links goes out.
+bytes, and at least half of these (rounded up) in one half of the eight.  The
+inverted index lists the distinct fingerprints under every such run of bytes
+(for three bits: each choice of three bytes of either half, eight keys).  The
+shared bytes of the pairs that meet there are tallied, pairs below the
+guaranteed minimum go, and the rest are verified bit by bit.  A posting list of
+more than LOCAL passes on under longer runs, ``need`` bytes each, which deals
+it out to many tasks; a list that is still long gives a spanning forest of its
+links, found by probing every mask of at most ``bits`` free bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, fresh, quoted, table, written
+from .common import components, quoted, sorted_lists, table, written
 
 SEED = 42
-#: Posting lists up to PAIRED are compared pairwise at once, up to LOCAL pairwise in blocks, longer ones by masks.
+#: Posting lists up to PAIRED are paired at once, up to LOCAL in blocks; longer ones are split by further bytes.
 PAIRED, LOCAL = 8, 2048
 
 
@@ -68,38 +70,70 @@ def _fingerprinted(shingle: int):
     return run
 
 
-def _keys(fp: np.ndarray, need: int) -> np.ndarray:
-    """Keys of each fingerprint: one row for each choice of positions (its number in the top byte)."""
-    octets = fp.astype(">u8").view(np.uint8).reshape(-1, 8).astype(W.U64)
-    out = []
-    for c, at in enumerate(combinations(range(8), need)):
-        key = np.zeros(len(fp), W.U64)
-        for x in at:
-            key = (key << W.U64(8)) | octets[:, x]
-        out.append(key if need == 8 else W.mix(key) & W.U64((1 << 56) - 1) | W.U64(c << 56) if need == 7 else key | W.U64(c << 56))
-    return np.stack(out)
+def runs(bits: int, long: bool = False) -> list[tuple[int, ...]]:
+    """Byte positions of each key.  Of any ``8 - bits`` shared positions some key's are all shared;
+    of the ``long`` keys that extend any key, some key's are too."""
+    need = 8 - bits
+    if long:
+        return list(combinations(range(8), need))
+    return [c for half in (range(4), range(4, 8)) for c in combinations(half, (need + 1) // 2)]
 
 
-def _postings(need: int):
+def _keyed(octets: np.ndarray, at: tuple[int, ...], name: int) -> np.ndarray:
+    """The bytes at some positions as a number, with the run's own number in the top byte."""
+    key = np.zeros(len(octets), W.U64)
+    for x in at:
+        key = (key << W.U64(8)) | octets[:, x]
+    return (W.mix(key) & W.U64((1 << 56) - 1) if len(at) > 6 else key) | W.U64(name << 56)
+
+
+def _octets(fp: np.ndarray) -> np.ndarray:
+    return fp.astype(">u8").view(np.uint8).reshape(-1, 8).astype(W.U64)
+
+
+def _posted(key: list[np.ndarray], fp: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(fp).view(np.int64))], names=["key", "fp"])
+
+
+def _postings(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy().view(W.U64)
             for i in range(0, len(fp), 1 << 14):
                 own = fp[i : i + (1 << 14)]
-                keys = _keys(own, need)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(own, len(keys)).view(np.int64))], names=["key", "fp"]
-                )
+                octets = _octets(own)
+                keys = [_keyed(octets, at, c) for c, at in enumerate(runs(bits))]
+                yield _posted(keys, [own] * len(keys))
 
     return run
 
 
+def _longer(bits: int):
+    """Rows of long lists under every run of ``8 - bits`` positions that extends their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = runs(bits)
+        extending = [[(c, at) for c, at in enumerate(runs(bits, True)) if set(own) <= set(at)] for own in short]
+        for batch in batches:
+            key, fp = (batch.column(c).to_numpy().view(W.U64) for c in (0, 1))
+            name = (key >> W.U64(56)).astype(np.int64)
+            for c in np.unique(name):
+                own = fp[name == c]
+                octets = _octets(own)
+                yield _posted([_keyed(octets, at, k) for k, at in extending[c]], [own] * len(extending[c]))
+
+    return run
+
+
+def tallied(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Whether pairs share at least ``8 - bits`` positional bytes."""
+    return ((a ^ b)[..., None].view(np.uint8) == 0).sum(-1) >= 8 - bits
+
+
 def linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Tally of shared positional bytes, then the exact bit count of the pairs that reach the minimum."""
-    x = a ^ b
-    tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-    ok = tally >= 8 - bits
-    ok[ok] = np.bitwise_count(x[ok]) <= bits
+    """The tally of shared positional bytes, then the exact bit count of the pairs that reach the minimum."""
+    ok = tallied(a, b, bits)
+    ok[ok] = np.bitwise_count(a[ok] ^ b[ok]) <= bits
     return ok
 
 
@@ -119,14 +153,15 @@ def _forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
             while (root[root] != root).any():
                 root[:] = root[root]
 
-    if m <= LOCAL:
+    free = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    at = [k for k in range(64) if free >> k & 1]
+    if 50 * sum(comb(len(at), n) for n in range(1, bits + 1)) > m:
         step = max(1, (1 << 18) // m)
         for i in range(0, m, step):
-            a, b = np.nonzero(np.bitwise_count(fp[i : i + step, None] ^ fp[None, :]) <= bits)
-            join(a + i, b)
+            a, b = np.nonzero(tallied(fp[i : i + step, None], fp[None, i:], bits))
+            ok = np.bitwise_count(fp[a + i] ^ fp[b + i]) <= bits
+            join(a[ok] + i, b[ok] + i)
     else:
-        free = int(np.bitwise_or.reduce(fp ^ fp[0]))
-        at = [k for k in range(64) if free >> k & 1]
         for n in range(1, bits + 1):
             for mask in combinations(at, n):
                 other = fp ^ W.U64(sum(1 << k for k in mask))
@@ -138,13 +173,12 @@ def _forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return fp[root[tree]], fp[tree]
 
 
-def _links(bits: int):
-    """Sorted postings: the links of each key's list, as pairs of fingerprints."""
+def _links(bits: int, most: int):
+    """Sorted postings: the links of each key's list as pairs of fingerprints, and lists of more than
+    ``most`` as they are: (key, fp, whether it is a link)."""
 
     def pairs(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        heads = np.flatnonzero(new)
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(heads, len(key)))
         every = np.repeat(size, size)
         short = (every > 1) & (every <= PAIRED)
@@ -156,41 +190,41 @@ def _links(bits: int):
         for i in np.flatnonzero(size > PAIRED):
             yield _forest(np.sort(fp[heads[i] : heads[i] + size[i]]), bits)
 
-    def out(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        found = list(pairs(key, fp))
-        a, b = (np.concatenate([x[i] for x in found]).view(np.int64) for i in (0, 1))
-        ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            key, fp = (batch.column(c).to_numpy() for c in (0, 1))
-            if not len(key):
+        for key, fp, long in sorted_lists(batches, most):
+            if long:
+                yield _rows(key, fp, False)
                 continue
-            held.append((key, fp.view(W.U64)))
-            if sum(len(k) for k, _ in held) < 1 << 17 or key[0] == key[-1] == held[0][0][0]:
-                continue  # a list is held whole: at most 2**24 distinct fingerprints share five bytes
-            k, f = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.searchsorted(k, k[-1]))
-            if cut:
-                yield out(k[:cut], f[:cut])
-            held = [(k[cut:], f[cut:])]
-        if held:
-            yield out(*(np.concatenate(x) for x in zip(*held)))
+            found = list(pairs(key, fp.view(W.U64)))
+            a, b = (np.concatenate([x[i] for x in found]).view(np.int64) for i in (0, 1))
+            ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield _rows(ab[:, 0].copy(), ab[:, 1].copy(), True)
 
     return run
 
 
+def _rows(a: np.ndarray, b: np.ndarray, link: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), link))], names=["a", "b", "link"])
+
+
 def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all pairs at ``bits`` or fewer differing bits.
 
-    ``distinct`` has one column of distinct non-null longs.
+    ``distinct`` has one column of distinct non-null longs.  After the second
+    run of keys a list holds at most 2**24 of them for three bits, which is
+    held whole; with more bits, runs are shorter and lists may be longer.
     """
     if not 0 <= bits <= 6:
         raise ValueError("bits must be 0 to 6: with 7 or more, no byte need be shared")
-    posted = distinct.mapInArrow(_postings(8 - bits), "key long, fp long")
-    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(_links(bits), "a long, b long")
+
+    def met(posted: DataFrame, most: int) -> DataFrame:
+        return posted.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(bits, most), "a long, b long, link boolean")
+
+    first = written(met(distinct.mapInArrow(_postings(bits), "key long, fp long"), LOCAL))
+    found, long = first.filter("link"), first.filter("not link").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    if not long.isEmpty():
+        found = found.union(met(long.mapInArrow(_longer(bits), "key long, fp long"), 1 << 62))
+    return found.select("a", "b")
 
 
 def classes(rows: DataFrame, ident: str, fp: str, bits: int = 3) -> DataFrame:
@@ -213,7 +247,9 @@ def near_duplicates(
     ``fingerprint`` is 16 lower-case hex digits, ``component_id`` the smallest
     non-null id reachable over links (null if there is none).  Null and empty
     texts have fingerprint zero and link like any other; repeated rows each get
-    a row; an empty table gives none; other columns are not looked at.
+    a row; a text of any length is fingerprinted whole; ties need no rule, as a
+    class is named by its smallest id; an empty table gives no rows; other
+    columns are not looked at.
     """
     kept = docs.select(F.col(quoted(doc_id)).alias("ident"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
