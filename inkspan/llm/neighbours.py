@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import quoted, table, written
 
 #: Vectors and queries of one tile; a list of more has more tiles.
-TILE_VECTORS, TILE_QUERIES = 4096, 1024
-#: Rows to fit centres on, lists and Lloyd rounds, all at most.
-SAMPLE, LISTS, ROUNDS = 100_000, 2048, 8
+TILE_VECTORS, TILE_QUERIES = 512, 256
+#: Rows to fit centres on and their bytes in double precision, lists and Lloyd rounds, all at most.
+SAMPLE, SAMPLE_BYTES, LISTS, ROUNDS = 100_000, 64 << 20, 2048, 8
 COLUMNS, EPSILON = 16, 1.5
 #: Sample rows whose neighbours decide the probes, and those whose scores bound a query's k-th.
 TRIED, HEAD = 256, 4096
@@ -58,15 +58,16 @@ class Index:
 
     ``probes`` is the fewest lists that hold ``recall`` of the nearest sample
     rows of some sample rows: clustered vectors need few, structureless many.
-    ``head`` are some of the sample's rows, HEAD at most: a query starts from
-    its best of them, whose k-th score bounds what the scan must still find.
+    ``head`` are some of the sample's rows, HEAD at most: the k-th score of a
+    query among them is a threshold that what the scan finds must reach.
     """
 
     def __init__(self, ids: np.ndarray, sample: np.ndarray, top_norm2: float, k: int, neighbours: int, recall: float, seed: int) -> None:
         self.turn = rotation(sample.shape[1] + 1, seed)
         self.top = top_norm2
         n = min(HEAD, max(2 * neighbours, len(sample) // 12))
-        self.head_ids, self.head = ids[:n], sample[:n]
+        one = np.unique(ids, return_index=True)[1][:n]  # an id counts once
+        self.head_ids, self.head = ids[one], sample[one]
         turned = self.rotated(sample)
         self.centres = centres(turned, min(k, len(turned)), ROUNDS, seed)
         self.half = (self.centres**2).sum(1)
@@ -90,34 +91,27 @@ class Index:
         part = np.argpartition(d, n - 1, axis=1)[:, :n]
         return np.take_along_axis(part, np.take_along_axis(d, part, 1).argsort(1, kind="stable"), 1)
 
-    def started(self, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The best ``k`` head rows of each query (query row, id, exact score), and a score that its k-th
-        neighbour reaches at least (minus infinity where the head is too short)."""
+    def threshold(self, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """A score that each query's k-th neighbour reaches at least (minus infinity where the head is too short)."""
         score = q @ self.head.T
-        other = ids[:, None] != self.head_ids[None, :]
-        score[~other] = -np.inf
-        n = min(k, score.shape[1])
-        best = np.argpartition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n :]
-        row = np.repeat(np.arange(len(q)), n)
-        good = np.take_along_axis(other, best, 1).ravel()
-        row, at = row[good], best.ravel()[good]
-        exact = (self.head[at] * q[row]).sum(1)
-        full = np.bincount(row, minlength=len(q)) >= k
-        bound = np.full(len(q), np.inf)
-        np.minimum.at(bound, row, exact)
-        return row, self.head_ids[at], exact, np.where(full, bound - 1e-9, -np.inf)
+        score[ids[:, None] == self.head_ids[None, :]] = -np.inf
+        if score.shape[1] < k:
+            return np.full(len(q), -np.inf)
+        return np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] - 1e-9
 
 
 def usable(rows: DataFrame, ident: str, vector: str, d: int | None = None) -> DataFrame:
     """``(id, v)`` of the rows that take part: a non-null id and ``d`` finite components, not all zero.
 
-    Without ``d`` the table's largest dimension is taken, so vectors of another dimension take no part.
+    Without ``d`` the table's commonest dimension is taken (of equally common
+    ones the larger); vectors of another dimension have no inner product with
+    these and take no part.
     """
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     found = rows.select(F.col(quoted(ident)).cast("long").alias("id"), F.col(quoted(vector)).alias("v")).filter("id is not null and v is not null")
     found = found.filter(good & F.exists("v", lambda x: x != 0))
     if d is None:
-        d = found.agg(F.max(F.size("v"))).first()[0] or 0
+        d = found.groupBy(F.size("v").alias("d")).count().agg(F.max(F.struct("count", "d")).alias("m")).select("m.d").first()[0] or 0
     return found.filter(F.size("v") == d)
 
 
@@ -147,7 +141,7 @@ def _probing(index, probes: int, k: int):
                 own = batch.slice(i, 256)
                 q = _matrix(own.column(1))
                 lists = index.value.nearest(index.value.rotated(q, True), probes)
-                bound = index.value.started(own.column(0).to_numpy(), q, k)[3]
+                bound = index.value.threshold(own.column(0).to_numpy(), q, k)
                 at = np.repeat(np.arange(own.num_rows), lists.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0).take(pa.array(at)), own.column(1).take(pa.array(at)), pa.array(bound[at]), pa.array(lists.ravel().astype(np.int32))],
@@ -157,20 +151,6 @@ def _probing(index, probes: int, k: int):
     return run
 
 
-def _started(index, k: int):
-    """(id, v) to the (query_id, vec_id, score) that a query starts from."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                own = batch.slice(i, 256)
-                ids = own.column(0).to_numpy()
-                row, found, score, _ = index.value.started(ids, _matrix(own.column(1)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    return run
-
-
 def scan(q: np.ndarray, q_turned: np.ndarray, q_ids: np.ndarray, limit: np.ndarray, x: np.ndarray, x_turned: np.ndarray,
          ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The adaptive scan of some queries over some vectors: query rows, vector rows and exact scores, the best ``k`` of each query.
@@ -248,9 +228,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, ident: str = "vec_i
     Nearness is the largest inner product in double precision, ties to the
     smaller id; a query's own id is no candidate.  Rows and queries that are
     null, zero or hold null or non-finite components take no part, nor do rows
-    without an id or of another dimension than the largest.  Ids of ``rows``
+    without an id or of another dimension than the commonest.  Ids of ``rows``
     and ``queries`` are longs; rows that repeat an id and vector count once.
-    Empty tables give no rows.  ``lists`` is half the root of the rows' number
+    Empty tables give no rows; other columns are not looked at.  Centres are
+    fitted on ``sample`` rows at most, of SAMPLE_BYTES at most.  ``lists`` is half the root of the rows' number
     unless given; ``probes`` as many as find ``recall`` on the sample.
     """
     spark = rows.sparkSession
@@ -262,10 +243,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, ident: str = "vec_i
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = usable(queries, ident, vector, facts.d).dropDuplicates(["id", "v"])
     lists = min(lists or math.isqrt(facts.n) // 2 + 1, LISTS, facts.n)
+    sample = max(1, min(sample, SAMPLE_BYTES // (8 * facts.d)))
     share = min(1.0, 0.9 * sample / facts.n)
     drawn = base.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(sample)
-    drawn = list(drawn.orderBy("id").toLocalIterator()) or base.limit(1).collect()  # ``sample`` rows at most
-    fitted = Index(np.array([r.id for r in drawn]), np.array([r.v for r in drawn], float), facts.top, lists, k, recall, seed)
+    drawn = drawn.toArrow()  # ``sample`` rows at most
+    drawn = (drawn if drawn.num_rows else base.limit(1).toArrow()).sort_by("id")
+    fitted = Index(drawn.column("id").to_numpy(), _matrix(drawn.column("v").combine_chunks()), facts.top, lists, k, recall, seed)
     index = spark.sparkContext.broadcast(fitted)
     kind = base.schema["v"].dataType.simpleString()
     listed = written(base.mapInArrow(_listed(index), f"id long, v {kind}, list int"))
@@ -280,7 +263,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, ident: str = "vec_i
     x = listed.join(tiles, "list").select("id", "v", "list", spread("nx").alias("tx"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("tq"))
     q = probing.join(tiles, "list").select("id", "v", "bound", "list", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("tx"), spread("nq").alias("tq"))
     found = x.groupBy("list", "tx", "tq").cogroup(q.groupBy("list", "tx", "tq")).applyInArrow(_tile(index, k), "query_id long, vec_id long, score double")
-    found = found.unionByName(asked.mapInArrow(_started(index, k), "query_id long, vec_id long, score double"))
     # A vector of one id may stand in several rows only if its vectors differ; the best counts.
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
