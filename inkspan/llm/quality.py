@@ -240,7 +240,8 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: s
     alike; a row without an id is judged like any other; an empty table gives
     no rows.
     """
-    model = train(written(measure(docs, [doc_id], text)), labels, "quality", doc_id)
+    taught = docs.join(labels.select(F.col(quoted(doc_id)).alias("taught_id")).distinct(), F.col(quoted(doc_id)) == F.col("taught_id"), "left_semi")
+    model = train(measure(taught, [doc_id], text), labels, "quality", doc_id)
     rest = [F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*rest, F.coalesce(F.col(quoted(text)), F.lit("")).alias("text_in"))
     kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns))
