@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import posixpath
 import re
@@ -13,6 +14,8 @@ from xml.etree import ElementTree as ET
 
 DOCUMENT_MOST, ENTRY_MOST, INFLATED_MOST, OUTPUT_MOST = 128 << 20, 32 << 20, 64 << 20, 64 << 20
 ENTRIES_MOST, CELLS_MOST, DEPTH_MOST = 20_000, 2_000_000, 2_000
+#: What one document may take: seconds by the clock, and bytes of address space beyond what the process has.
+SECONDS, ADDRESSES = 20, 2 << 30
 
 
 class ExtractError(Exception):
@@ -21,6 +24,45 @@ class ExtractError(Exception):
         self.code = code
 
 
+@contextlib.contextmanager
+def guarded(seconds: float = SECONDS, addresses: int = ADDRESSES):
+    """Limits on one document's time and memory; what exceeds them fails its own row and no other.
+
+    The clock and the address space are the process's own, so this holds in a
+    worker's main thread; elsewhere only the memory is limited.
+    """
+    import resource
+    import signal
+    import threading
+
+    def stop(*_):
+        raise ExtractError("EXTRACT_TIMEOUT", f"the document took more than {seconds:g} seconds")
+
+    timed = threading.current_thread() is threading.main_thread()
+    soft, hard = resource.getrlimit(resource.RLIMIT_AS)
+    have = 0
+    try:
+        with open("/proc/self/statm") as f:
+            have = int(f.read().split()[0]) * resource.getpagesize()
+    except OSError:
+        pass
+    limit = have + addresses if have else soft
+    limit = min(x for x in (limit, hard, soft) if x != resource.RLIM_INFINITY) if have or soft != resource.RLIM_INFINITY else soft
+    before = signal.signal(signal.SIGALRM, stop) if timed else None
+    try:
+        resource.setrlimit(resource.RLIMIT_AS, (limit, hard))
+        if timed:
+            signal.setitimer(signal.ITIMER_REAL, seconds)
+        yield
+    except MemoryError:
+        raise ExtractError("EXTRACT_RESOURCE_LIMIT", "the document took more memory than it may") from None
+    finally:
+        if timed:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+        resource.setrlimit(resource.RLIMIT_AS, (soft, hard))
+
+
 class Package:
     """A zip archive whose entries are read within the budgets."""
 
@@ -177,7 +219,7 @@ def ods(raw: bytes) -> tuple[str, dict]:
     return "\n\n".join(texts), {"sheets": str(len(names)), "sheet_names": ", ".join(names)}
 
 
-_SKIPPED = {"script", "style", "head", "template", "noscript"}
+_SKIPPED = {"script", "style", "head", "title", "template", "noscript"}
 _LINED = set("p div section article header footer main aside nav h1 h2 h3 h4 h5 h6 ul ol li table tr blockquote pre form figure dl dt dd hr address".split())
 
 
@@ -307,8 +349,10 @@ def extract(name: str, raw: bytes | None) -> dict:
             raise ExtractError("IO_ERROR", "no content")
         if len(raw) > DOCUMENT_MOST:
             raise ExtractError("EXTRACT_PARSE_ERROR", "the document is too large")
-        text, meta = reader(raw)
-        return {"text": normalized(text), "metadata": meta, "error_code": None, "error": None}
+        with guarded():
+            text, meta = reader(raw)
+            text = normalized(text)
+        return {"text": text, "metadata": meta, "error_code": None, "error": None}
     except ExtractError as e:
         return {"text": None, "metadata": {}, "error_code": e.code, "error": str(e)}
     except Exception as e:  # a damaged document fails its own row only

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -19,15 +20,23 @@ def canonical_target(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\.md$", ""))
 
 
+def canonical(target: str) -> str:
+    """:func:`canonical_target` of one text."""
+    target = re.sub(r"^/+", "", re.sub(r"^(?:\./)+", "", target.strip(" ").replace("\\", "/")))
+    return re.sub(r"\.md$", "", target).strip(" ")
+
+
 @pandas("string")
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
 def edge_key(c: Column) -> Column:
-    """A target as links compare: Unicode NFC.  Spark has no such function, so this runs in Python;
-    :func:`ascii_edge_key` keeps to the JVM where targets are ASCII."""
-    return _nfc(canonical_target(c))
+    """A target as links compare: Unicode NFC.  Spark has no such function, so texts beyond ASCII go through
+    Python (the others as nulls); :func:`ascii_edge_key` keeps to the JVM altogether."""
+    key = canonical_target(c)
+    other = key.rlike(r"[^\x00-\x7f]")
+    return F.when(other, _nfc(F.when(other, key))).otherwise(key)
 
 
 def ascii_edge_key(c: Column) -> Column:

@@ -48,6 +48,32 @@ def where(key: str, value: str) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+#: What a plain column that stands beside the token map is named: this and the field's name.
+PLAIN = "field:"
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def plain(key: str, value: str, dtype: str) -> Column:
+    """The same as :func:`where` on a field that has a plain column of type ``dtype``: a comparison with a literal
+    of that type, which the scan can take."""
+    c = F.col(f"`{PLAIN}{key}`")
+    if dtype.startswith("array<"):
+        return F.coalesce(F.exists(c, lambda x: F.coalesce(_equal(x, value, dtype[6:-1]), F.lit(False))), F.lit(False))
+    return _equal(c, value, dtype)
+
+
+def _equal(c: Column, value: str, dtype: str) -> Column:
+    if dtype in _WHOLE:
+        n = int(value) if re.fullmatch(r"-?[1-9]\d{0,17}|0", value) else None  # other spellings are other texts
+        return F.lit(False) if n is None else c == F.lit(n)
+    if dtype in ("double", "float"):
+        n = number(value)
+        return F.lit(False) if n is None or math.isnan(n) else c == F.lit(n)
+    if dtype == "boolean":
+        return c == F.lit(value == "true") if value in ("true", "false") else F.lit(False)
+    return (c if dtype == "string" else c.cast("string")) == F.lit(value)
+
+
 def check_regex(pattern: str) -> str:
     """A search pattern in the dialect without look-around and back-references, Unicode classes on."""
     if re.search(r"(?<!\\)(?:\\\\)*(?:\(\?(?:[=!]|<[=!]|>)|\\[1-9]|\\k<)", pattern):
@@ -56,4 +82,5 @@ def check_regex(pattern: str) -> str:
         re.compile(pattern.replace("(?U)", ""))
     except re.error as e:
         raise usage("BAD_QUERY_REGEX", str(e)) from None
-    return "(?U)" + pattern
+    # Unicode classes cost much and mean something only where the pattern has a class, a boundary or a case switch.
+    return "(?U)" + pattern if re.search(r"\\[wWdDsSbBpP]|\[\[?:|\(\?[a-zA-Z]*i", pattern) else pattern

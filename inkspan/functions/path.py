@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import LAYERS
+from ..schema import LAYERS, META_FILES
 
 #: The folder of each canonical type.
 TYPE_FOLDERS = {
@@ -52,7 +52,7 @@ def is_content(path: Column) -> Column:
     p = parts(path)
     name = F.element_at(p, -1)
     return (
-        layer(path).isNotNull() & (F.size(p) >= 2) & path.endswith(".md") & ~name.isin("index.md", "DB.md", "log.md")
+        layer(path).isNotNull() & (F.size(p) >= 2) & path.endswith(".md") & ~name.isin(*META_FILES)
         & ~F.exists(p, lambda x: x.startswith("."))
     )
 
@@ -87,19 +87,23 @@ def layer_for_type(kind: str) -> str:
 
 
 def glob_regex(glob: str) -> str:
-    """An anchored regex of a path glob: ``*`` and ``?`` within a component, ``**`` for whole ones.
+    """An anchored regex of a path glob: ``*`` within a component, ``**`` for any number of whole ones.
 
-    A leading ``./`` or ``/`` and a final ``.md`` do not matter.
+    Every other character stands for itself.  A leading ``./`` or ``/`` and a
+    final ``.md`` do not matter.
     """
     glob = re.sub(r"\.md$", "", re.sub(r"^(?:\./|/)+", "", glob.strip()))
     out = []
     pieces = [p for k, p in enumerate(glob.split("/")) if not (p == "**" and glob.split("/")[k - 1 : k] == ["**"])]
     for k, piece in enumerate(pieces):
         last = k == len(pieces) - 1
+        if piece == "**" and last and out:
+            out[-1] = out[-1].removesuffix("/") + "(?:/.*)?"  # no component at all, too
+            continue
         if piece == "**":
             out.append(".*" if last else "(?:[^/]+/)*")
             continue
-        body = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in piece)
+        body = "".join("[^/]*" if c == "*" else re.escape(c) for c in piece)
         out.append(body + ("" if last else "/"))
     return "^" + "".join(out) + r"(?:\.md)?$"
 

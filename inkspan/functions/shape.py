@@ -12,18 +12,25 @@ def _ok(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def is_email(c: Column) -> Column:
-    """One ``@`` between a local part and a dotted domain, no white space."""
-    return _ok(c.rlike(r"^[^@\s]+@[^@\s.]+(?:\.[^@\s.]+)+$"))
+    """One ``@`` between a local part and a domain that holds a dot, but not at its ends; no spaces.  Blanks around do not count."""
+    return _ok(_trimmed(c).rlike(r"^[^@ ]+@(?=[^@]*\.)[^@ .](?:[^@ ]*[^@ .])?$"))
 
 
 def is_url(c: Column) -> Column:
-    return _ok(c.rlike(r"^https?://[^\s/]\S*$"))
+    """``http://`` or ``https://`` and anything after it.  Blanks around do not count."""
+    return _ok(_trimmed(c).rlike(r"(?s)^https?://.+$"))
 
 
 def is_currency(c: Column) -> Column:
-    """An optional sign of money, an optional three-letter code, digits with commas, two decimals at most."""
-    return _ok(c.rlike(r"^\s*-?[$€£¥]?\s*(?:[A-Za-z]{3}\s+)?-?[0-9][0-9,]*(?:\.[0-9]{1,2})?\s*$"))
+    """An optional sign of money, an optional three-letter code and a space, then an optional ``+`` or ``-``,
+    digits, two decimals at most; commas anywhere among them do not count."""
+    amount = F.regexp_replace(F.regexp_replace(_trimmed(c), r"(?U)^[$€£¥]\s*", ""), r"(?U)^[A-Za-z]{3}\s+", "")
+    return _ok(_trimmed(F.replace(amount, F.lit(","), F.lit(""))).rlike(r"^[+-]?[0-9]+(?:\.[0-9]{1,2})?$"))
 
 
 def is_int(c: Column) -> Column:

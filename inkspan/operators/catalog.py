@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import filecmp
 import json
 import os
+import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -114,42 +117,93 @@ def json_line(r) -> str:
 
 
 def json_lines(records: DataFrame) -> DataFrame:
-    """``(folder, path, place, json)``: the complete catalogue lines of each type-folder, and of loose files by layer."""
+    """``(folder, path, updated, parts, json)``: the complete catalogue lines of each type-folder, and of loose
+    files by layer; :func:`recency` is their order in a folder's file."""
     @F.pandas_udf("string")
     def line(r: pd.DataFrame) -> pd.Series:
         return pd.Series([json_line(x) for x in r.to_dict("records")])
 
     folder = F.coalesce("type_folder", "layer")
     fields = F.struct("path", "type", "summary", "tags", "links", "created_raw", "updated_raw", "fields_json")
-    place = F.row_number().over(Window.partitionBy(folder).orderBy(*recency()))
-    return records.select(folder.alias("folder"), "path", place.alias("place"), line(fields).alias("json"))
+    return records.select(folder.alias("folder"), "path", "updated", "parts", line(fields).alias("json"))
 
 
-def rebuild(records: DataFrame, root: str, config: Config | None = None, dry_run: bool = False) -> dict[str, str]:
+def _write_lines(root: str):
+    """Sorted lines to each folder's catalogue file, streamed; the names that were written."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = out = None
+
+        def close() -> str:
+            out.close()
+            _keep_if_equal(out.name, os.path.join(root, name))
+            return name
+
+        for batch in batches:
+            for folder, own in batch.groupby("folder", sort=False):
+                if f"{folder}/index.jsonl" != name:
+                    if out:
+                        yield pd.DataFrame({"name": [close()]})
+                    name = f"{folder}/index.jsonl"
+                    os.makedirs(os.path.join(root, folder), exist_ok=True)
+                    out = open(os.path.join(root, f"{name}.{uuid.uuid4().hex}.tmp"), "w", encoding="utf-8", newline="")
+                out.writelines(x + "\n" for x in own["json"])
+        if out:
+            yield pd.DataFrame({"name": [close()]})
+
+    return run
+
+
+def _write_pages(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["text"]):
+                write_if_changed(os.path.join(root, name), text)
+            yield batch[["name"]]
+
+    return run
+
+
+def rebuild(records: DataFrame, root: str, config: Config | None = None, dry_run: bool = False) -> dict[str, str | None]:
     """Writes every index page and catalogue file; deletes generated ones of folders that are no more.
 
-    Returns paths to texts.  Pages are bounded by ``BROWSED``; catalogue lines
-    stream to the driver folder by folder.
+    Type-folder pages and catalogue lines are written by the tasks that make
+    them, a folder's lines as a stream; the store's folder must be one that all
+    executors see.  The driver gets names (a row a folder) and writes the few
+    pages above.  Returns those names, with texts for the pages above only;
+    ``dry_run`` writes nothing and returns every text, which is for small stores.
     """
-    out = {f"{r.type_folder}/index.md": r.text for r in folder_index(records).toLocalIterator()}
-    out |= upper_indexes(records, config)
-    lines: dict[str, list[str]] = {}
-    for r in json_lines(records).orderBy("folder", "place").toLocalIterator():
-        lines.setdefault(f"{r.folder}/index.jsonl", []).append(r.json)
-    out |= {name: "\n".join(x) + "\n" for name, x in lines.items()}
+    pages = folder_index(records).select(F.concat("type_folder", F.lit("/index.md")).alias("name"), "text")
+    lines = json_lines(records)
     if dry_run:
-        return out
+        out: dict[str, str | None] = {r.name: r.text for r in pages.toLocalIterator()} | upper_indexes(records, config)
+        own: dict[str, list[str]] = {}
+        for r in lines.orderBy("folder", *recency()).toLocalIterator():
+            own.setdefault(f"{r.folder}/index.jsonl", []).append(r.json)
+        return out | {name: "\n".join(x) + "\n" for name, x in own.items()}
+    made = pages.mapInPandas(_write_pages(root), "name string").collect()
+    made += lines.repartition("folder").sortWithinPartitions("folder", *recency()).select("folder", "json").mapInPandas(_write_lines(root), "name string").collect()
+    out = {r.name: None for r in made} | upper_indexes(records, config)
     for layer in LAYERS:
         for here, _, names in os.walk(os.path.join(root, layer)):
             for n in names:
-                own = os.path.relpath(os.path.join(here, n), root)
-                if n in ("index.md", "index.jsonl") and own not in out and _generated(os.path.join(root, own)):
-                    os.remove(os.path.join(root, own))
+                own_name = os.path.relpath(os.path.join(here, n), root)
+                if n in ("index.md", "index.jsonl") and own_name not in out and _generated(os.path.join(root, own_name)):
+                    os.remove(os.path.join(root, own_name))
     for name, text in out.items():
-        write_if_changed(os.path.join(root, name), text)
+        if text is not None:
+            write_if_changed(os.path.join(root, name), text)
     return out
 
 
+def rebuild_folder(records: DataFrame, root: str, folder: str) -> dict[str, str | None]:
+    """:func:`rebuild` of one type-folder's page and catalogue file; pages above it stay as they are."""
+    rows = records.filter(F.col("type_folder") == folder)
+    made = folder_index(rows).select(F.concat("type_folder", F.lit("/index.md")).alias("name"), "text").mapInPandas(_write_pages(root), "name string").collect()
+    made += json_lines(rows).repartition("folder").sortWithinPartitions("folder", *recency()).select("folder", "json").mapInPandas(_write_lines(root), "name string").collect()
+    return {r.name: None for r in made}
+
+
 def _generated(path: str) -> bool:
     """Whether a page is ours: a user's own file named index.md is kept."""
     if path.endswith(".jsonl"):
@@ -158,6 +212,15 @@ def _generated(path: str) -> bool:
         return f.read(64).startswith("---\ntype: index\n")
 
 
+def _keep_if_equal(new: str, path: str) -> bool:
+    """Puts a written file in its place unless the same stands there; whether it did."""
+    if os.path.exists(path) and filecmp.cmp(new, path, shallow=False):
+        os.remove(new)
+        return False
+    os.replace(new, path)
+    return True
+
+
 def write_if_changed(path: str, text: str) -> bool:
     data = text.encode()
     if os.path.exists(path):
@@ -165,9 +228,10 @@ def write_if_changed(path: str, text: str) -> bool:
             if f.read() == data:
                 return False
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path + ".tmp", "wb") as f:
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    with open(tmp, "wb") as f:
         f.write(data)
-    os.replace(path + ".tmp", path)
+    os.replace(tmp, path)
     return True
 
 

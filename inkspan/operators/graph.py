@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.link import canonical_target
+from ..errors import usage
+from ..functions.link import canonical, canonical_target
 from ..functions.path import bare
 
 
+def at(edges: DataFrame, side: str, node: str) -> Column:
+    """Whether an edge's ``side`` (``src`` or ``dst``) is ``node``: by folder and number where the edges have them."""
+    if f"{side}_id" not in edges.columns:
+        return bare(F.col("src")) == node if side == "src" else F.col("dst_key") == node
+    folder, _, name = node.rpartition("/")
+    if not re.fullmatch(r"-?[1-9]\d{0,17}|0", name):
+        return F.lit(False)
+    return (F.col(f"{side}_folder") == folder + "/") & (F.col(f"{side}_id") == int(name))
+
+
+#: Nodes of a level that may be broadcast (some 10 MB).
+SMALL = 100_000
+
+
 def edge_pairs(edges: DataFrame) -> DataFrame:
     """Distinct ``(src, target, dst_key)``, sources bare, loops left out."""
     src = bare(F.col("src"))
@@ -17,8 +35,8 @@ def edge_pairs(edges: DataFrame) -> DataFrame:
 
 def backlinks(edges: DataFrame, target: str, among: DataFrame | None = None) -> DataFrame:
     """``src`` of every file that links to ``target``, each once, in order; ``among`` restricts to its paths."""
-    key = canonical_target(F.lit(target))
-    out = edges.filter(F.col("dst_key") == key).select(bare(F.col("src")).alias("src")).filter(F.col("src") != key)
+    key = canonical(target)
+    out = edges.filter(at(edges, "dst", key)).select(bare(F.col("src")).alias("src")).filter(F.col("src") != key)
     if among is not None:
         out = out.join(among.select(bare(F.col("path")).alias("src")), "src", "left_semi")
     return out.distinct().orderBy(F.split("src", "/"))
@@ -32,8 +50,8 @@ def linkers_of_any(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 def forwardlinks(edges: DataFrame, source: str, among: DataFrame | None = None) -> DataFrame:
     """Distinct targets of one file, dangling ones too; parent references and the file itself left out."""
-    key = canonical_target(F.lit(source))
-    out = edges.filter(bare(F.col("src")) == key).select(canonical_target(F.col("target")).alias("target"))
+    key = canonical(source)
+    out = edges.filter(at(edges, "src", key)).select(canonical_target(F.col("target")).alias("target"))
     out = out.filter((F.col("target") != key) & ~F.array_contains(F.split("target", "/"), ".."))
     if among is not None:
         out = out.join(among.select(bare(F.col("path")).alias("target")), "target", "left_semi")
@@ -72,37 +90,52 @@ def neighborhood(edges: DataFrame, start: str, hops: int, *, nodes: DataFrame |
     neighbours in order come before its incoming ones; the first ``max_nodes``
     discovered count.  A node has its least hop and the node that led there.
     ``type`` narrows the output, not the walk; targets that do not exist are
-    nodes with an empty summary.  The frontier of each level is cut from its
-    lineage by a checkpoint in the shared folder (set on the session).
+    nodes with an empty summary.  Without a cap (``max_nodes=None``) each level
+    is cut from its lineage by a checkpoint in the shared folder; a capped one
+    is a few rows on the driver.  Levels of at most SMALL nodes, counted, are
+    broadcast, so that links are scanned and not shuffled.
     """
     spark = edges.sparkSession
-    _shared(spark)
-    pairs = edge_pairs(edges)
-    out = pairs.select(F.col("src").alias("node"), F.col("target").alias("next"), F.lit(0).alias("side"))
-    back = pairs.select(F.col("dst_key").alias("node"), F.col("src").alias("next"), F.lit(1).alias("side"))
-    steps = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
-    origin = spark.createDataFrame([(start, 0, 0, None, None)], "path string, hops int, place long, via string, side int")
-    seen = origin
-    level = origin
+    kinds = "path string, hops int, place long, via string, side int"
+    target = canonical_target(F.col("target"))
+
+    def steps(level: DataFrame | None) -> DataFrame:
+        """(node, next, side, place) of the links at a level's nodes; of the start's alone, by the scan's own filter.
+
+        Links are not made distinct: what is reached is aggregated anyway.
+        """
+        src = bare(F.col("src"))
+        loops = edges.filter(src != F.col("dst_key"))
+        out = loops if level is not None else loops.filter(at(edges, "src", start))
+        back = loops if level is not None else loops.filter(at(edges, "dst", start))
+        out = out.select(src.alias("node"), target.alias("next"), F.lit(0).alias("side"))
+        back = back.select(F.col("dst_key").alias("node"), src.alias("next"), F.lit(1).alias("side"))
+        found = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
+        return found.withColumn("place", F.lit(0).cast("long")) if level is None else found.join(level.select(F.col("path").alias("node"), "place"), "node")
+
+    seen = spark.createDataFrame([(start, 0, 0, None, None)], kinds)
+    level = None
     found = 0
     for hop in range(1, hops + 1):
+        known = F.broadcast(seen) if found <= SMALL else seen
         reached = (
-            level.select(F.col("path").alias("node"), "place").join(steps, "node")
-            .groupBy("next").agg(F.min(F.struct("place", "side", "node")).alias("by"))
-            .join(seen.select(F.col("path").alias("next")), "next", "left_anti")
+            steps(level).groupBy("next").agg(F.min(F.struct("place", "side", "node")).alias("by"))
+            .join(known.select(F.col("path").alias("next")), "next", "left_anti")
         )
         order: list[Column] = [F.col("by.place"), F.col("by.side"), F.split("next", "/")]
+        shown = [F.col("next").alias("path"), F.lit(hop).alias("hops"), F.col("by.node").alias("via"), F.col("by.side").alias("side")]
         if max_nodes is None:
             # Without a cap no global order is needed: the place is the discovering node's name.
-            placed = reached.select(F.col("next").alias("path"), F.lit(hop).alias("hops"), F.xxhash64("next").alias("place"), F.col("by.node").alias("via"), F.col("by.side").alias("side"))
+            _shared(spark)
+            level = reached.select(*shown, F.xxhash64("next").alias("place")).checkpoint()
+            n = level.count()
         else:
-            ranked = reached.orderBy(*order).limit(max(max_nodes - found, 0))
-            place = F.row_number().over(Window.orderBy(*order)).cast("long")
-            placed = ranked.select(F.col("next").alias("path"), F.lit(hop).alias("hops"), place.alias("place"), F.col("by.node").alias("via"), F.col("by.side").alias("side"))
-        level = placed.checkpoint()
-        n = level.count()
+            rows = reached.orderBy(*order).limit(max(max_nodes - found, 0)).select(*shown).collect()  # ``max_nodes`` at most
+            n = len(rows)
+            level = spark.createDataFrame([(r.path, r.hops, k, r.via, r.side) for k, r in enumerate(rows)], kinds)
         found += n
         seen = seen.unionByName(level)
+        level = F.broadcast(level) if n <= SMALL else level
         if not n or max_nodes is not None and found >= max_nodes:
             break
     rows = seen.filter("hops > 0").select("path", "hops", "via", F.when(F.col("side") == 0, "out").otherwise("in").alias("direction"))
@@ -116,8 +149,12 @@ def neighborhood(edges: DataFrame, start: str, hops: int, *, nodes: DataFrame |
 
 
 def _shared(spark) -> None:
-    """A folder for checkpoints: the session's own, or a temporary one where it has none."""
-    import tempfile
+    """The folder for checkpoints, which all executors must share: the session's ``spark.checkpoint.dir``.
 
+    Only on one machine (``local`` masters) may it be unset; a temporary folder is taken there.
+    """
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkspan-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise usage("NO_SHARED_FOLDER", "set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkspan-"))

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import usage
+from ..errors import StoreError, usage
 from ..functions import path as P
-from ..functions.match import parse_where, where
+from ..functions.match import PLAIN, parse_where, plain, where
 from ..functions.time import within
 from ..schema import LAYERS
 
@@ -23,14 +23,21 @@ def check_layer(layer: str | None) -> str | None:
 def filtered(records: DataFrame, type: str | None = None, layer: str | None = None, wheres: Sequence[str] = (),
              updated_after: str | None = None, updated_before: str | None = None,
              created_after: str | None = None, created_before: str | None = None) -> DataFrame:
-    """All predicates as one conjunction, for Catalyst to push down and prune by."""
+    """All predicates as one conjunction, for Catalyst to push down and prune by.
+
+    A field with a plain column is compared as a column, so the scan can take
+    it; others are looked up in the record's tokens.
+    """
     out = records
+    kinds = dict(records.dtypes)
     if check_layer(layer):
         out = out.filter(F.col("layer") == layer)
     if type is not None:
         out = out.filter(F.col("type") == type)
     for w in wheres:
-        out = out.filter(where(*parse_where(w)))
+        key, text = parse_where(w)
+        kind = kinds.get(PLAIN + key)
+        out = out.filter(where(key, text) if kind is None else plain(key, text, kind))
     if updated_after is not None or updated_before is not None:
         out = out.filter(within(F.col("updated"), updated_after, updated_before))
     if created_after is not None or created_before is not None:
@@ -73,6 +80,14 @@ def get_field(records: DataFrame, key: str) -> DataFrame:
     return records.select("path", value.alias("value")).filter("value is not null")
 
 
+def field_of(records: DataFrame, path: str, key: str) -> str:
+    """One field of one record; an error where the record is not there or has no such field."""
+    found = get_field(records.filter(F.col("path") == path), key).first()
+    if found is None:
+        raise StoreError("FM_KEY_NOT_FOUND", f"{path} has no {key}")
+    return found.value
+
+
 def emit_json(rows: DataFrame) -> DataFrame:
     """One JSON text a row, nulls left out."""
     return rows.select(F.to_json(F.struct("*")).alias("json"))

@@ -12,24 +12,28 @@ from .query import check_layer, filtered
 
 
 def match_lines(files: DataFrame, pattern: str, text: str = "text", order: str = "parts", keep: tuple[str, ...] = ("path", "parts"),
-                limit: int | None = None) -> DataFrame:
+                limit: int | None = None, ordered: bool = True) -> DataFrame:
     """``(*keep, line, text)`` of every line that the pattern matches, in file and line order.
 
-    Files without a match anywhere go before their lines are taken apart, and
-    what follows a NUL byte is not searched.
+    Each line meets the pattern once, in its file's row: only matching lines
+    become rows.  What follows a NUL byte is not searched.  A global order
+    reads the files twice (for its ranges and for its rows): ``ordered=False``
+    leaves it out where a ``limit`` does not ask for it.
     """
     regex = check_regex(pattern)
     clean = F.substring_index(F.col(text), "\0", 1)
-    hits = files.filter(clean.rlike("(?m)" + regex)).select(*keep, F.posexplode(T.lines(clean)).alias("at", "line_text"))
-    out = hits.filter(F.col("line_text").rlike(regex)).select(*keep, (F.col("at") + 1).alias("line"), F.col("line_text").alias("text"))
-    out = out.orderBy(order, "line")
+    numbered = F.transform(T.lines(clean), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    hits = files.select(*keep, F.explode(F.filter(numbered, lambda x: x["text"].rlike(regex))).alias("hit"))
+    out = hits.select(*keep, "hit.line", "hit.text")
+    if ordered or limit is not None:
+        out = out.orderBy(order, "line")
     return out if limit is None else out.limit(limit)
 
 
 def candidates(records: DataFrame, edges: DataFrame, *, type: str | None = None, layer: str | None = None, wheres=(), links_to: str | None = None,
-               linked_from: str | None = None, **windows) -> DataFrame | None:
-    """Paths to search, or None for every file."""
-    sets = []
+               linked_from: str | None = None, sets: list[DataFrame] | None = None, **windows) -> DataFrame | None:
+    """Paths to search, or None for every file: the intersection of what each given structure selects, and of ``sets(path)``."""
+    sets = list(sets or [])
     if type is not None or wheres or any(windows.values()):
         sets.append(filtered(records, type=type, wheres=wheres, **windows).select("path"))
     if links_to is not None:
@@ -42,7 +46,8 @@ def candidates(records: DataFrame, edges: DataFrame, *, type: str | None = None,
     return found
 
 
-def search(files: DataFrame, records: DataFrame, edges: DataFrame, pattern: str, *, layer: str | None = None, limit: int | None = None, **structure) -> DataFrame:
+def search(files: DataFrame, records: DataFrame, edges: DataFrame, pattern: str, *, layer: str | None = None, limit: int | None = None,
+           ordered: bool = True, **structure) -> DataFrame:
     """``(path, line, text)`` of matching lines in the files that every given structure selects.
 
     The semi-joins stand below the line scan: Catalyst would not move them there.
@@ -53,4 +58,4 @@ def search(files: DataFrame, records: DataFrame, edges: DataFrame, pattern: str,
     paths = candidates(records, edges, **structure)
     if paths is not None:
         rows = rows.join(paths, "path", "left_semi")
-    return match_lines(rows, pattern, limit=limit).drop("parts")
+    return match_lines(rows, pattern, limit=limit, ordered=ordered).drop("parts")

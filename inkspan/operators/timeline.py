@@ -13,12 +13,12 @@ from ..functions.path import is_safe
 from ..functions.time import bound
 from ..sources.timeline import KINDS, parse_log, render_entry
 
-MUTATING = ("ingest", "create", "update", "delete", "rename", "link", "contradiction")
+MUTATING = ("ingest", "create", "update", "delete", "rename", "link")
 
 
 def tail(log: DataFrame, n: int, kind: str | None = None) -> DataFrame:
     """The ``n`` newest entries, oldest first; of equal times the physically later ones."""
-    rows = log if kind is None else log.filter(F.col("kind") == kind)
+    rows = log.filter("ts is not null") if kind is None else log.filter(F.col("ts").isNotNull() & (F.col("kind") == kind))
     return rows.orderBy(F.desc_nulls_last("ts"), F.desc("ordinal")).limit(n).orderBy("ts", "ordinal")
 
 
@@ -44,22 +44,29 @@ def last_validate(log: DataFrame) -> DataFrame:
 
 def changed_since(log: DataFrame, cutoff: Column) -> DataFrame:
     """``object``: what mutating entries at or after ``cutoff`` name, safe paths only, each once."""
-    name = F.regexp_replace("object", r"^\[\[|\]\]$|\|.*$", "")
-    return log.filter(F.col("kind").isin(*MUTATING) & (F.col("ts") >= cutoff)).select(name.alias("object")).filter(is_safe(F.col("object"))).distinct()
+    name = F.regexp_replace(F.trim(F.regexp_replace(F.trim("object"), r"^(?:\[\[)+|(?:\]\])+$|\|.*$", "")), r"(?:\.md)+$", "")
+    return log.filter(F.col("kind").isin(*MUTATING) & (F.col("ts") >= cutoff)).select(name.alias("object")).filter((F.col("object") != "") & is_safe(F.col("object"))).distinct()
 
 
 def working_set(log: DataFrame, edges: DataFrame, cutoff: Column) -> DataFrame:
     """``path``: changed objects and the files that link to them."""
     from .graph import linkers_of_any
 
-    changed = changed_since(log, cutoff).select(F.regexp_replace("object", r"\.md$", "").alias("path"))
+    changed = changed_since(log, cutoff).select(F.col("object").alias("path"))
     return changed.union(linkers_of_any(edges, changed)).distinct()
 
 
 def out_of_order(log: DataFrame) -> DataFrame:
-    """Entries older than the entry before them in one file."""
-    before = F.lag("ts").over(Window.partitionBy("file").orderBy("ordinal"))
-    return log.withColumn("before", before).filter(F.col("ts") < F.col("before")).drop("before")
+    """Entries older than the last valid time before them, across files in their order.
+
+    A file's own entries are one window; what its first ones follow comes from
+    the files before, of which there is one row each.
+    """
+    timed = log.filter("ts is not null")
+    ends = timed.groupBy("file").agg(F.min("ordinal").alias("start"), F.max_by("ts", "ordinal").alias("end"))
+    follows = F.broadcast(ends.select("file", F.lag("end").over(Window.orderBy("start")).alias("follows")))  # a row a file
+    before = F.coalesce(F.lag("ts").over(Window.partitionBy("file").orderBy("ordinal")), F.col("follows"))
+    return timed.join(follows, "file").withColumn("before", before).filter(F.col("ts") < F.col("before")).select(*log.columns)
 
 
 def unknown_kinds(log: DataFrame) -> DataFrame:

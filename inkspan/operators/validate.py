@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -16,7 +16,7 @@ from ..functions.link import canonical_target
 from ..functions.path import bare, is_content, matches_globs
 from ..functions.shape import SHAPES
 from ..functions.time import rfc3339
-from ..schema import ISSUES
+from ..schema import ISSUES, LAYERS
 from ..sources import frontmatter as fm
 from ..sources.config import Config, Schema
 from ..sources.store import Store
@@ -27,14 +27,31 @@ META_TYPES = ("fact", "operational", "conclusion")
 ERROR, WARNING, INFO = "error", "warning", "info"
 
 
-def issue(rows: DataFrame, severity: str, code: str, file: Column, message: Column | str, line: Column | None = None, key: Column | str | None = None,
-          related: Column | None = None, suggestion: Column | str | None = None) -> DataFrame:
+def _said(severity: str, code: str, file: Column, message: Column | str, line: Column | None = None, key: Column | str | None = None,
+          related: Column | None = None, suggestion: Column | str | None = None) -> list[Column]:
     text = lambda c: F.lit(c) if c is None or isinstance(c, str) else c
-    return rows.select(
+    return [
         F.lit(severity).alias("severity"), F.lit(code).alias("code"), file.cast("string").alias("file"), (F.lit(None) if line is None else line).cast("int").alias("line"),
         text(key).cast("string").alias("key"), text(message).cast("string").alias("message"), text(suggestion).cast("string").alias("suggestion"),
         (F.array() if related is None else related).cast("array<string>").alias("related"),
-    )
+    ]
+
+
+def issue(rows: DataFrame, severity: str, code: str, file: Column, message: Column | str, line: Column | None = None, key: Column | str | None = None,
+          related: Column | None = None, suggestion: Column | str | None = None) -> DataFrame:
+    return rows.select(*_said(severity, code, file, message, line, key, related, suggestion))
+
+
+def rule(cond: Column, severity: str, code: str, message: Column | str, key: str | None = None, line: Column | None = None) -> Column:
+    """An issue of a row's file where ``cond`` holds, else null."""
+    return F.when(cond, F.struct(*_said(severity, code, F.col("path"), message, line, key)))
+
+
+def flagged(rows: DataFrame, rules: list[Column]) -> DataFrame:
+    """The issues of many rules over one relation, found in one pass."""
+    if not rules:
+        return rows.sparkSession.createDataFrame([], ISSUES)
+    return rows.select(F.explode(F.array_compact(F.array(*rules))).alias("i")).select("i.*")
 
 
 def united(parts: list[DataFrame]) -> DataFrame:
@@ -85,65 +102,70 @@ def text(key: str) -> Column:
 
 
 def file_rules(rows: DataFrame, config: Config) -> list[DataFrame]:
-    """Rules over one file's frontmatter; malformed files get no field rules."""
-    path = F.col("path")
-    bad_bytes = rows.filter(~F.col("utf8_ok"))
-    rows = rows.filter("utf8_ok")
-    out = [issue(bad_bytes, ERROR, "FM_UNREADABLE", path, "the file is no UTF-8")]
-    out.append(issue(rows.filter("malformed"), ERROR, "FM_MALFORMED_YAML", path, "the frontmatter is no YAML mapping", F.lit(1)))
-    good = rows.filter("not malformed")
+    """Rules over one file's frontmatter, in one pass; malformed files get no field rules."""
+    readable = F.col("utf8_ok")
+    good = readable & ~F.col("malformed")
+    out = [
+        rule(~readable, ERROR, "FM_UNREADABLE", "the file is no UTF-8"),
+        rule(readable & F.col("malformed"), ERROR, "FM_MALFORMED_YAML", "the frontmatter is no YAML mapping", line=F.lit(1)),
+    ]
 
-    def rule(cond: Column, severity: str, code: str, message: Column | str, key: str | None = None) -> None:
-        out.append(issue(good.filter(F.coalesce(cond, F.lit(False))), severity, code, path, message, key=key))
+    def check(cond: Column, severity: str, code: str, message: Column | str, key: str | None = None) -> None:
+        out.append(rule(good & cond, severity, code, message, key))
 
     blank = lambda k: F.coalesce(F.trim(text(k)) == "", F.lit(True))
-    rule(blank("type"), ERROR, "FM_MISSING_TYPE", "no type", "type")
+    check(blank("type"), ERROR, "FM_MISSING_TYPE", "no type", "type")
     for k in ("created", "updated"):
         missing = value(k).isNull() | (value(k)["kind"] == "null")
-        rule(missing, ERROR, f"FM_MISSING_{k.upper()}", f"no {k}", k)
-        rule(~missing & ((value(k)["kind"] != "string") | rfc3339(text(k)).isNull()), ERROR, "FM_BAD_TIMESTAMP", f"{k} is no RFC 3339 time", k)
+        check(missing, ERROR, f"FM_MISSING_{k.upper()}", f"no {k}", k)
+        check(~missing & ((value(k)["kind"] != "string") | rfc3339(text(k)).isNull()), ERROR, "FM_BAD_TIMESTAMP", f"{k} is no RFC 3339 time", k)
     meta = value("meta-type")
-    rule(meta.isNotNull() & (meta["text"].isNull() | ~meta["text"].isin(*META_TYPES)), ERROR, "FM_BAD_META_TYPE", "meta-type is none of fact, operational, conclusion", "meta-type")
+    check(meta.isNotNull() & (meta["text"].isNull() | ~meta["text"].isin(*META_TYPES)), ERROR, "FM_BAD_META_TYPE", "meta-type is none of fact, operational, conclusion", "meta-type")
     ident = value("id")
-    rule(ident.isNotNull() & (ident["text"].isNull() | (ident["text"] == "") | ident["text"].rlike(r"\s")), WARNING, "FM_BAD_ID", "id is no token", "id")
-    rule(F.col("body").rlike(r"^\s*---[ \t]*\r?\n(?:[\w-]+:.*\r?\n)+---"), WARNING, "FM_IN_BODY", "the body begins with a second frontmatter block")
+    check(ident.isNotNull() & (ident["text"].isNull() | (ident["text"] == "") | ident["text"].rlike(r"\s")), WARNING, "FM_BAD_ID", "id is no token", "id")
+    check(F.col("body").rlike(r"^\s*---[ \t]*\r?\n(?:[\w-]+:.*\r?\n)+---"), WARNING, "FM_IN_BODY", "the body begins with a second frontmatter block")
     summary = text("summary")
     missing = value("summary").isNull() | (value("summary")["kind"] == "null")
-    rule(missing, ERROR, "SUMMARY_MISSING", "no summary", "summary")
-    rule(~missing & (F.trim(F.coalesce(summary, F.lit(""))) == ""), ERROR, "SUMMARY_EMPTY", "the summary is empty", "summary")
-    rule(F.contains(F.rtrim(summary), F.lit("\n")) & (F.trim(summary) != ""), ERROR, "SUMMARY_MULTILINE", "the summary has several lines", "summary")
-    rule(~F.contains(summary, F.lit("\n")) & (F.char_length(summary) > T.SUMMARY_MOST), WARNING, "SUMMARY_TOO_LONG", f"the summary has more than {T.SUMMARY_MOST} characters", "summary")
+    check(missing, ERROR, "SUMMARY_MISSING", "no summary", "summary")
+    check(~missing & (F.trim(F.coalesce(summary, F.lit(""))) == ""), ERROR, "SUMMARY_EMPTY", "the summary is empty", "summary")
+    check(F.contains(F.rtrim(summary), F.lit("\n")) & (F.trim(summary) != ""), ERROR, "SUMMARY_MULTILINE", "the summary has several lines", "summary")
+    check(~F.contains(summary, F.lit("\n")) & (F.char_length(summary) > T.SUMMARY_MOST), WARNING, "SUMMARY_TOO_LONG", f"the summary has more than {T.SUMMARY_MOST} characters", "summary")
     tags = value("tags")
-    rule(tags.isNotNull() & (tags["kind"] != "null") & ~F.coalesce(tags["flat"], F.lit(False)), WARNING, "TAGS_MALFORMED", "tags is no flat list", "tags")
-    out.append(issue(good.withColumn("k", F.explode("flow")), ERROR, "WIKI_LINK_FLOW_FORM_LIST", path, "a list of links in flow form reads as nested lists", key=F.col("k")))
+    check(tags.isNotNull() & (tags["kind"] != "null") & ~F.coalesce(tags["flat"], F.lit(False)), WARNING, "TAGS_MALFORMED", "tags is no flat list", "tags")
     if config.ignored:
-        rule(text("type").isin(*config.ignored), INFO, "POLICY_IGNORED_TYPE_PRESENT", "the type is ignored by policy", "type")
+        check(text("type").isin(*config.ignored), INFO, "POLICY_IGNORED_TYPE_PRESENT", "the type is ignored by policy", "type")
     for kind, schema in config.schemas.items():
-        out += schema_rules(good.filter(text("type") == kind), schema)
-    return out
+        out += [F.when(good & (text("type") == kind), c) for c in schema_columns(schema)]
+    flow = issue(rows.filter(good).withColumn("k", F.explode("flow")), ERROR, "WIKI_LINK_FLOW_FORM_LIST", F.col("path"), "a list of links in flow form reads as nested lists", key=F.col("k"))
+    return [flagged(rows, out), flow]
 
 
-def schema_rules(rows: DataFrame, schema: Schema) -> list[DataFrame]:
-    """A type's required fields, shapes, link prefixes and enumerations."""
-    out, path = [], F.col("path")
+def schema_columns(schema: Schema) -> list[Column]:
+    """A type's required fields, shapes, link prefixes and enumerations, as :func:`rule` columns."""
+    out = []
     for spec in schema.fields:
         v = value(spec.name)
         empty = v.isNull() | (v["kind"] == "null") | F.when(v["kind"] == "list", F.size(v["items"]) == 0).otherwise(F.coalesce(F.trim(v["text"]) == "", v["kind"] != "map"))
+        there = ~F.coalesce(empty, F.lit(True))
         if spec.required:
-            out.append(issue(rows.filter(empty), ERROR, "SCHEMA_MISSING_REQUIRED", path, f"{spec.name} is required", key=spec.name))
-        there = rows.filter(~empty)
+            out.append(rule(empty, ERROR, "SCHEMA_MISSING_REQUIRED", f"{spec.name} is required", spec.name))
         if spec.shape:
             ok = F.coalesce(F.forall(v["items"], SHAPES[spec.shape]) & (v["kind"] != "map"), F.lit(False))
-            out.append(issue(there.filter(~ok), ERROR, "SCHEMA_SHAPE_MISMATCH", path, f"{spec.name} is no {spec.shape}", key=spec.name))
+            out.append(rule(there & ~ok, ERROR, "SCHEMA_SHAPE_MISMATCH", f"{spec.name} is no {spec.shape}", spec.name))
         if spec.enum:
-            out.append(issue(there.filter(~F.forall(v["items"], lambda x: x.isin(*spec.enum))), ERROR, "SCHEMA_ENUM_VIOLATION", path, f"{spec.name} is none of {', '.join(spec.enum)}", key=spec.name))
+            out.append(rule(there & ~F.forall(v["items"], lambda x: x.isin(*spec.enum)), ERROR, "SCHEMA_ENUM_VIOLATION", f"{spec.name} is none of {', '.join(spec.enum)}", spec.name))
         if spec.link_prefix:
             link = lambda x: F.regexp_extract(x, r"^\s*\[\[([^\]|]*)", 1)
             ok = F.forall(v["items"], lambda x: canonical_target(link(x)).startswith(spec.link_prefix))
-            out.append(issue(there.filter(~F.coalesce(ok, F.lit(False))), ERROR, "SCHEMA_LINK_PREFIX_MISMATCH", path, f"{spec.name} is no link to {spec.link_prefix}", key=spec.name))
+            out.append(rule(there & ~F.coalesce(ok, F.lit(False)), ERROR, "SCHEMA_LINK_PREFIX_MISMATCH", f"{spec.name} is no link to {spec.link_prefix}", spec.name))
     return out
 
 
+def schema_rules(rows: DataFrame, schema: Schema) -> list[DataFrame]:
+    """A type's rules over its own rows, in one pass."""
+    return [flagged(rows, schema_columns(schema))]
+
+
 def link_rules(edges: DataFrame, paths: DataFrame, everything: bool = True) -> list[DataFrame]:
     """Links: short form (ambiguous, where several files have the name), extension, missing target."""
     target = canonical_target(F.col("target"))
@@ -252,27 +274,35 @@ def asset_rules(declared: DataFrame, manifest: DataFrame, paths: DataFrame) -> l
 
 
 def config_rules(spark: SparkSession, store: Store) -> DataFrame:
-    rows = [(s, c, "DB.md", n, None, m, None, []) for s, c, n, m in store.config.problems]
+    rows = [(s, c, store.config_name, n, None, m, None, []) for s, c, n, m in store.config.problems]
     rows += [(ERROR, "NESTED_STORE", p, None, None, "a store inside the store", None, []) for p in store.nested()]
     return spark.createDataFrame(rows, ISSUES)
 
 
+_PAGES = "folder string, path string, scope string, says string, line int, entry string, summary string"
+
+
+def _page_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.strip().split(" ")[0] for x in _PAGES.split(",")]
+    for batch in batches:
+        for own, raw in zip(batch["path"], batch["content"]):
+            _, head, body, line = fm.split(raw.decode("utf-8", "replace"))
+            front = fm.load(head) or {}
+            if fm.scalar(front.get("type")) != "index":
+                continue
+            base = (own.rsplit("/", 1)[0], own, fm.scalar(front.get("scope")), fm.scalar(front.get("folder")))
+            found = [(n, m) for n, x in enumerate(body.splitlines(), line) if (m := re.match(r"^- \[\[([^\]|]+)(?:\|[^\]]*)?\]\](?: — (.*))?$", x))]
+            rows = [(*base, n, m[1], re.sub(r"  ·  #.*$", "", m[2] or "")) for n, m in found] or [(*base, None, None, None)]
+            out = pd.DataFrame(rows, columns=names)
+            yield out.assign(line=out["line"].astype("Int32"))
+
+
 def index_pages(spark: SparkSession, store: Store) -> DataFrame:
-    """Entries of the type-folder pages on disk."""
-    rows = []
-    for own, is_dir, _ in store.paths():
-        if is_dir or not own.endswith("/index.md") or own.count("/") != 2:
-            continue
-        with open(os.path.join(store.root, own), encoding="utf-8", errors="replace") as f:
-            raw = f.read()
-        _, head, body, line = fm.split(raw)
-        front = fm.load(head) or {}
-        if fm.scalar(front.get("type")) != "index":
-            continue
-        base = (own.rsplit("/", 1)[0], own, fm.scalar(front.get("scope")), fm.scalar(front.get("folder")))
-        found = [(n, m) for n, x in enumerate(body.splitlines(), line) if (m := re.match(r"^- \[\[([^\]|]+)(?:\|[^\]]*)?\]\](?: — (.*))?$", x))]
-        rows += [(*base, n, m[1], re.sub(r"  ·  #.*$", "", m[2] or "")) for n, m in found] or [(*base, None, None, None)]
-    return spark.createDataFrame(rows, "folder string, path string, scope string, says string, line int, entry string, summary string")
+    """Entries of the type-folder pages on disk, read in tasks."""
+    from ..sources import store as S
+
+    rows = S.listing(spark, store, list(LAYERS)).filter(~F.col("is_dir") & F.col("path").rlike("^[^/]+/[^/]+/index\\.md$"))
+    return S._contents(spark, store, rows, S.CONTENT_MOST).mapInPandas(_page_rows, _PAGES)
 
 
 def frozen(path: Column, config: Config) -> Column:
@@ -280,11 +310,28 @@ def frozen(path: Column, config: Config) -> Column:
     return matches_globs(path, config.frozen)
 
 
+def scoped(issues: DataFrame) -> DataFrame:
+    """Issues of a store that shows only part of another: what a broken link says of a file that may not be seen is left out."""
+    hidden = F.col("code") == "WIKI_LINK_BROKEN"
+    return issues.withColumns({
+        "severity": F.when(hidden, F.lit(INFO)).otherwise(F.col("severity")), "code": F.when(hidden, F.lit("WIKI_LINK_SCOPED_UNRESOLVED")).otherwise(F.col("code")),
+        "message": F.when(hidden, F.lit("the link leaves what this view of the store shows")).otherwise(F.col("message")),
+        "suggestion": F.when(hidden, F.lit("ask for a wider view, or look from the whole store")).otherwise(F.col("suggestion")),
+        "related": F.when(hidden, F.array().cast("array<string>")).otherwise(F.col("related")),
+    })
+
+
 def validate_all(spark: SparkSession, store: Store) -> DataFrame:
-    """Every rule over the whole store.  Files are read and parsed once and kept while rules share them."""
+    """Every rule over the whole store.
+
+    Files are read and parsed once and kept while rules share them; the issues
+    are then written to the shared folder (a checkpoint) and the files let go.
+    """
     from ..sources import store as S
     from .assets import declarations
+    from .graph import _shared
 
+    _shared(spark)
     files = S.files(spark, store)
     rows = facts(files).persist()
     edges = S.edges(files.filter("utf8_ok")).persist()
@@ -301,7 +348,10 @@ def validate_all(spark: SparkSession, store: Store) -> DataFrame:
         if getattr(e, "code", "") != "ASSET_MANIFEST_MALFORMED":
             raise
         parts.append(spark.createDataFrame([(ERROR, e.code, "assets.jsonl", None, None, e.message, None, [])], ISSUES))
-    return united(parts)
+    found = united(parts).checkpoint()
+    for kept in (rows, edges, paths, records):
+        kept.unpersist()
+    return found
 
 
 def validate_working_set(spark: SparkSession, store: Store, changed: DataFrame | None) -> DataFrame:
@@ -309,12 +359,18 @@ def validate_working_set(spark: SparkSession, store: Store, changed: DataFrame |
     from ..sources import store as S
     from .graph import linkers_of_any
 
-    files = S.files(spark, store)
-    edges = S.edges(files.filter("utf8_ok"))
+    from .graph import _shared
+
+    _shared(spark)
+    files = S.files(spark, store).persist()
+    edges = S.edges(files.filter("utf8_ok")).persist()
+    links, own = edges, files
     if changed is not None and not changed.isEmpty():
         nodes = changed.select(bare(F.col("path")).alias("node")).union(linkers_of_any(edges, changed)).distinct()
-        files = files.join(nodes, bare(F.col("path")) == F.col("node"), "left_semi")
-        edges = edges.join(nodes, bare(F.col("src")) == F.col("node"), "left_semi")
+        own = files.join(nodes, bare(F.col("path")) == F.col("node"), "left_semi")
+        links = edges.join(nodes, bare(F.col("src")) == F.col("node"), "left_semi")
     paths = S.listing(spark, store).filter("not is_dir")
-    return united([config_rules(spark, store).filter("code = 'NESTED_STORE'"), *file_rules(facts(files), store.config), *link_rules(edges, paths, everything=False)])
-
+    found = united([config_rules(spark, store).filter("code = 'NESTED_STORE'"), *file_rules(facts(own), store.config), *link_rules(links, paths, everything=False)]).checkpoint()
+    files.unpersist()
+    edges.unpersist()
+    return found

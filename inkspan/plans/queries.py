@@ -112,10 +112,12 @@ def path_derivations(spark, sf):
     return rows.select("path", P.type_folder(p).alias("folder"), P.default_folder(F.col("type")).alias("default_folder"), P.infer_type(p).alias("inferred"), P.stem(p).alias("stem"))
 
 
-@stated("SELECT doc_id FROM documents WHERE source LIKE 'src1_' OR regexp_matches(CAST(doc_id AS VARCHAR), '^9.$')")
+@stated("SELECT doc_id FROM documents WHERE source LIKE 'src1%' OR regexp_matches(CAST(doc_id AS VARCHAR), '^9') OR (source = 'src2' AND doc_id % 2 = 1)")
 def path_frozen_globs(spark, sf):
+    # A question mark stands for itself: paths that hold one are matched, others are not.
     rows = tb.files(spark, sf)
-    return rows.filter(P.matches_globs(F.col("path"), ["./sources/src1?/**", "sources/*/9?.md"])).select("doc_id")
+    path = F.when((F.col("source") == "src2") & (F.col("doc_id") % 2 == 1), F.concat(F.lit("sources/odd?/"), F.col("doc_id").cast("string"), F.lit(".md"))).otherwise(F.col("path"))
+    return rows.filter(P.matches_globs(path, ["./sources/src1*/**", "sources/*/9*.md", "sources/odd?/*", "sources/src?/**"])).select("doc_id")
 
 
 # -- search ------------------------------------------------------------------------------------------------------------
@@ -126,13 +128,13 @@ _LINES = ("SELECT doc_id, 'sources/' || source || '/' || doc_id || '.md' AS path
 
 @stated(f"SELECT path, line::INT AS line, text FROM ({_LINES}) WHERE regexp_matches(text, '(^|[^A-Za-z])(idiot|moron)([^A-Za-z]|$)')")
 def search_regex_lines(spark, sf):
-    return search.match_lines(tb.files(spark, sf), "(^|[^A-Za-z])(idiot|moron)([^A-Za-z]|$)").select("path", "line", "text")
+    return search.match_lines(tb.files(spark, sf), "(^|[^A-Za-z])(idiot|moron)([^A-Za-z]|$)", ordered=False).select("path", "line", "text")
 
 
 @stated(f"SELECT path, line::INT AS line, text FROM ({_LINES}) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND regexp_matches(text, '[0-9]{{4}}')")
 def search_scoped_semi(spark, sf):
     rows = tb.files(spark, sf).join(tb.read(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    return search.match_lines(rows, "[0-9]{4}").select("path", "line", "text")
+    return search.match_lines(rows, "[0-9]{4}", ordered=False).select("path", "line", "text")
 
 
 @stated(f"SELECT doc_id, line::INT AS line FROM ({_LINES}) WHERE regexp_matches(text, 'on') ORDER BY doc_id, line LIMIT 50")
@@ -193,7 +195,7 @@ def graph_neighborhood_2hop(spark, sf):
 def graph_linked_intersection(spark, sf):
     c = tb.edge(tb.read(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'"), "records/customers/", "c_custkey", "records/nations/", "c_nationkey")
     s = tb.edge(tb.read(spark, sf, "supplier"), "records/suppliers/", "s_suppkey", "records/nations/", "s_nationkey")
-    return c.select(F.col("target").alias("path")).intersect(s.select(F.col("target").alias("path")))
+    return search.candidates(tb.customers(spark, sf), c, sets=[c.select(F.col("target").alias("path")), s.select(F.col("target").alias("path"))]).distinct()
 
 
 # -- catalogue ---------------------------------------------------------------------------------------------------------
@@ -336,34 +338,47 @@ def _word_rows(spark, sf):
     return tb.read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))).alias("w"))
 
 
-@stated(f"SELECT doc_id, w AS email FROM ({_WORDS}) WHERE regexp_matches(w, '^[^@]+@[^@.]+([.][^@.]+)+$')")
+_MAIL = ("CASE i % 8 WHEN 0 THEN w || '@' || w || '.org' WHEN 1 THEN '  ' || w || '@x..org ' WHEN 2 THEN w || '@@x.org' WHEN 3 THEN w || '@.org' "
+         "WHEN 4 THEN w || '@x.org.' WHEN 5 THEN '@x.org' WHEN 6 THEN w || ' ' || w || '@x.org' ELSE w || '@local' END")
+
+
+@stated(f"SELECT event_id, i % 8 < 2 AS is_email FROM (SELECT event_id, event_id AS i, event_type AS w FROM events)")
 def validate_shape_email(spark, sf):
-    return _word_rows(spark, sf).filter(shape.is_email(F.col("w"))).select("doc_id", F.col("w").alias("email"))
+    rows = tb.read(spark, sf, "events").withColumns({"i": F.col("event_id"), "w": F.col("event_type")})
+    return rows.select("event_id", shape.is_email(F.expr(_MAIL)).alias("is_email"))
 
 
-@stated("SELECT page_id, regexp_matches(url, '^https?://[^ /][^ ]*$') AS is_url, regexp_matches(split_part(url, '?', 1), '^https?://') AS is_bare FROM pages")
+@stated("SELECT page_id, true AS is_url, page_id % 3 <> 0 AS is_bare, page_id % 2 = 0 AS has_scheme FROM pages")
 def validate_shape_url(spark, sf):
-    return tb.read(spark, sf, "pages").select("page_id", shape.is_url(F.col("url")).alias("is_url"), shape.is_url(F.split_part("url", F.lit("?"), F.lit(1))).alias("is_bare"))
+    bare = F.when(F.col("page_id") % 3 == 0, F.lit(" https:// ")).when(F.col("page_id") % 3 == 1, F.lit("http:///")).otherwise(F.lit("\thttps://a b\n"))
+    scheme = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^https?", "HTTP"))
+    return tb.read(spark, sf, "pages").select(
+        "page_id", shape.is_url(F.concat(F.lit(" "), F.col("url"))).alias("is_url"), shape.is_url(bare).alias("is_bare"), shape.is_url(scheme).alias("has_scheme"))
 
 
-@stated("SELECT c_custkey, true AS is_currency, c_acctbal = round(c_acctbal) AND c_acctbal = -1 AS is_int FROM customer")
+@stated("SELECT c_custkey, i < 6 AS is_currency, i IN (0, 5) AS is_int FROM (SELECT c_custkey, c_custkey % 12 AS i FROM customer)")
 def validate_shape_currency(spark, sf):
-    money = F.concat(F.lit("$"), F.format_number(F.abs("c_acctbal"), 2))
-    return tb.read(spark, sf, "customer").select("c_custkey", shape.is_currency(money).alias("is_currency"), shape.is_int(money).alias("is_int"))
+    forms = ["+5", "$ 1,2,34.5", "USD -100", "€7", "eur 1.25", "12", "-$5", "5.123", "1e3", "USD", "US 5", "inf"]
+    form = F.element_at(F.array(*map(F.lit, forms)), (F.col("c_custkey") % 12 + 1).cast("int"))
+    return tb.read(spark, sf, "customer").select("c_custkey", shape.is_currency(form).alias("is_currency"), shape.is_int(form).alias("is_int"))
 
 
-@stated("SELECT o_orderkey, true AS is_date, false AS is_bad FROM orders")
+@stated("SELECT o_orderkey, i IN (0, 1, 2) AS is_date FROM (SELECT o_orderkey, o_orderkey % 6 AS i FROM orders)")
 def validate_shape_date(spark, sf):
     day = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd")
-    return tb.read(spark, sf, "orders").select("o_orderkey", shape.is_date(day).alias("is_date"), shape.is_date(F.concat(F.substring(day, 1, 5), F.lit("13-40"))).alias("is_bad"))
+    forms = [day, F.concat(day, F.lit("T10:00:00Z")), F.concat(day, F.lit("T10:00:00.5+02:00")), F.concat(F.substring(day, 1, 5), F.lit("02-30")), F.substring(day, 1, 7), F.concat(day, F.lit(" 10:00"))]
+    form = F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return tb.read(spark, sf, "orders").select("o_orderkey", shape.is_date(form).alias("is_date"))
 
 
 @stated("SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, min(event_id) AS first, list_sort(array_agg(event_id))[2:] AS related "
         "FROM events GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def validate_dup_unique_key(spark, sf):
     rows = tb.read(spark, sf, "events").withColumn("day", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd"))
-    groups = rows.groupBy("user_id", "event_type", "day").agg(F.array_sort(F.collect_list("event_id")).alias("all")).filter(F.size("all") > 1)
-    return groups.select("user_id", "event_type", "day", F.element_at("all", 1).alias("first"), F.slice("all", F.lit(2), F.size("all")).alias("related"))
+    own = _fields(rows, F.lpad(F.col("event_id").cast("string"), 12, "0"), type=F.lit("event"), user_id=F.col("user_id"), event_type=F.col("event_type"), day=F.col("day"))
+    found = validate.duplicate_keys(own, validate.Config(schemas={"event": validate.Schema(unique=[["user_id", "event_type", "day"]])}))[0]
+    found = found.select(F.col("file").cast("long").alias("first"), F.transform("related", lambda x: x.cast("long")).alias("related"))
+    return found.join(rows.select(F.col("event_id").alias("first"), "user_id", "event_type", "day"), "first")
 
 
 @stated("SELECT 'error' AS severity, 'DUP_ID' AS code, CAST(min(lpad(CAST(p_partkey AS VARCHAR), 9, '0')) AS VARCHAR) AS file, 'id' AS key FROM part GROUP BY p_name HAVING count(*) > 1")
@@ -438,16 +453,21 @@ def log_last_kind(spark, sf):
     return show(timeline.last_validate_physical(log), "physical").join(F.broadcast(show(timeline.last_validate(log), "latest")), F.lit(True))
 
 
-@stated("SELECT event_id AS ordinal FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY value, event_id) AS before FROM events) WHERE ts < before")
+@stated("SELECT event_id AS ordinal FROM (SELECT event_id, t, lag(t IGNORE NULLS) OVER (ORDER BY event_type, value, event_id) AS before FROM "
+        "(SELECT *, CASE WHEN event_id % 7 > 0 THEN ts END AS t FROM events)) WHERE t < before")
 def log_out_of_order(spark, sf):
+    # A file for each kind, in the order of kinds; each seventh entry has no valid time and hides nothing.
     rows = tb.log(spark, sf).join(tb.read(spark, sf, "events").select(F.col("event_id").alias("at"), "value"), F.col("ordinal") == F.col("at")).withColumn("file", F.col("kind"))
-    rows = rows.withColumn("ordinal", F.struct(F.col("value").alias("a"), F.col("at").alias("b")))
+    rows = rows.withColumns({"ordinal": F.struct("kind", F.col("value").alias("a"), F.col("at").alias("b")), "ts": F.when(F.col("at") % 7 > 0, F.col("ts"))})
     return timeline.out_of_order(rows).select(F.col("at").alias("ordinal"))
 
 
-@stated("SELECT DISTINCT 'records/users/' || user_id AS object FROM events WHERE event_type IN ('purchase', 'click') AND ts >= TIMESTAMP '2024-01-30 00:00:00'")
+@stated("SELECT DISTINCT 'records/users/' || user_id AS object FROM events WHERE event_type IN ('purchase', 'click') AND event_id % 11 <> 0 AND ts >= TIMESTAMP '2024-01-30 00:00:00'")
 def log_changed_objects(spark, sf):
-    log = tb.log(spark, sf).withColumn("kind", F.when(F.col("kind").isin("purchase", "click"), "update").otherwise(F.col("kind")))
+    # Views become contradictions, which change no object; objects are written as links, with the extension or with blanks.
+    kind = F.when(F.col("kind").isin("purchase", "click"), "update").when(F.col("kind") == "view", "contradiction").otherwise(F.col("kind"))
+    shown = F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("[["), F.col("object"), F.lit("|user]]"))).when(F.col("ordinal") % 3 == 1, F.concat(F.lit(" "), F.col("object"), F.lit(".md "))).otherwise(F.col("object"))
+    log = tb.log(spark, sf).withColumns({"kind": kind, "object": F.when(F.col("ordinal") % 11 == 0, F.concat(F.lit("../"), F.col("object"))).otherwise(shown)})
     return timeline.changed_since(log, F.lit("2024-01-30 00:00:00").cast("timestamp"))
 
 
@@ -475,7 +495,11 @@ def feed_page(spark, sf):
 
 @stated("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def emit_sha256(spark, sf):
-    return tb.read(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    from ..operators.emit import emit
+    from ..sources import store
+
+    rows = tb.read(spark, sf, "documents").select(F.concat(F.lit("sources/d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("content"))
+    return emit(store.described(rows)).select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long").alias("doc_id"), "sha256")
 
 
 @stated("SELECT o_orderkey, array_to_string([w FOR w, i IN l IF list_position(l, w) = i], ' ') AS words FROM (SELECT o_orderkey, regexp_split_to_array(o_orderpriority || ' ' || o_orderstatus || ' ' || o_orderpriority, '[- ]') AS l FROM orders)")

@@ -13,7 +13,7 @@ RECORDS = (
     f"updated timestamp, fields_json string, tokens map<string,array<{TOKEN}>>"
 )
 EDGES = (
-    "src string, target string, dst_key string, region string, line int, start int, end int, raw string, alias string"
+    "src string, target string, dst_key string, region string, line int, start int, end int, raw string, alias string, key string"
 )
 LOG = "ts timestamp, ym string, kind string, object string, note string, file string, ordinal long"
 ISSUES = (
@@ -22,4 +22,6 @@ ISSUES = (
 )
 ASSETS = "path string, sha256 string, bytes long, media_type string, wrappers array<string>, required boolean"
 LAYERS = ("sources", "records")
-META_FILES = ("index.md", "DB.md", "log.md")
+#: The name of a store's configuration file and the type that its frontmatter states, unless a caller passes others.
+CONFIG_FILE, CONFIG_TYPE = "STORE.md", "store"
+META_FILES = ("index.md", CONFIG_FILE, "log.md")

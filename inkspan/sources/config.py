@@ -1,10 +1,11 @@
-"""The store's configuration: the sections of its ``DB.md``."""
+"""The store's configuration: the sections of its configuration file."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
 
+from ..schema import CONFIG_TYPE
 from . import frontmatter as fm
 
 SHAPES = ("string", "int", "bool", "date", "email", "currency", "url")
@@ -19,10 +20,12 @@ class FieldSpec:
     link_prefix: str | None = None
     default: str | None = None
     enum: list[str] | None = None
+    unknown: list[str] = field(default_factory=list)  # modifiers that mean nothing
 
 
 @dataclass
 class Schema:
+    line: int = 1
     fields: list[FieldSpec] = field(default_factory=list)
     unique: list[list[str]] = field(default_factory=list)
     summary_template: str | None = None
@@ -52,7 +55,7 @@ def _listed(text: str) -> str:
 
 
 def _field(text: str) -> FieldSpec:
-    m = re.match(r"^([^()]+?)\s*(?:\((.*)\))?\s*(?:—.*)?$", text)
+    m = re.match(r"^([^()]*?)\s*(?:\((.*)\))?\s*(?:—.*)?$", text)
     spec = FieldSpec((m[1] if m else text).strip(" `"))
     modifiers = m[2] if m and m[2] else ""
     # ``enum: a, b`` takes the rest of the parenthesis.
@@ -68,32 +71,53 @@ def _field(text: str) -> FieldSpec:
             spec.link_prefix = one[8:].strip().strip("`").rstrip("/") + "/"
         elif one.startswith("default "):
             spec.default = one[8:].strip()
+        elif one:
+            spec.unknown.append(one)
     return spec
 
 
-def parse(text: str) -> Config:
-    """Reads ``DB.md``; what it does not know is noted in ``problems`` and otherwise passed over."""
+def schema_problems(kind: str, schema: Schema) -> list[tuple[str, str, int, str]]:
+    """What is doubtful in a type's fields: none or repeated names, unknown modifiers, unique keys that may be missing."""
+    out, seen = [], set()
+    for spec in schema.fields:
+        if not spec.name:
+            out.append(("warning", "CONFIG_SCHEMA_FIELD", schema.line, f"{kind}: a field without a name"))
+            continue
+        if spec.name in seen:
+            out.append(("warning", "CONFIG_SCHEMA_FIELD", schema.line, f"{kind}: {spec.name} is declared more than once"))
+        seen.add(spec.name)
+        out += [("info", "CONFIG_SCHEMA_FIELD", schema.line, f"{kind}: {spec.name} has the unknown modifier {x!r}") for x in spec.unknown]
+    required = {f.name for f in schema.fields if f.required}
+    for name in dict.fromkeys(k for key in schema.unique for k in key):
+        if name not in required:
+            out.append(("warning", "CONFIG_SCHEMA_FIELD", schema.line, f"{kind}: the unique key field {name} is {'not required' if name in seen else 'not declared'}"))
+    return out
+
+
+def parse(text: str, kind: str = CONFIG_TYPE) -> Config:
+    """Reads a configuration file whose frontmatter states the type ``kind``; what it does not know is noted in
+    ``problems`` and otherwise passed over."""
     config = Config()
     state, raw, body, line = fm.split(text)
     front = fm.load(raw) if state == fm.OK else None
     config.frontmatter = front or {}
-    if fm.scalar(config.frontmatter.get("type")) != "db-md":
-        config.problems.append(("error", "DB_MD_BAD_TYPE", 1, "the frontmatter's type must be db-md"))
+    if fm.scalar(config.frontmatter.get("type")) != kind:
+        config.problems.append(("error", "CONFIG_BAD_TYPE", 1, f"the frontmatter's type must be {kind}"))
     for name in ("scope", "owner"):
         if not fm.scalar(config.frontmatter.get(name)):
-            config.problems.append(("error", "DB_MD_MISSING_FIELD", 1, f"the frontmatter has no {name}"))
+            config.problems.append(("error", "CONFIG_MISSING_FIELD", 1, f"the frontmatter has no {name}"))
     section = sub = ""
     prose: list[str] = []
     for n, own in enumerate(body.splitlines(), line):
         if m := re.match(r"^##\s+(.*?)\s*$", own):
             section, sub = m[1], ""
             if section not in SECTIONS:
-                config.problems.append(("warning", "DB_MD_UNKNOWN_SECTION", n, f"unknown section {section!r}"))
+                config.problems.append(("warning", "CONFIG_UNKNOWN_SECTION", n, f"unknown section {section!r}"))
             continue
         if m := re.match(r"^###\s+(.*?)\s*$", own):
             sub = m[1].strip("`")
             if section == "Schemas":
-                config.schemas.setdefault(sub, Schema())
+                config.schemas.setdefault(sub, Schema(line=n))
             continue
         if section == "Agent instructions":
             prose.append(own)
@@ -121,10 +145,7 @@ def parse(text: str) -> Config:
             path, _, remark = item.partition(" — ") if " — " in item else item.partition(" - ")
             path, bar, display = path.strip().strip("`").partition("|")
             config.folders[path.strip().strip("`").rstrip("/")] = (display.strip(" `") if bar else None, remark.strip() or None)
-    for kind, schema in config.schemas.items():
-        required = {f.name for f in schema.fields if f.required}
-        for key in schema.unique:
-            if missing := [k for k in key if k not in required]:
-                config.problems.append(("warning", "DB_MD_SCHEMA_FIELD", 1, f"{kind}: unique key fields {missing} are not required"))
+    for name, schema in config.schemas.items():
+        config.problems += schema_problems(name, schema)
     config.instructions = "\n".join(prose).strip()
     return config

@@ -8,6 +8,8 @@ from datetime import datetime
 
 import yaml
 
+from ..schema import LAYERS
+
 STRICT, LOOSE = "strict", "loose"
 NONE, OK, OPEN = "none", "ok", "unterminated"
 
@@ -63,18 +65,17 @@ def split(text: str) -> tuple[str, str | None, str, int]:
     before the first is passed over.
     """
     own = text[1:] if text.startswith("﻿") else text
-    first, _, rest = own.partition("\n")
-    if first.rstrip() != "---":
+    end = own.find("\n")
+    if (own if end < 0 else own[:end]).rstrip() != "---":
         return NONE, None, text, 1
-    taken, line = [], 2
-    while rest or not taken:
-        head, end, tail = rest.partition("\n")
-        if head.rstrip() == "---":
-            return OK, "".join(taken), tail, line + 1
-        taken.append(head + end)
-        rest, line = tail, line + 1
-        if not end:
-            break
+    start = at = end + 1 if end >= 0 else len(own)
+    line = 2
+    while at < len(own):
+        end = own.find("\n", at)
+        stop = len(own) if end < 0 else end
+        if own[at : min(stop, at + 3)] == "---" and own[at:stop].rstrip() == "---":
+            return OK, own[start:at], own[stop + 1 :], line + 1
+        at, line = stop + 1, line + 1
     return OPEN, None, text, 1
 
 
@@ -199,6 +200,43 @@ def _links(line: str):
             yield target, (alias.strip() if bar else None), m
 
 
+_KEY = re.compile(r"([^\s#\[\]{}:-][^:]*?)\s*:(?:\s|$)")
+_WIKI = re.compile(r"\[\[([^\[\]|]+?)(?:\|([^\[\]]*))?\]\]")
+
+
+def wiki_links(text: str) -> list[dict]:
+    """Every ``[[target|display]]`` of a text as written, fences or not, with its line and column (in characters, from
+    1), whether its target begins with a layer and whether it has the extension."""
+    out = []
+    for n, line in enumerate(text.splitlines(), 1):
+        for m in _WIKI.finditer(line):
+            own = m[1].strip()
+            out.append({"target": m[1], "display": m[2], "line": n, "column": m.start() + 1, "is_full_path": "/" in own and own.split("/")[0] in LAYERS, "has_extension": own.endswith(".md")})
+    return out
+
+
+def link_fields(raw: str | None) -> list[tuple[str, str, str | None]]:
+    """(key, target, display) of each field that is a link or a list of links; of a summary's links, all.
+
+    Lists of unquoted links, which YAML reads as nested lists, are left out.
+    """
+    try:
+        front = yaml.load(raw or "", _Loader)  # noqa: S506 - a safe loader
+    except (yaml.YAMLError, ValueError, RecursionError):
+        return []
+    if not isinstance(front, dict):
+        return []
+    out = [("summary", x["target"], x["display"]) for x in wiki_links(front["summary"])] if isinstance(front.get("summary"), str) else []
+    for key, value in front.items():
+        value = unfold(value) if isinstance(value, list) and len(value) == 1 else value
+        if key in ("type", "id", "created", "updated", "summary", "status", "tags", "meta-type"):
+            continue
+        for item in value if isinstance(value, list) else [value]:
+            if isinstance(item, str) and (m := _WIKI.fullmatch(item.strip())):
+                out.append((str(key), m[1], m[2]))
+    return out
+
+
 def canonical(target: str) -> str:
     target = target.strip().replace("\\", "/")
     while target.startswith("./"):
@@ -209,23 +247,27 @@ def canonical(target: str) -> str:
 def edges(text: str) -> list[dict]:
     """Every link of a file: frontmatter lines, then body lines outside code fences, duplicates kept.
 
-    ``start`` and ``end`` are byte offsets into the body (null in frontmatter).
+    ``start`` and ``end`` are byte offsets into the body (null in frontmatter);
+    ``key`` is the field that a frontmatter line belongs to (null in the body).
     """
     import unicodedata
 
     state, fm, body, body_line = split(text)
     out = []
 
-    def add(region, line, start, end, target, alias, raw):
+    def add(region, line, start, end, target, alias, raw, key=None):
         out.append({
             "target": target, "dst_key": unicodedata.normalize("NFC", canonical(target)), "region": region, "line": line,
-            "start": start, "end": end, "raw": raw, "alias": alias,
+            "start": start, "end": end, "raw": raw, "alias": alias, "key": key,
         })
 
     if state == OK:
+        key = None
         for n, line in enumerate(fm.split("\n"), 2):
+            if found := _KEY.match(line):
+                key = found[1].strip("\"'")
             for target, alias, m in _links(line):
-                add("fm", n, None, None, target, alias, m[0])
+                add("fm", n, None, None, target, alias, m[0], key)
     fence, at = Fence(), 0
     for n, line in enumerate(body.split("\n"), body_line):
         if not fence.inside(line.rstrip("\r")):

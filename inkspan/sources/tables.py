@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.match import PLAIN
 from ..schema import TOKEN
 
 _KINDS = {"string": "string", "boolean": "bool", "double": "float", "float": "float"}
@@ -31,11 +32,13 @@ def token(c: str, dtype: str) -> Column:
 
 
 def as_records(rows: DataFrame, *, path: Column, type: Column | str, summary: Column, tags: Column | None = None, created: Column | None = None,
-               updated: Column | None = None, fields: Sequence[str] = ()) -> DataFrame:
+               updated: Column | None = None, fields: Sequence[str] = (), layer: str | None = None) -> DataFrame:
     """The record relation of any DataFrame; ``fields`` become queryable by ``key=value``.
 
     All of it is Column expressions: what a query does not touch is pruned
-    from the scan, and predicates on plain columns reach it.
+    from the scan.  Each field stands in the token map and as a plain column
+    (``field:name``), by which predicates reach the scan.  A ``layer`` that all
+    paths have in common is a literal, so that a filter by it is free.
     """
     kinds = dict(rows.dtypes)
     none = F.lit(None).cast("timestamp")
@@ -43,7 +46,7 @@ def as_records(rows: DataFrame, *, path: Column, type: Column | str, summary: Co
     pairs = [x for f in fields for x in (F.lit(f), token(f, kinds[f]))]
     p = path
     return rows.select(
-        p.alias("path"), F.split(p, "/").alias("parts"), F.split_part(p, F.lit("/"), F.lit(1)).alias("layer"),
+        p.alias("path"), F.split(p, "/").alias("parts"), (F.split_part(p, F.lit("/"), F.lit(1)) if layer is None else F.lit(layer)).alias("layer"),
         F.concat_ws("/", F.slice(F.split(p, "/"), 1, 2)).alias("type_folder"),
         (F.lit(type) if isinstance(type, str) else type).alias("type"), summary.alias("summary"),
         (F.array().cast("array<string>") if tags is None else tags).alias("tags"), F.array().cast("array<string>").alias("links"),
@@ -51,6 +54,7 @@ def as_records(rows: DataFrame, *, path: Column, type: Column | str, summary: Co
         F.date_format(stamp(updated), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_raw"), stamp(updated).alias("updated"),
         F.to_json(F.struct(*fields)).alias("fields_json") if fields else F.lit("{}").alias("fields_json"),
         (F.create_map(*pairs) if pairs else F.create_map().cast(f"map<string,array<{TOKEN}>>")).alias("tokens"),
+        *[F.col(f).alias(PLAIN + f) for f in fields],
     )
 
 
@@ -59,21 +63,29 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_records(
         rows, path=F.concat(F.lit("records/orders/"), F.col("o_orderkey").cast("string")), type="order",
         summary=F.concat_ws(" ", "o_orderstatus", "o_orderpriority"), tags=F.array("o_orderstatus", "o_orderpriority"),
-        created=F.col("o_orderdate"), updated=F.col("o_orderdate"), fields=["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "words"],
+        created=F.col("o_orderdate"), updated=F.col("o_orderdate"), fields=["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "words"], layer="records",
     )
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_records(
         read(spark, sf_dir, "customer"), path=F.concat(F.lit("records/customers/"), F.col("c_custkey").cast("string")), type=F.lower("c_mktsegment"),
-        summary=F.col("c_name"), tags=F.array("c_mktsegment"), fields=["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+        summary=F.col("c_name"), tags=F.array("c_mktsegment"), fields=["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], layer="records",
     )
 
 
 def edge(rows: DataFrame, source: str, source_key: str, target: str, target_key: str) -> DataFrame:
-    """A foreign key as links."""
+    """An integer foreign key as links.
+
+    Beside the paths stand their parts, folder and number: a link operator
+    compares these, so a folder that no link has costs no scan and a number is
+    looked for by the scan itself.
+    """
     to = F.concat(F.lit(target), F.col(target_key).cast("string"))
-    return rows.filter(F.col(target_key).isNotNull()).select(F.concat(F.lit(source), F.col(source_key).cast("string")).alias("src"), to.alias("target"), to.alias("dst_key"))
+    return rows.filter(F.col(target_key).isNotNull()).select(
+        F.concat(F.lit(source), F.col(source_key).cast("string")).alias("src"), to.alias("target"), to.alias("dst_key"),
+        F.lit(source).alias("src_folder"), F.col(source_key).cast("long").alias("src_id"), F.lit(target).alias("dst_folder"), F.col(target_key).cast("long").alias("dst_id"),
+    )
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,22 +6,27 @@ import re
 from datetime import datetime
 
 KINDS = ("ingest", "create", "update", "delete", "rename", "link", "validate", "index-rebuild", "contradiction")
-_HEADER = re.compile(r"^## \[(\d{4}-\d{2}-\d{2} \d{2}:\d{2})\] ([^|]*?)\s*(?:\|\s*(.*?)\s*)?$")
+_HEADER = re.compile(r"^## \[([^\]]*)\]([^|]*)(?:\|(.*))?$")
 
 
-def parse_header(line: str) -> tuple[datetime | None, str, str | None] | None:
-    """Time (UTC; None for one that does not exist), kind and object of an entry's header line."""
-    m = _HEADER.match(line)
-    if not m or not m[2]:
+def parse_header(line: str) -> tuple[datetime | None, str | None, str | None] | None:
+    """Time (UTC), kind and object of an entry's header line.
+
+    A line that begins like a header but states no kind or no time that exists
+    has no time; without a kind it has no kind either.  Other lines give None.
+    """
+    if not line.startswith("## ["):
         return None
+    m = _HEADER.match(line)
+    kind = m[2].strip() if m else ""
     try:
-        t = datetime.strptime(m[1], "%Y-%m-%d %H:%M")
+        t = datetime.strptime(m[1].strip(), "%Y-%m-%d %H:%M") if kind else None
     except ValueError:
         t = None
-    return t, m[2], m[3] or None
+    return t, kind or None, (m[3] or "").strip() or None if m else None
 
 
-def parse_log(text: str) -> list[tuple[datetime | None, str, str | None, str, int]]:
+def parse_log(text: str) -> list[tuple[datetime | None, str | None, str | None, str, int]]:
     """(time, kind, object, note, line) of each entry in physical order; escaped header lines are notes."""
     out: list[list] = []
     for n, line in enumerate(text.splitlines(), 1):

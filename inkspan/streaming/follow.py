@@ -33,11 +33,30 @@ def heads(feed: DataFrame) -> DataFrame:
     )
 
 
+def _closing(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    n = state.get[0] if state.exists else 0
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame({"ym": [key[0]], "kind": [key[1]], "n": [n]})
+        return
+    state.update((n + sum(len(b) for b in batches),))
+    end = pd.Timestamp(f"{key[0]}-01", tz="UTC") + pd.offsets.MonthBegin(1)
+    state.setTimeoutTimestamp(int(end.timestamp() * 1000))
+
+
 def by_month(log: DataFrame, delay: str | None = None) -> DataFrame:
-    """Entries by calendar month of a stream of log rows; with a ``delay``, months close by watermark."""
-    rows = log.withWatermark("ts", delay) if delay else log
-    return rows.groupBy(F.date_format("ts", "yyyy-MM").alias("ym"), "kind").agg(F.count("*").alias("n")) if not delay else (
-        rows.groupBy(F.window("ts", "1 day").alias("day"), "kind").agg(F.count("*").alias("n"))
+    """``(ym, kind, n)``: entries by calendar month of a stream of log rows.
+
+    Without a ``delay`` counts grow for ever (update or complete mode).  With
+    one a month's count comes out once, when the watermark has passed the
+    month's end (append mode); its state, one number a month and kind, then
+    goes.  Rows later than the watermark are dropped.
+    """
+    ym = F.date_format("ts", "yyyy-MM").alias("ym")
+    if not delay:
+        return log.groupBy(ym, "kind").agg(F.count("*").alias("n"))
+    return log.withWatermark("ts", delay).select("ts", "kind", ym).groupBy("ym", "kind").applyInPandasWithState(
+        _closing, "ym string, kind string, n long", "n long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -3,7 +3,7 @@
 import os
 
 DB = """---
-type: db-md
+type: store
 scope: team
 owner: Ada
 ---
@@ -49,7 +49,7 @@ def record(kind, summary="A line", body="", **fields):
 
 
 FILES = {
-    "DB.md": DB,
+    "STORE.md": DB,
     "records/companies/acme.md": record("company", "Makes anvils", "# Acme\n\nSee [[records/contacts/eve]].\n", name="Acme", founded="1999-05-06", turnover='"$1,234.50"', tags="[big, old]", updated="2026-03-01T00:00:00+02:00"),
     "records/companies/_hidden-name.md": record("company", "Underscore", name="U", founded="yes", turnover="1234.00"),
     "records/companies/a-b.md": record("company", "Hyphen", name="AB"),

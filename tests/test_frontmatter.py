@@ -72,7 +72,7 @@ def test_config():
     assert spec["tier"].enum == ["gold", "silver"] and spec["country"].default == "NZ" and contact.unique == [["email"]]
     assert contact.summary_template == "{name} of {company}" and c.folders["records/companies"] == ("Firms", "who we work with")
     assert not c.problems
-    assert {p[1] for p in C.parse("---\ntype: x\n---\n## Odd\n## Schemas\n### t\n- a\n- unique: a\n").problems} == {"DB_MD_BAD_TYPE", "DB_MD_MISSING_FIELD", "DB_MD_UNKNOWN_SECTION", "DB_MD_SCHEMA_FIELD"}
+    assert {p[1] for p in C.parse("---\ntype: x\n---\n## Odd\n## Schemas\n### t\n- a\n- unique: a\n").problems} == {"CONFIG_BAD_TYPE", "CONFIG_MISSING_FIELD", "CONFIG_UNKNOWN_SECTION", "CONFIG_SCHEMA_FIELD"}
 
 
 def test_log_text():

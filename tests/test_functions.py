@@ -17,7 +17,7 @@ def one(spark, value, expr, kind="string"):
     (link.canonical_target, " ./a\\b.md ", "a/b"), (link.canonical_target, "/x#f", "x#f"), (link.edge_key, "cafe\u0301", "caf\u00e9"),
     (P.type_folder, "records/a/2026/b.md", "records/a"), (P.type_folder, "records/b.md", None), (P.is_content, "records/a/_b.md", True), (P.is_content, "records/a/index.md", False),
     (P.is_content, "records/.a/b.md", False), (P.infer_type, "records/contacts/x.md", "contact"), (P.infer_type, "records/odd/x.md", "odd"), (P.media_type, "a/b.PDF", "application/pdf"),
-    (P.is_safe, "a/../b", False), (P.is_safe, "a/b", True), (TM.year_month, "2026-5-01", "2026-05"), (TM.year_month, "2026-13", None), (shape.is_email, "sarah@@acme.com", False),
+    (P.is_safe, "a/../b", False), (P.is_safe, "a/b", True), (TM.year_month, "2026-5-01", "2026-05"), (TM.year_month, "2026-13", None), (shape.is_email, "mo@@host.org", False), (shape.is_email, " a@b..c ", True), (shape.is_currency, "+5", True), (shape.is_currency, "-$5", False), (shape.is_currency, "$ 1,2,3", True), (shape.is_url, " http://a b", True),
     (shape.is_email, "a@b.co", True), (shape.is_currency, "$1,234.56", True), (shape.is_currency, "USD 100", True), (shape.is_currency, "1e3", False), (shape.is_currency, "inf", False),
     (shape.is_url, "http://x", True), (shape.is_url, "https://", False), (shape.is_date, "2026-02-30", False), (shape.is_date, "2026-02-28", True), (shape.is_int, "12", True), (shape.is_int, "1.0", False),
     (shape.is_ulid, "01hzy8qv7m3c5d6e7f8g9hjkmn", True), (shape.is_bool, "true", True),
@@ -41,6 +41,7 @@ def test_globs():
     ok = lambda g, p: bool(re.search(P.glob_regex(g), p))
     assert ok("records/*/x", "records/a/x.md") and not ok("records/*/x", "records/a/b/x.md")
     assert ok("records/**", "records/a/b.md") and ok("**/x.md", "x.md") and ok("a/**/**/b", "a/b") and ok("./a.b", "a.b") and not ok("a.b", "acb")
+    assert ok("a/b?", "a/b?.md") and not ok("a/b?", "a/bc.md") and ok("a/**", "a.md") and ok("**", "x/y") and not ok("a/**", "ab/c")
 
 
 def test_where_grammar():
@@ -87,3 +88,39 @@ def test_docx_xlsx_ods_epub_html():
     assert D.extract("x.xyz", b"")["error_code"] == "UNSUPPORTED_FORMAT" and D.extract("x.docx", b"junk")["error_code"] == "EXTRACT_PARSE_ERROR"
     assert D.extract("x.html", b"<div>" * 3000)["error_code"] == "EXTRACT_PARSE_ERROR"
     assert D.extract("x.docx", _zip({"word/document.xml": '<!DOCTYPE a [<!ENTITY b "c">]><a>&b;</a>'}))["error_code"] == "EXTRACT_PARSE_ERROR"
+
+
+def test_a_document_that_takes_too_long_or_too_much_fails_alone(monkeypatch):
+    import time
+
+    def large(raw):
+        return "x" * (8 << 30), {}
+
+    monkeypatch.setitem(D.READERS, "large", large)
+    with pytest.raises(D.ExtractError) as e, D.guarded(0.1):
+        time.sleep(5)
+    assert e.value.code == "EXTRACT_TIMEOUT"
+    assert D.extract("x.large", b"")["error_code"] == "EXTRACT_RESOURCE_LIMIT"
+    assert D.extract("x.html", b"<p>a")["text"] == "a\n"
+
+
+def test_splitting_is_linear_and_keys_are_known():
+    import time
+
+    from inkspan.sources import frontmatter as fm
+
+    start = time.perf_counter()
+    assert fm.split("---\n" + "a: b\n" * 400_000)[0] == fm.OPEN
+    assert time.perf_counter() - start < 5
+    assert fm.split("---\na: 1\n---") == (fm.OK, "a: 1\n", "", 4) and fm.split("---") == (fm.OPEN, None, "---", 1) and fm.split("---\n---\nx") == (fm.OK, "", "x", 3)
+    text = "---\na: x\nb:\n  - \"[[r/x]]\"\nc: [[r/y]]\nsummary: see [[r/z|Z]]\nd: [[[a]], [[b]]]\n---\n[[r/w]]\n"
+    assert [(e["key"], e["target"]) for e in fm.edges(text)][:3] == [("b", "r/x"), ("c", "r/y"), ("summary", "r/z")] and fm.edges(text)[-1]["key"] is None
+    assert fm.link_fields(fm.split(text)[1]) == [("summary", "r/z", "Z"), ("b", "r/x", None), ("c", "r/y", None)]
+
+
+def test_configuration_doubts():
+    from inkspan.sources import config as C
+
+    text = "---\ntype: store\nscope: s\nowner: o\n---\n## Schemas\n### t\n- a (required, requierd)\n- a\n- (string)\n- unique: a, b\n"
+    assert [(s, line) for s, c, line, _ in C.parse(text).problems] == [("warning", 7), ("warning", 7), ("info", 7), ("warning", 7)] or len(C.parse(text).problems) == 4
+    assert C.parse(text.replace("type: store", "type: other"), "other").problems == C.parse(text).problems

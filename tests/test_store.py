@@ -41,7 +41,7 @@ def paths(df, c="path"):
 
 def test_listing(spark, store, files):
     got = set(paths(files))
-    assert "records/companies/_hidden-name.md" in got and not any(".git" in p for p in got) and "DB.md" not in got and len(got) == 12
+    assert "records/companies/_hidden-name.md" in got and not any(".git" in p for p in got) and "STORE.md" not in got and len(got) == 12
     assert paths(S.files(spark, store, folder="records/contacts").orderBy("path")) == [f"records/contacts/{n}.md" for n in ("bob", "eve", "zed")]
     with pytest.raises(StoreError) as e:
         S.Store.open("/tmp")
@@ -174,7 +174,50 @@ def test_rebuilt_catalogue_validates_and_writes_keep_it(spark, tmp_path):
     # Write-through equals a rebuild, byte for byte.
     kept = {n: (tmp_path / n).read_bytes() for n in catalog.rebuild(S.records(S.files(spark, store)), store.root, store.config, dry_run=True)}
     fresh = catalog.rebuild(S.records(S.files(spark, store)), store.root, store.config)
-    assert {n: t.encode() for n, t in fresh.items()} == kept
+    assert set(fresh) == set(kept) and {n: (tmp_path / n).read_bytes() for n in fresh} == kept
+    assert not [n for _, _, names in os.walk(tmp_path) for n in names if n.endswith(".tmp")]
+    before = (tmp_path / "index.md").read_bytes()
+    (tmp_path / "records/contacts/index.jsonl").write_text("stale")
+    assert set(catalog.rebuild_folder(S.records(S.files(spark, store)), store.root, "records/contacts")) == {"records/contacts/index.md", "records/contacts/index.jsonl"}
+    assert (tmp_path / "records/contacts/index.jsonl").read_bytes() == kept["records/contacts/index.jsonl"] and (tmp_path / "index.md").read_bytes() == before
+
+
+def test_the_log_names_bad_headers_and_order_spans_files(spark, tmp_path):
+    store = S.Store.open(build(tmp_path))
+    (tmp_path / "log/2025-11.md").write_text("---\ntype: log\n---\n\n## [2026-05-01 10:00] create | records/x\nAhead.\n\n## [2025-02-30 10:00] update | records/y\n\n## [no time\nnote\n\n## [2026-05-01 11:00]\n")
+    log = S.log(spark, store)
+    found = validate.united(validate.log_rules(log)).collect()
+    assert sum(r.code == "LOG_BAD_TIMESTAMP" for r in found) == 3
+    late = [(r.file, r.code) for r in found if r.code == "LOG_OUT_OF_ORDER"]
+    assert ("log/2025-12.md", "LOG_OUT_OF_ORDER") in late  # older than the archive before it, whatever stands between
+    assert timeline.tail(log, 50).count() == 6
+
+
+def test_a_store_of_another_name(spark, tmp_path):
+    build(tmp_path)
+    (tmp_path / "STORE.md").rename(tmp_path / "BASE.md")
+    (tmp_path / "BASE.md").write_text((tmp_path / "BASE.md").read_text().replace("type: store", "type: base"))
+    store = S.Store.open(str(tmp_path), "BASE.md", "base")
+    assert not store.config.problems or all(p[1] != "CONFIG_BAD_TYPE" for p in store.config.problems)
+    assert store.has("records/contacts/eve.md") and not store.has("records/contacts/EVE.md") and store.has("records/contacts", folder=True)
+    assert len(paths(S.files(spark, store))) == 12
+    with pytest.raises(StoreError) as e:
+        query.field_of(S.records(S.files(spark, store), strict=False), "records/contacts/eve.md", "none")
+    assert e.value.code == "FM_KEY_NOT_FOUND"
+
+
+def test_listing_spreads_over_tasks(spark, tmp_path, monkeypatch):
+    store = S.Store.open(build(tmp_path))
+    want = sorted(store.paths())
+    for levels in (1, 2, 9):
+        monkeypatch.setattr(S, "LEVELS", levels)
+        assert sorted((r.path, r.is_dir, r.size) for r in S.listing(spark, store).collect()) == want
+
+
+def test_scoped_issues_disclose_nothing(spark):
+    rows = spark.createDataFrame([("error", "WIKI_LINK_BROKEN", "a", 1, "k", "no file x", None, ["x"]), ("error", "DUP_ID", "a", 1, "k", "m", None, ["x"])], validate.ISSUES)
+    got = {r.code: r for r in validate.scoped(rows).collect()}
+    assert got["WIKI_LINK_SCOPED_UNRESOLVED"].severity == "info" and "x" not in got["WIKI_LINK_SCOPED_UNRESOLVED"].message.split() and got["WIKI_LINK_SCOPED_UNRESOLVED"].related == [] and got["DUP_ID"].related == ["x"]
 
 
 def test_log_append_rotates(tmp_path):

@@ -33,3 +33,13 @@ def test_sessions_and_months(spark, tmp_path):
     events = spark.createDataFrame(rows, "user_id long, t string, kind string").withColumn("ts", F.to_timestamp("t"))
     assert sorted(r.n for r in follow.sessions(events).collect()) == [1, 2]
     assert follow.by_month(events).first().n == 3
+
+
+def test_months_close_by_watermark(spark, tmp_path):
+    """A month's count comes out once, after the watermark has passed its end; rows that are too late are dropped."""
+    batches = [[("2026-01-10 00:00:00", "a"), ("2026-01-31 23:00:00", "a"), ("2026-01-05 00:00:00", "b")], [("2026-02-03 00:00:00", "a")], [("2026-02-04 00:00:00", "a"), ("2026-01-09 00:00:00", "a")], [("2026-03-09 00:00:00", "a")], [("2026-03-09 01:00:00", "a")]]
+    feed = _feed(spark, tmp_path / "in", batches, "t string, kind string").select(F.to_timestamp("t").alias("ts"), "kind")
+    q = follow.by_month(feed, "1 day").writeStream.outputMode("append").format("memory").queryName("months").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = sorted((r.ym, r.kind, r.n) for r in spark.sql("select * from months").collect())
+    assert got == [("2026-01", "a", 2), ("2026-01", "b", 1), ("2026-02", "a", 2)]
