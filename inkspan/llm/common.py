@@ -68,12 +68,6 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of the size of ``df``: no job runs."""
-    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(found, 1 << 50)
-
-
 def held_out(column, modulus: int, remainder: int):
     """Whether crc32 of an id's decimal text leaves ``remainder``; false for null."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
@@ -99,6 +93,50 @@ def bounded(rows: DataFrame, most: int, seed: int = 42) -> DataFrame:
     return written(rows.filter(draw).limit(most))
 
 
+#: Bits in a block of a filter, and in a whole one at most.
+BLOCK, FILTER_BITS = 1 << 16, 1 << 27
+
+
+def _marked(bits: int):
+    """Hashes to the blocks of a filter of ``bits`` bits, by their lowest bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = np.zeros(bits, bool)
+        for batch in batches:
+            mark[batch.column(0).to_numpy() & (bits - 1)] = True
+        for b in np.flatnonzero(mark.reshape(-1, BLOCK).any(1)):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "bits": pa.array([np.packbits(mark[b * BLOCK : (b + 1) * BLOCK]).tobytes()], pa.binary())})
+
+    return run
+
+
+def _any(group: pa.Table) -> pa.Table:
+    bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in group.column("bits")])
+    return pa.table({"block": group.column("block").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def bit_filter(hashes: DataFrame) -> bytes:
+    """A filter that every hash of a one-column table passes, and the less other hashes the larger it is.
+
+    It has 32 bits a row as far as FILTER_BITS allow (16 MB): a table beyond
+    that is filtered worse, never wrongly, so a join must follow.
+    """
+    bits, many = BLOCK, hashes.count()
+    while bits < FILTER_BITS and bits < 32 * many:
+        bits *= 2
+    merged = bytearray(bits // 8)
+    for block, part in hashes.mapInArrow(_marked(bits), "block int, bits binary").groupBy("block").applyInArrow(_any, "block int, bits binary").toLocalIterator():
+        merged[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = part
+    return bytes(merged)
+
+
+def passing(hashes: np.ndarray, needed: bytes) -> np.ndarray:
+    """Places of the hashes that a filter passes."""
+    mark = np.frombuffer(needed, np.uint8)
+    at = hashes & (8 * len(mark) - 1)
+    return np.flatnonzero(mark[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+
+
 def sorted_lists(batches: Iterator[pa.RecordBatch], most: int, held_rows: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Rows (key, value) in their order, repeats left out: (keys, values, whether these are of long lists).
 

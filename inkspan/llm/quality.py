@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import held_out, labelled, quoted, table, written
+from .common import bit_filter, held_out, labelled, passing, quoted, table, written
 
 #: The statistics, in the order of the vector.
 NAMES = (
@@ -101,6 +101,24 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "x")
 
 
+def measure_labelled(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", doc_id: str = "doc_id", modulus: int = 4, remainder: int = 2) -> DataFrame:
+    """``doc_id`` and ``x`` of the rows that have a label to learn from, and by chance of some others.
+
+    Ids are told by a filter where the texts lie, so no text is shuffled.
+    """
+    name = lambda c: F.xxhash64(c.cast("string"))
+    ids = written(labelled(labels, label, modulus, remainder, doc_id).select(name(F.col("ident")).alias("h")))
+    needed = docs.sparkSession.sparkContext.broadcast(bit_filter(ids))  # 16 MB at most
+    ident = F.col(quoted(doc_id))
+    rows = docs.filter(ident.isNotNull()).select(name(ident).alias("h"), ident.alias("ident"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = (batch.take(pa.array(passing(batch.column(0).to_numpy(), needed.value))) for batch in batches)
+        yield from _measured(pa.RecordBatch.from_arrays(batch.columns[1:], names=["ident", "text"]) for batch in own if batch.num_rows)
+
+    return rows.mapInArrow(run, f"ident {docs.schema[doc_id].dataType.simpleString()}, x array<double>").withColumnRenamed("ident", doc_id)
+
+
 def _matrix(col: pa.Array, k: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
@@ -240,8 +258,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: s
     alike; a row without an id is judged like any other; an empty table gives
     no rows.
     """
-    taught = docs.join(labels.select(F.col(quoted(doc_id)).alias("taught_id")).distinct(), F.col(quoted(doc_id)) == F.col("taught_id"), "left_semi")
-    model = train(measure(taught, [doc_id], text), labels, "quality", doc_id)
+    model = train(measure_labelled(docs, labels, "quality", text, doc_id), labels, "quality", doc_id)
     rest = [F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*rest, F.coalesce(F.col(quoted(text)), F.lit("")).alias("text_in"))
     kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns))

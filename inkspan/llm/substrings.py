@@ -8,8 +8,8 @@ exactly, which windows' word sequences start at more than one place:
    sub-window by hash.  Equal windows at two places have equal anchors at two
    places, so the sketched count of an anchor is never less than the count of
    a window that has it: the estimate errs upwards only.
-2. Windows estimated to occur once go.  The hashes (96 bits) of the others are
-   dealt out by hash bucket and grouped exactly.  A partition works in flushes
+2. Windows estimated to occur once go.  The hashes of the others (96 bits over
+   64-bit hashes of their words) are dealt out by hash bucket and grouped exactly.  A partition works in flushes
    of bounded size and combines the windows that a flush repeats before they
    are dealt, so a window that a third of all rows hold is sent once a flush.
    Each bucket answers a flush with a bitmap; the flush's own manifest (where
@@ -32,14 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import fresh, plan_bytes, quoted, table, written
+from .common import fresh, quoted, table, written
 
 ANCHOR = 8
-#: Cells per sketch row: at least, at most (a broadcast of 64 MB), and input bytes for each.
-CELLS_LEAST, CELLS_MOST, BYTES_A_CELL = 1 << 16, 1 << 27, 16
+#: Cells per sketch row: at least, at most (a broadcast of 64 MB), and input bytes for each.  Beyond 4 GB of text
+#: cells are shared by more and more anchors, so ever more windows pass to the exact pass, until all do: about
+#: 12 bytes a word are then dealt out, and the results stay whole.
+CELLS_LEAST, CELLS_MOST, BYTES_A_CELL = 1 << 16, 1 << 28, 16
 BLOCK = 1 << 16
-#: Candidate windows a flush holds, and estimated input bytes for each hash bucket.
-FLUSH, BUCKET_BYTES = 1 << 20, 2 << 20
+#: Candidate windows a flush holds (20 bytes each), input bytes for each hash bucket, and buckets at most.
+FLUSH, BUCKET_BYTES, BUCKETS_MOST = 1 << 20, 2 << 20, 1 << 20
 
 
 def _cells(anchors: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +60,29 @@ def _anchored(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray
     return starts, least[starts], sub
 
 
-def _sketch(cells: int, window: int):
-    """Each partition's sketch, as sparse blocks of cells that it saw once or more."""
+def _sketch(cells: int, window: int, most: int):
+    """Each partition's sketch: by block, the cells that it saw once and those that it saw more often.
+
+    A partition holds the anchors of ``most`` places at a time, never the
+    whole sketch, and sends four bytes an anchor.
+    """
+
+    def blocks(anchors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        c = np.sort(np.concatenate(_cells(np.concatenate(anchors), cells)))
+        heads = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+        often = np.diff(np.append(heads, len(c))) > 1
+        c = c[heads]
+        cut = np.flatnonzero(np.append(True, c[1:] // BLOCK != c[:-1] // BLOCK)) if len(c) else heads
+        for i in range(0, len(cut), 256):
+            own = list(zip(cut[i : i + 256], np.append(cut[1:], len(c))[i : i + 256]))
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([int(c[x]) // BLOCK for x, _ in own], pa.int32()),
+                "once": pa.array([(c[x:y][~often[x:y]] % BLOCK).astype(np.uint16).tobytes() for x, y in own], pa.binary()),
+                "often": pa.array([(c[x:y][often[x:y]] % BLOCK).astype(np.uint16).tobytes() for x, y in own], pa.binary()),
+            })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(2 * cells, np.uint8)
+        held: list[np.ndarray] = []
         for batch in batches:
             data, off = W.utf8(batch.column(0))
             for i, j in W.slices(off):
@@ -76,36 +96,24 @@ def _sketch(cells: int, window: int):
                 full[starts] = least
                 padded = np.concatenate([np.zeros(span - 1, W.U64), full, np.zeros(max(0, len(sub) - len(full)), W.U64)])
                 reach = W.sliding(padded, span, np.maximum)[: len(sub)]
-                for c in _cells(sub[(reach == sub)], cells):
-                    at, n = np.unique(c, return_counts=True)
-                    seen[at] = np.minimum(2, seen[at] + np.minimum(n, 2))
-        for b in range(0, 2 * cells, BLOCK):
-            part = seen[b : b + BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_pydict(
-                    {"block": pa.array([b // BLOCK], pa.int32()), "cells": pa.array([zlib.compress(_pack(part), 1)], pa.binary())}
-                )
+                held.append(sub[reach == sub])
+            if sum(map(len, held)) > most:
+                yield from blocks(held)
+                held = []
+        if held:
+            yield from blocks(held)
 
     return run
 
 
-def _pack(part: np.ndarray) -> bytes:
-    """Two bits a cell: seen once or more, seen twice or more."""
-    return np.packbits(np.concatenate([part >= 1, part >= 2])).tobytes()
-
-
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(raw), np.uint8))
-    return bits[: len(bits) // 2], bits[len(bits) // 2 :]
-
-
 def _merge(group: pa.Table) -> pa.Table:
     """Adds the sketches of one block, saturating at two: a bit per cell says 'two or more'."""
-    once = twice = None
-    for raw in group.column("cells"):
-        a, b = _unpack(raw.as_py())
-        once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-    return pa.table({"block": group.column("block").slice(0, 1), "cells": pa.array([np.packbits(twice).tobytes()], pa.binary())})
+    seen = np.zeros(BLOCK, np.uint8)
+    for once, often in zip(group.column("once"), group.column("often")):
+        at = np.frombuffer(once.as_buffer(), np.uint16)
+        seen[at] = np.minimum(seen[at] + 1, 2)
+        seen[np.frombuffer(often.as_buffer(), np.uint16)] = 2
+    return pa.table({"block": group.column("block").slice(0, 1), "cells": pa.array([np.packbits(seen == 2).tobytes()], pa.binary())})
 
 
 class _Flush:
@@ -132,7 +140,7 @@ class _Flush:
         sent = np.zeros(len(a), bool)
         sent[order[heads]] = True
         where = np.flatnonzero(sent)
-        bucket = ((h1[where] >> W.U64(40)) % W.U64(buckets)).astype(np.uint16)
+        bucket = ((h1[where] >> W.U64(40)) % W.U64(buckets)).astype(np.uint32)
         manifest = zlib.compress(pickle.dumps((
             self.keys, np.concatenate(self.docs), np.concatenate(self.at), np.packbits(many), np.packbits(sent), bucket,
         )), 1)
@@ -283,14 +291,15 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = 35) -> Da
     ``spans`` are pairs of little-endian uint32.  Texts without any are absent.
     """
     spark = docs.sparkSession
-    size = plan_bytes(docs)
+    only = docs.select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    size = only.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a scan without Python
     cells = CELLS_LEAST
     while cells < CELLS_MOST and cells * BYTES_A_CELL < size:
         cells *= 2
-    buckets = int(min(max(64, size // BUCKET_BYTES), 1 << 15))
-    only = docs.select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    buckets = int(min(max(64, size // BUCKET_BYTES), BUCKETS_MOST))
+    flush = FLUSH * max(1, buckets >> 17)  # a bucket's part of a flush is some windows at least
     blocks = (
-        only.mapInArrow(_sketch(cells, window), "block int, cells binary")
+        only.mapInArrow(_sketch(cells, window, FLUSH), "block int, once binary, often binary")
         .groupBy("block").applyInArrow(_merge, "block int, cells binary")
     )
     merged = bytearray(2 * cells // 8)
@@ -298,7 +307,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = 35) -> Da
         merged[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = part
     sketch = spark.sparkContext.broadcast(bytes(merged))
     sent = docs.select(_digest(text).alias("key"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")).mapInArrow(
-        _candidates(sketch, cells, window, buckets, FLUSH), _SENT
+        _candidates(sketch, cells, window, buckets, flush), _SENT
     )
     answered = sent.groupBy("target").applyInArrow(_group, _SENT)
     spans = answered.groupBy("flush").applyInArrow(_ranges(window), "key binary, spans binary")

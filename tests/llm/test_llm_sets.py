@@ -69,6 +69,45 @@ def test_texts_cut_over_flushes_lose_all_repeats(spark, monkeypatch, flush):
     assert got == {1: (500, ""), 2: (500, ""), 3: (120, "end"), 4: (500, "mid")}
 
 
+def test_windows_of_just_enough_words(spark):
+    """34 repeated words stay, 35 and 36 go; so do all but the last windows of a long text that repeats itself."""
+    word = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    texts = [word(34, 34), word(34, 34) + " end", word(35, 35), "start " + word(35, 35), word(36, 36) + " a", word(36, 36) + " b", "z " * 100_000, word(1, 20)]
+    got = {r.doc_id: (r.sub_words, r.sub_removed) for r in substrings.remove_repeated(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: (34, 0), 1: (35, 0), 2: (35, 35), 3: (36, 35), 4: (37, 36), 5: (37, 36), 6: (100_000, 100_000), 7: (20, 0)}
+    assert substrings.remove_repeated(docs(spark, []), keep=["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_merged_sketches_never_underestimate(most):
+    """Every anchor that stands at two places, in one partition or in two, is estimated repeated."""
+    r = random.Random(7)
+    texts = [" ".join(f"v{r.randrange(4000)}" for _ in range(r.choice([10, 50, 300]))) for _ in range(60)]
+    texts += [texts[3] + " tail", "head " + texts[5], texts[8]]
+    cells, rows = 1 << 16, {}
+    for part in (texts[:30], texts[30:]):
+        for b in substrings._sketch(cells, 35, most)(iter([pa.record_batch([pa.array(part)], names=["text"])])):
+            for k in range(b.num_rows):
+                rows.setdefault(b.column(0)[k].as_py(), []).append(b.slice(k, 1))
+    bits = bytearray(2 * cells // 8)
+    for block, own in rows.items():
+        merged = substrings._merge(pa.Table.from_batches(own)).column("cells")[0].as_py()
+        bits[block * substrings.BLOCK // 8 : (block + 1) * substrings.BLOCK // 8] = merged
+    twice = np.unpackbits(np.frombuffer(bytes(bits), np.uint8))
+    places = Counter()
+    for t in texts:
+        data, off = W.utf8(pa.array([t]))
+        w = W.split(data, off)
+        starts, least, sub = substrings._anchored(W.hashes(w), w.first, 35)
+        places.update({int(h): int((sub == h).sum()) for h in np.unique(least)})
+    repeated = np.array([h for h, n in places.items() if n > 1], np.uint64)
+    single = np.array([h for h, n in places.items() if n == 1], np.uint64)
+    x, y = substrings._cells(repeated, cells)
+    assert len(repeated) > 20 and twice[x].all() and twice[y].all()
+    x, y = substrings._cells(single, cells)
+    assert (twice[x] & twice[y]).mean() < 0.05
+
+
 def fingerprint(text, k=3):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     runs = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
