@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import usage
 from ..functions.link import canonical, canonical_target
 from ..functions.path import bare
+from ..shared import written
 
 
 def at(edges: DataFrame, side: str, node: str) -> Column:
@@ -91,7 +90,7 @@ def neighborhood(edges: DataFrame, start: str, hops: int, *, nodes: DataFrame |
     discovered count.  A node has its least hop and the node that led there.
     ``type`` narrows the output, not the walk; targets that do not exist are
     nodes with an empty summary.  Without a cap (``max_nodes=None``) each level
-    is cut from its lineage by a checkpoint in the shared folder; a capped one
+    is written as a table in the shared folder; a capped one
     is a few rows on the driver.  Levels of at most SMALL nodes, counted, are
     broadcast, so that links are scanned and not shuffled.
     """
@@ -126,8 +125,7 @@ def neighborhood(edges: DataFrame, start: str, hops: int, *, nodes: DataFrame |
         shown = [F.col("next").alias("path"), F.lit(hop).alias("hops"), F.col("by.node").alias("via"), F.col("by.side").alias("side")]
         if max_nodes is None:
             # Without a cap no global order is needed: the place is the discovering node's name.
-            _shared(spark)
-            level = reached.select(*shown, F.xxhash64("next").alias("place")).checkpoint()
+            level = written(reached.select(*shown, F.xxhash64("next").alias("place")))
             n = level.count()
         else:
             rows = reached.orderBy(*order).limit(max(max_nodes - found, 0)).select(*shown).collect()  # ``max_nodes`` at most
@@ -146,15 +144,3 @@ def neighborhood(edges: DataFrame, start: str, hops: int, *, nodes: DataFrame |
     if type is not None:
         rows = rows.filter(F.col("type") == type)
     return rows.orderBy("hops", F.split("path", "/"))
-
-
-def _shared(spark) -> None:
-    """The folder for checkpoints, which all executors must share: the session's ``spark.checkpoint.dir``.
-
-    Only on one machine (``local`` masters) may it be unset; a temporary folder is taken there.
-    """
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise usage("NO_SHARED_FOLDER", "set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkspan-"))

@@ -17,6 +17,7 @@ from ..functions.path import bare, is_content, matches_globs
 from ..functions.shape import SHAPES
 from ..functions.time import rfc3339
 from ..schema import ISSUES, LAYERS
+from ..shared import written
 from ..sources import frontmatter as fm
 from ..sources.config import Config, Schema
 from ..sources.store import Store
@@ -54,10 +55,17 @@ def flagged(rows: DataFrame, rules: list[Column]) -> DataFrame:
     return rows.select(F.explode(F.array_compact(F.array(*rules))).alias("i")).select("i.*")
 
 
+def either(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def united(parts: list[DataFrame]) -> DataFrame:
     """All issues by file path, line (none first), code and key."""
-    found = reduce(DataFrame.unionByName, parts)
-    return found.orderBy(F.split("file", "/"), F.asc_nulls_first("line"), "code", F.asc_nulls_first("key"))
+    return ordered(either(parts))
+
+
+def ordered(issues: DataFrame) -> DataFrame:
+    return issues.orderBy(F.split("file", "/"), F.asc_nulls_first("line"), "code", F.asc_nulls_first("key"))
 
 
 def tally(issues: DataFrame) -> DataFrame:
@@ -325,13 +333,10 @@ def validate_all(spark: SparkSession, store: Store) -> DataFrame:
     """Every rule over the whole store.
 
     Files are read and parsed once and kept while rules share them; the issues
-    are then written to the shared folder (a checkpoint) and the files let go.
+    are then written to the shared folder and the files let go.
     """
     from ..sources import store as S
     from .assets import declarations
-    from .graph import _shared
-
-    _shared(spark)
     files = S.files(spark, store)
     rows = facts(files).persist()
     edges = S.edges(files.filter("utf8_ok")).persist()
@@ -348,7 +353,7 @@ def validate_all(spark: SparkSession, store: Store) -> DataFrame:
         if getattr(e, "code", "") != "ASSET_MANIFEST_MALFORMED":
             raise
         parts.append(spark.createDataFrame([(ERROR, e.code, "assets.jsonl", None, None, e.message, None, [])], ISSUES))
-    found = united(parts).checkpoint()
+    found = ordered(written(either(parts)))
     for kept in (rows, edges, paths, records):
         kept.unpersist()
     return found
@@ -359,9 +364,6 @@ def validate_working_set(spark: SparkSession, store: Store, changed: DataFrame |
     from ..sources import store as S
     from .graph import linkers_of_any
 
-    from .graph import _shared
-
-    _shared(spark)
     files = S.files(spark, store).persist()
     edges = S.edges(files.filter("utf8_ok")).persist()
     links, own = edges, files
@@ -370,7 +372,7 @@ def validate_working_set(spark: SparkSession, store: Store, changed: DataFrame |
         own = files.join(nodes, bare(F.col("path")) == F.col("node"), "left_semi")
         links = edges.join(nodes, bare(F.col("src")) == F.col("node"), "left_semi")
     paths = S.listing(spark, store).filter("not is_dir")
-    found = united([config_rules(spark, store).filter("code = 'NESTED_STORE'"), *file_rules(facts(own), store.config), *link_rules(links, paths, everything=False)]).checkpoint()
+    found = ordered(written(either([config_rules(spark, store).filter("code = 'NESTED_STORE'"), *file_rules(facts(own), store.config), *link_rules(links, paths, everything=False)])))
     files.unpersist()
     edges.unpersist()
     return found
