@@ -1,10 +1,7 @@
-"""Session helpers of this subpackage: written tables, names, components."""
+"""Session helpers of this subpackage: filters, names, lists, components."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import forget_written, mark, release, written
+
 #: The word pattern of every contract: runs of anything but space and tab..CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,41 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only on one machine (``local`` masters, as in tests) may the session have
-    none: a temporary folder is made there, and the session is told of it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not found:
-        found = tempfile.mkdtemp(prefix="inkspan-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes the rows as a table in the shared folder and reads it."""
-    path = f"{shared_dir(df.sparkSession)}/inkspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-_WRITTEN: list[str] = []
-
-
-def forget_written(spark: SparkSession) -> int:
-    """Deletes the tables that :func:`written` left in the shared folder; for when no result that reads them is needed."""
-    jvm, gone = spark.sparkContext._jvm, 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return gone
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever its letters' case."""
     have, name = {c.lower() for c in df.columns}, f"__{base}"
@@ -203,6 +167,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     and each round's edges and names are written to the shared folder, so a
     lost executor costs at most one round.  An empty edge list gives no rows.
     """
+    spark, since = edges.sparkSession, mark()
     live = written(
         edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
     )
@@ -230,6 +195,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 names.select(F.col("node").alias("to"), "root"), "to", "left"
             ).select("node", F.coalesce("root", "to").alias("to"))
         names = written(step.select("node", F.col("to").alias("root")))
+    release(spark, since, names)
     return names
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, quoted, sorted_lists, table, written
+from .common import components, mark, quoted, release, sorted_lists, table, written
 
 SEED = 42
 #: Posting lists up to PAIRED are paired at once, up to LOCAL in blocks; longer ones are split by further bytes.
@@ -252,9 +252,10 @@ def near_duplicates(
     columns are not looked at.
     """
     kept = docs.select(F.col(quoted(doc_id)).alias("ident"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind, since = docs.schema[doc_id].dataType.simpleString(), mark()
     rows = written(kept.mapInArrow(_fingerprinted(shingle), f"ident {kind}, fp long"))
     named = classes(rows, "ident", "fp", bits)
+    release(docs.sparkSession, since, rows, named)
     return rows.join(named, "fp").select(
         F.col("ident").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -263,12 +264,21 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` with one row left of each component: the one with the smallest id.
 
-    Rows without an id are kept.  Of rows that repeat the smallest id, one stays.
+    With ``bits`` (the default) components are those of 64-bit fingerprints;
+    with a ``similarity`` those of whole shingle sets, by the same index on
+    fingerprints that are wide enough (:mod:`.similar`).  Rows without an id
+    are kept.  Of rows that repeat the smallest id, one stays.
     """
+    if "similarity" in options:
+        from .similar import without_similar
+
+        return without_similar(docs, text, doc_id, **options)
+    since = mark()
     ids = near_duplicates(docs, text, doc_id, **options)
     kept = written(
         ids.filter(F.col(quoted(doc_id)) == F.col("component_id")).groupBy(F.col(quoted(doc_id)).alias("kept")).count()
     )
+    release(docs.sparkSession, since, kept)
     cond = F.col(quoted(doc_id)) == F.col("kept")
     single = docs.join(kept.select("kept"), cond, "left_semi")
     if not kept.filter("count > 1").isEmpty():

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import bit_filter, held_out, labelled, passing, quoted, table, written
+from .common import bit_filter, held_out, labelled, mark, passing, quoted, release, table, written
 
 #: The statistics, in the order of the vector.
 NAMES = (
@@ -258,7 +258,9 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: s
     alike; a row without an id is judged like any other; an empty table gives
     no rows.
     """
+    since = mark()
     model = train(measure_labelled(docs, labels, "quality", text, doc_id), labels, "quality", doc_id)
+    release(docs.sparkSession, since)
     rest = [F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*rest, F.coalesce(F.col(quoted(text)), F.lit("")).alias("text_in"))
     kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns))

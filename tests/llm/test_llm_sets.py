@@ -543,3 +543,46 @@ def test_written_tables_can_be_deleted(spark):
     common.forget_written(spark)
     df = common.written(spark.range(3))
     assert df.count() == 3 and common.forget_written(spark) == 1 and common.forget_written(spark) == 0
+
+
+def _folder(tmp_path, spark, rows, labels):
+    spark.createDataFrame(rows, DOCS + ", TEXT_ string, ident string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_takes_nulls_repeats_extra_columns_and_long_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    prose = lambda n: " ".join(r.choice("the of and to in is that for with as on by house river green walks slowly under evening light".split()) for _ in range(n)) + "."
+    rows = [(k, prose(r.randint(5, 200)), "en", f"s{k % 4}" if k % 9 else None, 1, "x", "y") for k in range(150)]
+    rows += [(150, None, "en", "s1", None, None, None), (151, "", None, None, 0, "x", None), (152, "", "en", "s1", 0, None, "y"), (None, prose(30), "en", "s2", 1, "x", "y"), (None, prose(31), None, None, 1, "x", "y")]
+    rows += [rows[3], rows[3], (400, prose(60_000), "en", "s3", 1, "x", "y"), (401, rows[5][1], "en", "s0", 1, "x", "y")]
+    labels = [(k, k % 2, 0) for k in range(0, 150, 2)] + [(3, None, 0), (None, 1, 0), (5, 0, 0), (5, 1, 0)]
+    sf = _folder(tmp_path, spark, rows, labels)
+    here = spark.read.parquet(sf + "/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        before, here = here, common.written(stage(spark, here, sf))
+        assert here.columns == before.columns, name
+        if name == "SimHash near-dedup":
+            ids = [x.doc_id for x in here.collect()]
+            assert ids.count(None) == 2 and ids.count(3) == 1 and 401 not in ids and ids.count(150) + ids.count(151) + ids.count(152) == 1 and 400 in ids
+    got = corpus_pipeline.run(spark, sf)
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "parity"]
+    assert all(x.n_tokens == len(x.ids) for x in got.collect())
+
+
+def test_pipeline_takes_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, _folder(tmp_path, spark, [], [])).count() == 0
+
+
+def test_released_tables_are_gone_and_kept_ones_stay(spark):
+    at = common.mark()
+    a, b = common.written(spark.range(3)), common.written(spark.range(5))
+    assert common.release(spark, at, b) == 1 and b.count() == 5
+    with pytest.raises(Exception):  # noqa: B017  its files are gone
+        a.collect()
+    assert common.release(spark, at) == 1

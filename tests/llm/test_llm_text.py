@@ -42,6 +42,44 @@ def test_quality_is_accurate_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_scores_equal_a_plain_fit(spark):
+    """The same model fitted in plain numpy on sf0.001: class moments of the taught rows, shrunk, and the logistic line."""
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels_ = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    x = {}
+    for k, t in texts.items():
+        data, off = W.utf8(pa.array([t]))
+        x[k] = quality.statistics(data, off)[0]
+    taught = [k for k in labels_ if k in x and labels_[k] in (0, 1) and zlib.crc32(str(k).encode()) % 4 != 2]
+    assert 30 < len(taught) < len(texts)
+    y = np.array([labels_[k] for k in taught])
+    m = np.stack([x[k] for k in taught])
+    mean = np.stack([m[y == c].mean(0) for c in (0, 1)])
+    scatter = np.stack([(m[y == c] - mean[c]).T @ (m[y == c] - mean[c]) for c in (0, 1)])
+    pooled = scatter.sum(0) / (len(y) - 2)
+
+    def density(v, c):
+        cov = 0.8 * scatter[c] / ((y == c).sum() - 1) + 0.2 * pooled
+        cov = 0.95 * cov + 0.05 * np.diag(np.diag(cov)) + 1e-4 * np.eye(len(cov))
+        d = v - mean[c]
+        return np.log(((y == c).sum() + 1) / (len(y) + 2)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+
+    every = np.stack([x[k] for k in texts])
+    margin = lambda v: np.clip(density(v, 1) - density(v, 0), -60, 60)
+    # The line is fitted on the drawn rows, 95 % of few being all that the draw takes.
+    share = min(1.0, 0.95 * 20_000 / len(taught))
+    assert share == 1.0
+    beta = quality.logistic(margin(m)[:, None] / 10, y.astype(float))
+    want = dict(zip(texts, 1 / (1 + np.exp(-(max(beta[0], 0) / 10 * margin(every) + beta[1])))))
+    got = {r.doc_id: (r.score, r.held_out, r.predicted) for r in quality.op1_quality(spark, sf).collect()}
+    assert set(got) == set(want)
+    for k, (score, held, predicted) in got.items():
+        assert abs(score - want[k]) < 1e-6 and held == (zlib.crc32(str(k).encode()) % 4 == 2) and predicted == int(score >= 0.7)
+
+
 def test_quality_edges(spark):
     d = docs(spark, [(1, None), (2, ""), (2, ""), (None, "a b"), (3, "word " * 50_000), (4, "x")]).withColumn("X", F.lit(1)).withColumn("ident", F.lit(2))
     none = labels(spark, [])
