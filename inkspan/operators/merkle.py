@@ -15,6 +15,8 @@ from ..functions.lazy import pandas
 #: Device names that some systems reserve.
 RESERVED = ("con", "prn", "aux", "nul", *(f"com{k}" for k in range(1, 10)), *(f"lpt{k}" for k in range(1, 10)))
 DEPTH = 64
+#: Files of a subtree that one task hashes, and nibbles of the longest prefix.
+GROUP, DEEPEST = 4096, 5
 
 
 def portable(path: str) -> str | None:
@@ -140,7 +142,7 @@ def verify_proof(root: str, proof: dict) -> str | None:
 
 
 def roots(files: DataFrame, prefix: int = 2) -> DataFrame:
-    """``(route, root)``: the subtree of each route prefix of ``(path, sha256)``, on the executors.
+    """``(route, n, root, only)``: the subtree of each route prefix of ``(path, sha256)``, on the executors.
 
     With ``prefix`` nibbles there are at most 16 ** prefix rows; :func:`root` folds them.
     """
@@ -159,9 +161,17 @@ def roots(files: DataFrame, prefix: int = 2) -> DataFrame:
     return rows.groupBy("route").applyInPandas(run, "route string, n long, root string, only string")
 
 
-def root(files: DataFrame, prefix: int = 2) -> str:
-    """The tree's root hash, equal to :class:`Trie`'s."""
-    rows = [(r.route, r.n, bytes.fromhex(r.root)) for r in roots(files, prefix).collect()]  # 16 ** prefix rows
+def root(files: DataFrame, prefix: int | None = None) -> str:
+    """The tree's root hash, equal to :class:`Trie`'s.
+
+    Without a ``prefix`` there are as many subtrees as leave some GROUP files
+    to each, 16 ** DEEPEST at most: these, and no files, come to the driver.
+    """
+    if prefix is None:
+        prefix, many = 1, files.count()
+        while prefix < DEEPEST and many > GROUP * 16**prefix:
+            prefix += 1
+    rows = [(r.route, r.n, bytes.fromhex(r.root)) for r in roots(files, prefix).collect()]
 
     def fold(rows, depth) -> bytes:
         if not rows:
@@ -174,3 +184,22 @@ def root(files: DataFrame, prefix: int = 2) -> str:
         return node({k: fold(v, depth + 1) for k, v in kids.items()})
 
     return fold(rows, 0).hex()
+
+
+def entries(files: DataFrame, former: DataFrame | None = None) -> DataFrame:
+    """``(path, sha256, entry, reused)``: each file's leaf hash; where ``former`` (these columns) has the same path and
+    digest, its entry is taken over."""
+
+    @F.pandas_udf("string")
+    def hashed(paths: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else leaf(p, d).hex() for p, d in zip(paths, digests)])
+
+    rows = files.select("path", "sha256")
+    if former is None:
+        return rows.select("path", "sha256", hashed("path", "sha256").alias("entry"), F.lit(False).alias("reused"))
+    old = former.select("path", "sha256", F.col("entry").alias("old"))
+    known = rows.join(old, ["path", "sha256"], "left")
+    fresh = F.col("old").isNull()
+    # Only paths that are new or changed reach Python; the others go through as nulls.
+    made = hashed(F.when(fresh, F.col("path")), F.col("sha256"))
+    return known.select("path", "sha256", F.coalesce("old", made).alias("entry"), (~fresh).alias("reused"))

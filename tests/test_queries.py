@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from inkspan.plans import files  # noqa: F401  registers its queries
+from inkspan.plans import files, stores  # noqa: F401  they register their queries
 from inkspan.plans import queries as plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -253,6 +253,11 @@ def test_merkle(spark):
     for p in list(entries)[:20]:
         assert merkle.verify_proof(trie.root(), trie.prove(p)) == entries[p]
     assert merkle.verify_proof(trie.root(), trie.prove("none")) is None
+    old = merkle.entries(df)
+    now = df.withColumn("sha256", F.when(F.col("path") == "records/a/7.md", F.lit("f" * 64)).otherwise(F.col("sha256")))
+    got = {r.path: r for r in merkle.entries(now, old).collect()}
+    assert [p for p, r in got.items() if not r.reused] == ["records/a/7.md"]
+    assert {p: r.entry for p, r in got.items()} == {r.path: r.entry for r in merkle.entries(now).collect()}
     forged = trie.prove(next(iter(entries)))
     forged["entry"][1] = "0" * 64 if forged["entry"][1] != "0" * 64 else "1" * 64
     with pytest.raises(ValueError):
