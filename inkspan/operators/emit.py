@@ -59,6 +59,16 @@ def tree(records: DataFrame, layer: str | None = None, type: str | None = None)
     ).orderBy("layer", F.split("type_folder", "/"))
 
 
+def tree_rows(records: DataFrame, layer: str | None = None, type: str | None = None) -> DataFrame:
+    """``(layer, type_folder, path)``: the tree as rows in its order, for folders too large for a cell."""
+    rows = records.filter("type_folder is not null")
+    if layer:
+        rows = rows.filter(F.col("layer") == layer)
+    if type:
+        rows = rows.filter(F.col("type") == type)
+    return rows.orderBy("layer", F.split("type_folder", "/"), "parts").select("layer", "type_folder", "path")
+
+
 def outline(files: DataFrame) -> DataFrame:
     """``(path, level, heading, line)`` of every heading outside code fences."""
     kind = "array<struct<level:int,heading:string,line:int>>"

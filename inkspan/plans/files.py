@@ -314,3 +314,46 @@ def sql_links(spark, sf):
 
     sql.register(spark)
     return spark.sql("SELECT path, l.region, l.dst_key, count(*) AS n FROM {files}, LATERAL ink_links(text) AS l GROUP BY ALL", files=markdown(spark, sf).select("path", "text"))
+
+
+@stated("SELECT c_mktsegment AS layer, 'n' || c_nationkey AS type_folder, 'records/customers/' || c_custkey AS path, row_number() OVER (ORDER BY c_mktsegment, 'n' || c_nationkey, c_custkey::VARCHAR) AS rank FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def tree_as_rows(spark, sf):
+    """The tree in its order, a row for each file."""
+    rows = tb.customers(spark, sf).withColumns({"layer": F.element_at("tags", 1), "type_folder": F.concat(F.lit("n"), F.element_at("tokens", "c_nationkey")[0]["text"])})
+    return ranked(emit.tree_rows(rows.filter("layer <> 'BUILDING'"))).select("layer", "type_folder", "path", F.col("rank").cast("long").alias("rank"))
+
+
+@stated("SELECT 'records/customers/' || c_custkey AS path, 'records/nations/' || c_nationkey AS target, 'body' AS region FROM customer WHERE c_nationkey >= 20")
+def graph_broken_occurrences(spark, sf):
+    """Every occurrence of a link to a nation that is not there, from parsed files."""
+    edges = S.edges(markdown(spark, sf)).filter("region = 'body'")
+    there = tb.read(spark, sf, "nation").filter("n_nationkey < 20").select(F.concat(F.lit("records/nations/"), F.col("n_nationkey").cast("string"), F.lit(".md")).alias("path"))
+    there = there.unionByName(tb.read(spark, sf, "customer").select(F.concat(F.lit("records/customers/"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path")))
+    return graph.broken(edges, there).select(F.regexp_replace("src", r"\.md$", "").alias("path"), "target", "region")
+
+
+@stated("SELECT 'records/customers/' || c_custkey AS path, 'records/nations/' || c_nationkey AS value FROM customer WHERE c_custkey = 7")
+def query_field_of_one(spark, sf):
+    """One field of one record, and its link reduced to the target."""
+    rows = records(spark, sf)
+    found = query.field_of(rows, "records/customers/7.md", "nation")
+    return spark.createDataFrame([("records/customers/7", found.strip("[]").split("|")[0])], "path string, value string")
+
+
+@stated("SELECT o_orderstatus AS kind, strftime(o_orderdate, '%Y-%m') AS ym, count(*) AS n FROM orders GROUP BY 1, 2")
+def log_months_by_kind(spark, sf):
+    """Entries by calendar month and kind, as a stream's unbounded counts have them."""
+    from ..streaming import follow
+
+    rows = tb.read(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("kind"))
+    return follow.by_month(rows)
+
+
+@stated("SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM "
+        "(SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, session")
+def log_sessions(spark, sf):
+    """Sessions of each user, two hours apart."""
+    from ..streaming import follow
+
+    rows = tb.read(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return follow.sessions(rows, "2 hours").select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

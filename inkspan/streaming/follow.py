@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -33,6 +34,28 @@ def heads(feed: DataFrame) -> DataFrame:
     )
 
 
+def feed(spark: SparkSession, path: str, schema: str = "brain string, seq long, kind string, object string, at timestamp") -> DataFrame:
+    """A feed as a stream: a folder of JSON-lines files that grows, each line an entry; lines that are none are dropped."""
+    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path).filter("seq is not null")
+
+
+def subscribe(entries: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, since: int | None = None, once: bool = False, every: str = "5 seconds") -> StreamingQuery:
+    """Hands each batch of entries past ``since`` to ``sink``, in ``seq`` order.
+
+    ``once`` takes what is there and ends; else the stream goes on, a batch
+    ``every`` so often.  What was handed on is known from ``checkpoint``, so a
+    restart goes on where it stopped and repeats at most one batch under its
+    own number.
+    """
+    rows = entries if since is None else entries.filter(F.col("seq") > since)
+
+    def ordered(batch: DataFrame, n: int) -> None:
+        sink(batch.orderBy("seq"), n)
+
+    writer = rows.writeStream.foreachBatch(ordered).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def _closing(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n = state.get[0] if state.exists else 0
     if state.hasTimedOut:

@@ -43,3 +43,15 @@ def test_months_close_by_watermark(spark, tmp_path):
     q.awaitTermination(180)
     got = sorted((r.ym, r.kind, r.n) for r in spark.sql("select * from months").collect())
     assert got == [("2026-01", "a", 2), ("2026-01", "b", 1), ("2026-02", "a", 2)]
+
+
+def test_subscribe_goes_on_where_it_stopped(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"brain": "a", "seq": 2}\n{"brain": "a", "seq": 1}\nnonsense\n{"brain": "b", "seq": 3}\n')
+    got = []
+    run = lambda: follow.subscribe(follow.feed(spark, str(tmp_path / "in")), lambda b, n: got.extend(r.seq for r in b.collect()), str(tmp_path / "c"), since=1, once=True).awaitTermination(120)
+    run()
+    assert got == [2, 3]
+    (tmp_path / "in/b.json").write_text('{"brain": "a", "seq": 5}\n{"brain": "a", "seq": 4}\n')
+    run()
+    assert got == [2, 3, 4, 5]
