@@ -318,15 +318,16 @@ def epub(raw: bytes) -> tuple[str, dict]:
 
 
 def pdf(raw: bytes) -> tuple[str, dict]:
-    """The text layer, where the optional reader is installed."""
+    """The text layer; scanned pages have none."""
+    from . import pdf as P
+
     try:
-        from pypdf import PdfReader
-    except ImportError:
-        raise ExtractError("UNSUPPORTED_FORMAT", "no PDF reader is installed") from None
-    reader = PdfReader(io.BytesIO(raw))
-    if reader.is_encrypted:
-        raise ExtractError("DOCUMENT_ENCRYPTED", "the document is encrypted")
-    return "\n\n".join(page.extract_text() or "" for page in reader.pages), {"pages": str(len(reader.pages))}
+        found, pages = P.text(raw)
+    except P.Encrypted as e:
+        raise ExtractError("DOCUMENT_ENCRYPTED", str(e)) from None
+    except P.Damaged as e:
+        raise ExtractError("EXTRACT_PARSE_ERROR", str(e)) from None
+    return found, {"pages": str(pages)}
 
 
 READERS = {"docx": docx, "xlsx": xlsx, "xlsm": xlsx, "ods": ods, "epub": epub, "html": html, "htm": html, "xhtml": html, "pdf": pdf}

@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import StoreError, usage
 from ..functions import text as T
 from ..functions.path import bare
-from ..schema import LAYERS
+from ..schema import INDEX_TITLE, LAYERS
 from ..sources.config import Config
 
 BROWSED = 500
@@ -87,7 +88,7 @@ def rollup_entries(records: DataFrame, config: Config | None = None) -> DataFram
     return rows.withColumn("line", line)
 
 
-def upper_indexes(records: DataFrame, config: Config | None = None, title: str = "Knowledge base index") -> dict[str, str]:
+def upper_indexes(records: DataFrame, config: Config | None = None, title: str = INDEX_TITLE) -> dict[str, str]:
     """Root and layer pages (paths to texts), from one row a folder."""
     entries = rollup_entries(records, config).orderBy(F.split("type_folder", "/")).collect()  # folders, not files
     out = {}
@@ -204,6 +205,18 @@ def rebuild_folder(records: DataFrame, root: str, folder: str) -> dict[str, str
     return {r.name: None for r in made}
 
 
+def show(root: str, scope: str = "") -> str:
+    """The page of a scope on disk: the store's (none), a layer's or a type-folder's."""
+    parts = [p for p in scope.split("/") if p]
+    if len(parts) > 2 or parts and parts[0] not in LAYERS or any(p.startswith(".") for p in parts):
+        raise usage("BAD_SCOPE", f"{scope!r} is no layer and no type-folder")
+    path = os.path.join(root, *parts, "index.md")
+    if not os.path.isfile(path):
+        raise StoreError("INDEX_MISSING", f"{scope or 'the store'} has no index")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def _generated(path: str) -> bool:
     """Whether a page is ours: a user's own file named index.md is kept."""
     if path.endswith(".jsonl"):

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import frontmatter as fm
+from ..sources.config import Config
 
 _EMIT = (
     "frontmatter string, type string, meta_type string, id string, title string, summary string, links array<string>, "
@@ -95,6 +97,23 @@ def formatted(files: DataFrame) -> DataFrame:
     return files.select("path", run("text").alias("text"))
 
 
+def initialised(files: DataFrame, config: Config, now: datetime, types: dict[str, str] | None = None) -> DataFrame:
+    """``(path, text)``: every file with what its frontmatter lacks filled in, as a single write would; malformed ones as they are."""
+
+    @F.pandas_udf("string")
+    def run(paths: pd.Series, texts: pd.Series) -> pd.Series:
+        from .write import completed
+
+        out = []
+        for path, text in zip(paths, texts):
+            state, raw, body, _ = fm.split(text or "")
+            front = fm.load(raw) if state == fm.OK else {} if state == fm.NONE else None
+            out.append(text if front is None else fm.render(completed(path, front, body, config, now, types), body))
+        return pd.Series(out)
+
+    return files.select("path", run("path", "text").alias("text"))
+
+
 def relinked(files: DataFrame, old: str, new: str) -> DataFrame:
     """``(path, text)`` of the files that change when links to ``old`` point to ``new``."""
 

@@ -88,6 +88,16 @@ def field_of(records: DataFrame, path: str, key: str) -> str:
     return found.value
 
 
+def lines(rows: DataFrame, form: str = "text") -> DataFrame:
+    """``line``: a row's columns as text (the first, a colon, the others) or as JSON with nulls left out (``ndjson``)."""
+    if form == "ndjson":
+        return emit_json(rows).select(F.col("json").alias("line"))
+    if form != "text":
+        raise usage("BAD_FORMAT", f"{form!r} is neither text nor ndjson")
+    first, *rest = rows.columns
+    return rows.select(F.concat(F.col(first).cast("string"), F.lit(": "), F.concat_ws(" ", *[F.col(c).cast("string") for c in rest])).alias("line"))
+
+
 def emit_json(rows: DataFrame) -> DataFrame:
     """One JSON text a row, nulls left out."""
     return rows.select(F.to_json(F.struct("*")).alias("json"))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.path import is_safe
 from ..functions.time import bound
-from ..sources.timeline import KINDS, parse_log, render_entry
+from ..schema import KINDS, LOG_TITLE, MUTATING
+from ..sources.timeline import parse_log, render_entry
 
-MUTATING = ("ingest", "create", "update", "delete", "rename", "link")
 
 
 def tail(log: DataFrame, n: int, kind: str | None = None) -> DataFrame:
@@ -73,6 +73,11 @@ def unknown_kinds(log: DataFrame) -> DataFrame:
     return log.filter(~F.col("kind").isin(*KINDS))
 
 
+def not_in(log: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of one log that another with the same columns lacks, repeats counted: what is still to be archived."""
+    return log.exceptAll(other.select(log.columns))
+
+
 def page(feed: DataFrame, after: int, limit: int) -> DataFrame:
     """Entries with a ``seq`` past ``after``, 1 to 100 of them."""
     return feed.filter(F.col("seq") > after).orderBy("seq").limit(min(max(limit, 1), 100))
@@ -89,7 +94,7 @@ def append(root: str, kind: str, obj: str | None, note: str, now: datetime | Non
     path = os.path.join(root, "log.md")
     with open(os.path.join(root, ".log.lock"), "w") as lock:
         fcntl.flock(lock, fcntl.LOCK_EX)
-        text = open(path, encoding="utf-8").read() if os.path.exists(path) else "---\ntype: log\n---\n\n# Curator log\n\n"
+        text = open(path, encoding="utf-8").read() if os.path.exists(path) else f"---\ntype: log\n---\n\n# {LOG_TITLE}\n\n"
         entries = parse_log(text)
         head = "".join(text.splitlines(keepends=True)[: entries[0][4] - 1]) if entries else text
         lines = text.splitlines(keepends=True)

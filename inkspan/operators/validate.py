@@ -16,7 +16,7 @@ from ..functions.link import canonical_target
 from ..functions.path import bare, is_content, matches_globs
 from ..functions.shape import SHAPES
 from ..functions.time import rfc3339
-from ..schema import ISSUES, LAYERS
+from ..schema import ISSUES, LAYERS, META_TYPES
 from ..shared import written
 from ..sources import frontmatter as fm
 from ..sources.config import Config, Schema
@@ -24,7 +24,6 @@ from ..sources.store import Store
 from .catalog import BROWSED
 from .timeline import out_of_order, unknown_kinds
 
-META_TYPES = ("fact", "operational", "conclusion")
 ERROR, WARNING, INFO = "error", "warning", "info"
 
 

@@ -357,3 +357,39 @@ def log_sessions(spark, sf):
 
     rows = tb.read(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return follow.sessions(rows, "2 hours").select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@stated("SELECT c_custkey, c_name || chr(10) || c_mktsegment || ' (é)' || chr(10) AS text, '1' AS pages FROM customer")
+def extract_pdf_text(spark, sf):
+    """The text layer of small PDF files, one for each customer."""
+    body = F.concat(F.lit("BT /F1 9 Tf ("), F.col("c_name"), F.lit(") Tj 0 -12 Td ("), F.col("c_mktsegment"), F.lit(" \\(\\351\\)) Tj ET"))
+    head = F.lit("%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj\n2 0 obj <</Type/Pages/Kids[3 0 R]/Count 1>> endobj\n3 0 obj <</Type/Page/Parent 2 0 R/Contents 4 0 R>> endobj\n4 0 obj <</Length ")
+    raw = F.concat(head, F.length(body).cast("string"), F.lit(">> stream\n"), body, F.lit("\nendstream endobj\ntrailer <</Root 1 0 R>>\n%%EOF"))
+    rows = tb.read(spark, sf, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".pdf")).alias("path"), raw.cast("binary").alias("content"))
+    found = extract.extract(rows)
+    return found.select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("c_custkey"), "text", F.element_at("metadata", "pages").alias("pages"))
+
+
+@stated(_FILES + "SELECT path, '---' || L || 'type: customer' || L || 'meta-type: fact' || L || 'created: \"2026-05-01T00:00:00Z\"' || L || 'updated: \"2026-05-01T00:00:00Z\"' || L || 'summary: First words of ' || k || L "
+        "|| 'country: NZ' || L || '---' || L || 'First words of ' || k || L AS text FROM f")
+def files_initialised(spark, sf):
+    """Files that were dropped in without their fields, completed: type by folder, times, defaults, summary."""
+    from datetime import datetime
+
+    from ..sources.config import Config, FieldSpec, Schema
+
+    rows = markdown(spark, sf).select("path", F.concat(F.lit("---\nmeta-type: fact\n---\nFirst words of "), F.regexp_extract("path", r"(\d+)", 1), F.lit("\n")).alias("text"))
+    config = Config(schemas={"customer": Schema(fields=[FieldSpec("country", default="NZ")])})
+    return emit.initialised(S.described(rows.select("path", F.lit(0).cast("long").alias("size"), F.col("text").cast("binary").alias("content"))), config, datetime(2026, 5, 1), {"records/customers": "customer"})
+
+
+@stated("SELECT 'records/customers/' || c_custkey || ': ' || c_name AS line FROM customer WHERE c_nationkey = 7")
+def query_text_lines(spark, sf):
+    """Results as lines of text."""
+    return query.lines(query.query(tb.customers(spark, sf), layer="records", wheres=["c_nationkey=7"]).select("path", "summary"), "text")
+
+
+@stated("SELECT '{\"path\":\"records/customers/' || c_custkey || '\",\"type\":\"' || lower(c_mktsegment) || '\"}' AS line FROM customer WHERE c_nationkey = 7")
+def query_json_lines(spark, sf):
+    """Results as JSON, a line each."""
+    return query.lines(query.query(tb.customers(spark, sf), layer="records", wheres=["c_nationkey=7"]).select("path", "type"), "ndjson")

@@ -614,7 +614,7 @@ def sorted_set_token(spark, sf):
 def set_multiset_difference(spark, sf):
     rows = tb.read(spark, sf, "events")
     a = rows.select("event_id", "user_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("day"))
-    return a.exceptAll(rows.filter("event_type = 'click'").select("event_id", "user_id", F.lit("2024-01-05").alias("day")))
+    return timeline.not_in(a, rows.filter("event_type = 'click'").select("event_id", "user_id", F.lit("2024-01-05").alias("day")))
 
 
 @stated(None)

@@ -22,6 +22,13 @@ ISSUES = (
 )
 ASSETS = "path string, sha256 string, bytes long, media_type string, wrappers array<string>, required boolean"
 LAYERS = ("sources", "records")
+#: The titles of generated pages.
+INDEX_TITLE, LOG_TITLE = "Knowledge base index", "Curator log"
+#: The kinds of log entries, and of these the ones that change an object.
+KINDS = ("ingest", "create", "update", "delete", "rename", "link", "validate", "index-rebuild", "contradiction")
+MUTATING = ("ingest", "create", "update", "delete", "rename", "link")
+#: What a record may be.
+META_TYPES = ("fact", "operational", "conclusion")
 #: The name of a store's configuration file and the type that its frontmatter states, unless a caller passes others.
 CONFIG_FILE, CONFIG_TYPE = "STORE.md", "store"
 META_FILES = ("index.md", CONFIG_FILE, "log.md")

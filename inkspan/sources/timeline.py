@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from datetime import datetime
 
-KINDS = ("ingest", "create", "update", "delete", "rename", "link", "validate", "index-rebuild", "contradiction")
+from ..schema import KINDS  # noqa: F401
+
 _HEADER = re.compile(r"^## \[([^\]]*)\]([^|]*)(?:\|(.*))?$")
 
 

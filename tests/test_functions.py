@@ -124,3 +124,53 @@ def test_configuration_doubts():
     text = "---\ntype: store\nscope: s\nowner: o\n---\n## Schemas\n### t\n- a (required, requierd)\n- a\n- (string)\n- unique: a, b\n"
     assert [(s, line) for s, c, line, _ in C.parse(text).problems] == [("warning", 7), ("warning", 7), ("info", 7), ("warning", 7)] or len(C.parse(text).problems) == 4
     assert C.parse(text.replace("type: store", "type: other"), "other").problems == C.parse(text).problems
+
+
+def _pdf(*streams, fonts=b"", extra=b"", deflated=True):
+    """A file of one page a stream."""
+    import zlib
+
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * k) for k in range(len(streams)))
+    out = [b"%PDF-1.5\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [" + kids + b"] /Count 9 /Resources << /Font << " + fonts + b" >> >> >>\nendobj\n", extra]
+    for k, s in enumerate(streams):
+        body = zlib.compress(s) if deflated else s
+        out.append(b"%d 0 obj\n<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>\nendobj\n" % (10 + 2 * k, 11 + 2 * k))
+        out.append(b"%d 0 obj\n<< /Length %d %s >>\nstream\n" % (11 + 2 * k, len(body), b"/Filter /FlateDecode" if deflated else b"") + body + b"\nendstream\nendobj\n")
+    return b"".join(out) + b"trailer\n<< /Root 1 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("deflated", [True, False])
+def test_pdf_text(deflated):
+    cmap = b"/CIDInit begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0041> <0002> <00660069> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange endcmap"
+    fonts = b"/F1 << /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >> /F2 5 0 R /F3 << /Subtype /Type1 /Encoding << /Differences [65 /eacute /uni00E9 /three] >> >>"
+    extra = b"5 0 obj << /Type /Font /Subtype /Type0 /ToUnicode 6 0 R >> endobj 6 0 obj << /Length %d >> stream\n" % len(cmap) + cmap + b"\nendstream endobj\n"
+    one = b"BT /F1 12 Tf 72 700 Td (Hello \\(world\\) \\351) Tj 0 -14 Td [(sp) -300 (aced) 10 (out)] TJ T* (next) Tj ET"
+    two = b"BT /F2 9 Tf 1 0 0 1 10 20 Tm <000100020010> Tj 1 0 0 1 60 20 Tm <0012> Tj 1 0 0 1 10 5 Tm <0011> Tj ET BT /F3 9 Tf (ABC) Tj ET"
+    raw = _pdf(one, two, fonts=fonts, extra=extra, deflated=deflated)
+    got = D.extract("x.pdf", raw)
+    assert got["error_code"] is None and got["metadata"] == {"pages": "2"}
+    assert got["text"] == "Hello (world) é\nsp acedout\nnext\n\nAfia c\nb\néé3\n"
+    assert D.extract("x.pdf", b"junk")["error_code"] == "EXTRACT_PARSE_ERROR"
+    assert D.extract("x.pdf", raw.replace(b"trailer\n<<", b"trailer\n<< /Encrypt 99 0 R"))["error_code"] == "DOCUMENT_ENCRYPTED"
+    assert D.extract("x.pdf", _pdf(b"q 1 0 0 1 0 0 cm Q"))["text"] == ""
+
+
+def test_pdf_object_streams_predictors_and_forms():
+    import zlib
+
+    from inkspan.functions import pdf as P
+
+    body = b"1 0 2 37 << /Type /Catalog /Pages 2 0 R >>     << /Type /Pages /Kids [3 0 R] >>"
+    first = body.index(b"<<")
+    body = b"1 0 2 %d " % (body.index(b"<< /Type /Pages") - first) + body[first:]
+    first = body.index(b"<<")
+    packed = zlib.compress(body)
+    form = b"BT (inner) Tj ET"
+    raw = (b"%PDF-1.7\n9 0 obj << /Type /ObjStm /N 2 /First " + str(first).encode() + b" /Filter /FlateDecode /Length " + str(len(packed)).encode() + b" >> stream\n" + packed + b"\nendstream endobj\n"
+           b"3 0 obj << /Type /Page /Contents [4 0 R] /Resources << /XObject << /X 7 0 R >> >> >> endobj\n4 0 obj << /Length 5 0 R >> stream\nBT (outer) Tj ET /X Do\nendstream endobj\n5 0 obj 22 endobj\n"
+           b"7 0 obj << /Type /XObject /Subtype /Form /Length " + str(len(form)).encode() + b" >> stream\n" + form + b"\nendstream endobj\n%%EOF")
+    assert P.text(raw) == ("outer\ninner", 1)
+    rows = b"".join(bytes([k]) + bytes([10, 20, 30]) for k in (0, 1, 2, 3, 4))
+    assert len(P._predicted(rows, 3)) == 15 and P._predicted(rows, 3)[:6] == bytes([10, 20, 30, 10, 30, 60])
+    loop = _pdf(b"/X Do", extra=b"8 0 obj 8 0 R endobj\n")
+    assert P.text(loop)[0] == ""

@@ -151,6 +151,11 @@ def test_rebuilt_catalogue_validates_and_writes_keep_it(spark, tmp_path):
     codes = {r.code for r in validate.validate_all(spark, store).collect()}
     assert not any(c.startswith("INDEX_") for c in codes), codes
     page = (tmp_path / "records/companies/index.md").read_text()
+    assert catalog.show(store.root, "records/companies") == page and catalog.show(store.root).startswith("---\ntype: index")
+    for scope, code in (("elsewhere", "BAD_SCOPE"), ("records/../x", "BAD_SCOPE"), ("records/none", "INDEX_MISSING")):
+        with pytest.raises(StoreError) as e:
+            catalog.show(store.root, scope)
+        assert e.value.code == code
     assert page.splitlines()[4] == "updated: 2026-03-01T00:00:00+02:00" and "- [[records/companies/acme]] — Makes anvils  ·  #big #old" in page
     assert "- [[records/companies/index|Firms]] (4) — who we work with" in (tmp_path / "index.md").read_text()
     assert json.loads((tmp_path / "records/index.jsonl").read_text())["path"] == "records/loose.md"
@@ -220,6 +225,27 @@ def test_scoped_issues_disclose_nothing(spark):
     assert got["WIKI_LINK_SCOPED_UNRESOLVED"].severity == "info" and "x" not in got["WIKI_LINK_SCOPED_UNRESOLVED"].message.split() and got["WIKI_LINK_SCOPED_UNRESOLVED"].related == [] and got["DUP_ID"].related == ["x"]
 
 
+def test_a_move_that_breaks_off_is_finished(spark, tmp_path, monkeypatch):
+    store = S.Store.open(build(tmp_path))
+    os.unlink(tmp_path / "records/notes/bad.md")
+    catalog.rebuild(S.records(S.files(spark, store)), store.root, store.config)
+    calls = []
+
+    def breaking(path, data, new=False, durable=write.durable):
+        calls.append(path)
+        if len(calls) == 3:  # the journal and one text are written
+            raise OSError("the disk went away")
+        durable(path, data, new)
+
+    monkeypatch.setattr(write, "durable", breaking)
+    with pytest.raises(OSError):
+        write.rename(store, "records/contacts/eve.md", "records/contacts/eva.md", ["records/companies/acme.md", "records/notes/plan.md"])
+    monkeypatch.undo()
+    assert (tmp_path / ".rename.json").exists() and write.recover(store) and not write.recover(store)
+    assert (tmp_path / "records/contacts/eva.md").exists() and not (tmp_path / "records/contacts/eve.md").exists()
+    assert "[[records/contacts/eva]]" in (tmp_path / "records/companies/acme.md").read_text() and "eva" in (tmp_path / "records/contacts/index.jsonl").read_text()
+
+
 def test_log_append_rotates(tmp_path):
     from datetime import datetime
 
