@@ -69,8 +69,10 @@ def query_where_tags(spark, sf):
 
 @stated("SELECT event_id, user_id FROM events WHERE json_extract_string(props, '$.k') = '42'")
 def query_where_json_field(spark, sf):
-    rows = tb.read(spark, sf, "events")
-    return rows.filter(F.get_json_object("props", "$.k") == "42").select("event_id", "user_id")
+    rows = tb.read(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    known = tb.as_records(rows, path=F.concat_ws("/", F.lit("records/events"), "event_id", "user_id"), type="event", summary=F.col("event_type"), fields=["k"], layer="records")
+    found = query.query(known, type="event", wheres=["k=42"])
+    return found.select(F.element_at("parts", 3).cast("long").alias("event_id"), F.element_at("parts", 4).cast("long").alias("user_id"))
 
 
 @stated(f"SELECT {ORDER_ROW} FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-05-28' AND TIMESTAMP '1997-06-30'")
@@ -526,10 +528,13 @@ def text_summary(spark, sf):
 @stated("SELECT conv_id, turn, line::INT AS line, level::INT AS level FROM (SELECT conv_id, turn, i AS line, length(regexp_extract(l[i], '^(#+) ', 1)) AS level FROM ("
         "SELECT conv_id, turn, string_split('## ' || text, chr(10)) AS l, unnest(range(1, len(string_split('## ' || text, chr(10))) + 1)) AS i FROM conversations)) WHERE level BETWEEN 1 AND 6")
 def sections_outline(spark, sf):
+    from ..operators.emit import outline
+    from ..sources import store
+
     text = F.concat(F.lit("## "), F.col("text"))
-    rows = tb.read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split(text, "\n", -1)).alias("at", "l"))
-    level = T.heading_level(F.col("l"))
-    return rows.filter(level > 0).select("conv_id", "turn", (F.col("at") + 1).alias("line"), level.alias("level"))
+    rows = tb.read(spark, sf, "conversations").select(F.concat_ws("/", F.lit("records/turns"), "conv_id", F.concat(F.col("turn").cast("string"), F.lit(".md"))).alias("path"), F.octet_length(text).cast("long").alias("size"), text.cast("binary").alias("content"))
+    part = lambda n: F.regexp_extract("path", r"turns/(\d+)/(\d+)", n).cast("long")
+    return outline(store.described(rows)).select(part(1).alias("conv_id"), part(2).alias("turn"), "line", "level")
 
 
 @stated("SELECT c_custkey, 'records/nations/' || c_nationkey AS target, 'note ' || c_nationkey AS shown FROM customer")
@@ -626,10 +631,9 @@ def extract_html_text(spark, sf):
 @stated("SELECT o_orderpriority AS priority, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (rn <= 3) AS first FROM "
         "(SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders) GROUP BY 1")
 def match_key_value_groups(spark, sf):
-    rows = tb.read(spark, sf, "orders").select("o_orderpriority", "o_orderkey")
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")))
-    first = F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.col("o_orderkey"))))
-    return rows.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.array_join(first, ",").alias("first"))
+    rows = tb.read(spark, sf, "orders").select(F.col("o_orderpriority").alias("type_folder"), F.array(F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("parts"), F.lit(None).cast("timestamp").alias("updated"), "o_orderkey")
+    first = catalog.browse(rows, 3).groupBy(F.col("type_folder").alias("priority")).agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("first"))
+    return stats.type_distribution(rows.select(F.col("type_folder").alias("type"))).withColumnRenamed("type", "priority").join(first, "priority")
 
 
 @stated("SELECT c_custkey, c_acctbal = 1863.84 AS equal FROM customer")
@@ -724,6 +728,8 @@ def validate_link_forms(spark, sf):
 
 @stated("SELECT p_type AS parent, count(DISTINCT p_brand) AS n, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands, max(p_size) AS top, arg_max(p_name, (p_size, p_partkey)) AS largest FROM part GROUP BY 1")
 def aggregate_wrappers(spark, sf):
-    brands = F.array_sort(F.collect_set("p_brand"))
-    return tb.read(spark, sf, "part").groupBy(F.col("p_type").alias("parent")).agg(
-        F.size(F.collect_set("p_brand")).cast("long").alias("n"), F.array_join(brands, ",").alias("brands"), F.max("p_size").alias("top"), F.max_by("p_name", F.struct("p_size", "p_partkey")).alias("largest"))
+    part = tb.read(spark, sf, "part")
+    brands = assets.rolled_up(part.select(F.col("p_type").alias("path"), F.col("p_brand").alias("wrapper"), F.lit(True).alias("required")))
+    largest = catalog.last_write_wins(part.select("p_type", "p_size", "p_partkey", "p_name"), "p_type", F.struct("p_size", "p_partkey"))
+    return brands.join(largest, F.col("path") == F.col("p_type")).select(
+        F.col("path").alias("parent"), F.size("wrappers").cast("long").alias("n"), F.array_join("wrappers", ",").alias("brands"), F.col("p_size").alias("top"), F.col("p_name").alias("largest"))
