@@ -14,15 +14,18 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, table, written
+from .common import bit_filter, passing, quoted, table, written
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes of an archive that are inflated at a time.
+STEP = 1 << 14
 
 
 class Damaged(ValueError):
@@ -68,13 +71,17 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record, of plain or gzip archives."""
     if archive[:2] == b"\x1f\x8b":
-        parts, rest = [], archive
-        while rest:
+        parts, view, at = [], memoryview(archive), 0
+        while at < len(view):
+            if not view[at]:  # padding between members
+                at += 1
+                continue
             one = zlib.decompressobj(31)
-            parts.append(one.decompress(rest))
+            while not one.eof and at < len(view):  # in steps: what a member leaves over is copied
+                parts.append(one.decompress(view[at : at + STEP]))
+                at = min(at + STEP, len(view)) - len(one.unused_data)
             if not one.eof:
                 raise Damaged("gzip member cut short")
-            rest = one.unused_data.lstrip(b"\0")
         archive = b"".join(parts)
     at = 0
     while at < len(archive):
@@ -134,46 +141,32 @@ def page_records(ident, url, payload: bytes, digest: str, response, row: str, se
         yield record(own, cut)
 
 
-def with_responses(pages: DataFrame, ident: str, payload: str, least: int = 0) -> DataFrame:
-    """``(ident, url?, payload, digest, response)``: the id that a page revisits, null for responses.
-
-    Of equal payloads of ``least`` bytes or more, the row with the largest id
-    is the response.  Rows that repeat that id are responses too; a null id
-    revisits the largest id there is; with null ids only, all are responses.
-    """
-    groups = pages.filter(F.octet_length(payload) >= least).groupBy(F.col("digest").alias("d")).agg(
-        F.max(ident).alias("top"), F.count("*").alias("n")
-    )
-    found = pages.join(groups.filter("n > 1").select("d", "top"), F.col("digest") == F.col("d"), "left")
-    return found.withColumn("response", F.when(~F.col("top").eqNullSafe(F.col(ident)), F.col("top"))).drop("d", "top")
-
+def _told(batch: pa.RecordBatch, needed: bytes, wanted: bool) -> pa.RecordBatch:
+    """Of rows (hash, ...) those that a filter passes, or the others, without the hash."""
+    mark = np.zeros(batch.num_rows, bool)
+    mark[passing(batch.column(0).to_numpy(), needed)] = True
+    return pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(mark == wanted))
 
-def write_archives(pages: DataFrame, ident: str = "page_id", url: str = "url", payload: str = "html",
-                   segment: int = 8192, archive: int = 4 << 20, least: int = 0) -> DataFrame:
-    """``(name, content)``: gzip WARC archives of about ``archive`` bytes with every row as a record.
 
-    The payload is UTF-8 text or bytes, null as empty.  A null url is
-    ``urn:none``.  Repeated rows are records of their own.  An empty table
-    makes no archives.  Other columns are not looked at.
-    """
-    rows = pages.select(
-        F.col(quoted(ident)).cast("long").alias("ident"), F.col(quoted(url)).cast("string").alias("url"),
-        F.coalesce(F.col(quoted(payload)).cast("binary"), F.lit(b"")).alias("payload"),
-    ).withColumn("digest", F.sha1("payload"))
-    rows = with_responses(rows, "ident", "payload", least).select("ident", "url", "payload", "digest", "response")
+def _archived(letter: str, segment: int, archive: int, needed=None):
+    """Rows (ident, url, payload, digest, response) to archives.  With a filter, rows (hash, ident, url, payload, digest)
+    that it does not pass, all of them responses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
+        task = f"{letter}{TaskContext.get().partitionId()}"
         out: list[bytes] = []
         size = made = row = 0
 
         def archived() -> pa.RecordBatch:
-            name = f"part-{task:06d}-{made:05d}.warc.gz"
+            name = f"part-{task}-{made:05d}.warc.gz"
             return pa.RecordBatch.from_pydict({"name": pa.array([name]), "content": pa.array([b"".join(out)], pa.binary())})
 
         for batch in batches:
+            if needed is not None:
+                batch = _told(batch, needed.value, False)
+                batch = batch.append_column("response", pa.nulls(batch.num_rows, pa.int64()))
             for i, u, p, d, r in zip(*(c.to_pylist() for c in batch.columns)):
                 for raw in page_records(i, u, p, base64.b32encode(bytes.fromhex(d)).decode(), r, f"{task}-{row}", segment):
                     out.append(raw)
@@ -185,7 +178,42 @@ def write_archives(pages: DataFrame, ident: str = "page_id", url: str = "url", p
         if out:
             yield archived()
 
-    return rows.mapInArrow(run, "name string, content binary")
+    return run
+
+
+def write_archives(pages: DataFrame, ident: str = "page_id", url: str = "url", payload: str = "html",
+                   segment: int = 8192, archive: int = 4 << 20, least: int = 0) -> DataFrame:
+    """``(name, content)``: gzip WARC archives of about ``archive`` bytes with every row as a record.
+
+    Of equal payloads of ``least`` bytes or more, the row with the largest id
+    is the response and the others revisit it; rows that repeat that id are
+    responses too; a null id revisits the largest id there is; with null ids
+    only, all are responses.  Which payloads are repeated is decided by digest
+    and id.  Rows of other digests are told by a filter and written where they
+    lie; only the rest meets the repeated digests in a join.
+
+    The payload is UTF-8 text or bytes, null as empty.  A null url is
+    ``urn:none``.  Repeated rows are records of their own.  An empty table
+    makes no archives.  Other columns are not looked at.  A page of any length
+    is written whole, by one task; it must fit a cell (2 GB).
+    """
+    rows = pages.select(
+        F.col(quoted(ident)).cast("long").alias("ident"), F.col(quoted(url)).cast("string").alias("url"),
+        F.coalesce(F.col(quoted(payload)).cast("binary"), F.lit(b"")).alias("payload"),
+    ).withColumn("digest", F.sha1("payload"))
+    groups = rows.filter(F.octet_length("payload") >= least).groupBy(F.col("digest").alias("d")).agg(F.max("ident").alias("top"), F.count("*").alias("n"))
+    groups = written(groups.filter("n > 1").select("d", "top", F.xxhash64("d").alias("h")))
+    needed = pages.sparkSession.sparkContext.broadcast(bit_filter(groups.select("h")))  # 16 MB at most
+    hashed = rows.select(F.xxhash64("digest").alias("h"), *rows.columns)
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (_told(batch, needed.value, True) for batch in batches)
+
+    found = hashed.mapInArrow(several, rows.schema).join(groups.select("d", "top"), F.col("digest") == F.col("d"), "left")
+    response = F.when(~F.col("top").eqNullSafe(F.col("ident")), F.col("top")).alias("response")
+    found = found.select("ident", "url", "payload", "digest", response)
+    kinds = "name string, content binary"
+    return hashed.mapInArrow(_archived("s", segment, archive, needed), kinds).unionByName(found.mapInArrow(_archived("r", segment, archive), kinds))
 
 
 _SEGMENT = "origin string, n int, total long, type string, url string, digest string, length long, refers string, block binary"
