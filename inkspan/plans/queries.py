@@ -622,7 +622,16 @@ def set_multiset_difference(spark, sf):
     return timeline.not_in(a, rows.filter("event_type = 'click'").select("event_id", "user_id", F.lit("2024-01-05").alias("day")))
 
 
-@stated(None)
+#: The pages' own markup, step by step: blocks to line ends, list items to marks, other tags away, references decoded.
+_PAGE_TEXT = r"""SELECT CAST(page_id AS VARCHAR) || '.html' AS path, trim(regexp_replace(regexp_replace(regexp_replace(t, ' *\x01 *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) || chr(10) AS text, NULL::VARCHAR AS error_code FROM (
+  SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(u, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;?', '&', 'g') AS t FROM (
+  SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
+      regexp_replace(regexp_extract(regexp_replace(html, '\s+', ' ', 'g'), '<body>(.*)$', 1, 's'), '<!--.*?-->', '', 'gs'),
+      '<br><p>', x), '<br>', x), '</p>', x || x), '<p>', x), '</li>', x), '</ul>', x), '</h1>', x || x), '</div>', x), '<li>', '* ', 'g'), '<[^>]*>', '', 'g') AS u
+  FROM (SELECT *, chr(1) AS x FROM pages)))"""
+
+
+@stated(_PAGE_TEXT)
 def extract_html_text(spark, sf):
     rows = tb.read(spark, sf, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
     return extract.extract(rows).select("path", "text", "error_code")
