@@ -322,3 +322,17 @@ def extract(pages: DataFrame, html_column: str = "html", text: str = "text", kee
 
 def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+#: The same for pages that mark their article as such and hold no other parts in it: its blocks, tags and references.
+OP2_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(regexp_replace(coalesce(html, ''), '[ \t\n\r\f\v]+', ' ', 'g'), '<article>(.*)$', 1, 's'), '</article>.*$', '', 's') AS h FROM pages),
+b AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<!--.*?-->', '', 'gs'), '</?(p|h1|li|ul)>', chr(1), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS u FROM a),
+c AS (
+  SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(replace(u, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;?', '&', 'g') AS t FROM b),
+d AS (
+  SELECT page_id, url, array_to_string([x FOR x IN [trim(regexp_replace(y, ' +', ' ', 'g')) FOR y IN string_split(t, chr(1))] IF x <> ''], chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""

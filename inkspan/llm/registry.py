@@ -17,5 +17,8 @@ QUERIES = {
     "op10_neighbours": neighbours.op10_neighbours,
 }
 ORACLE_SQL = {
+    "op2_extraction": extraction.OP2_SQL,
     "op3_warc": warc.OP3_SQL,
-   "op5_substrings": substrings.OP5_SQL, "op6_mixing": mixing.OP6_SQL}
+    "op5_substrings": substrings.OP5_SQL,
+    "op6_mixing": mixing.OP6_SQL,
+}
