@@ -213,3 +213,62 @@ def store_manifest(spark, sf):
     manifest = S.manifest(spark, store)
     states = assets.verify(manifest, assets.hashed(manifest, store.root), include_optional=True)
     return manifest.join(states, "path").select("path", "sha256", "bytes", F.array_join("wrappers", ",").alias("wrappers"), "required", "state")
+
+
+@stated("SELECT unnest(['PATH_COLLISION', 'POLICY_FROZEN_PAGE', 'SUMMARY_REQUIRED', 'BAD_PATH', 'WIKI_LINK_SHORT_FORM', 'INDEX_MISSING', 'BAD_SCOPE', 'BAD_LAYER', 'BAD_WHERE', 'BAD_TIMESTAMP', 'BAD_QUERY_REGEX', 'FM_KEY_NOT_FOUND', 'NOT_A_STORE']) AS code, "
+        "unnest([5, 4, 2, 2, 2, 1, 2, 2, 2, 2, 2, 1, 3])::BIGINT AS exit_code")
+def store_refusals(spark, sf):
+    """What is refused, with the code and the exit code of each."""
+    from ..errors import StoreError
+    from ..functions import match, time
+    from ..operators import query
+
+    store = build(spark, sf)
+    rows = tb.customers(spark, sf)
+    tries = [
+        lambda: write.write(store, "nation", "0", {"summary": "x"}, path="records/nations/0.md"), lambda: write.set_field(store, "records/regions/0.md", "a", "b"),
+        lambda: write.write(store, "odd", "x", {}, ""), lambda: write.set_field(store, "elsewhere/x.md", "a", "b"), lambda: write.link(store, "records/nations/0.md", "short"),
+        lambda: catalog.show(store.root, "records/nations"), lambda: catalog.show(store.root, "else"), lambda: query.query(rows, layer="else"), lambda: query.query(rows, wheres=["no sign"]),
+        lambda: time.bound("May"), lambda: match.check_regex("(?=x)"), lambda: query.field_of(rows, "records/customers/0", "none"), lambda: S.Store.open(os.path.join(store.root, "records")),
+    ]
+    found = []
+    for one in tries:
+        try:
+            one()
+        except StoreError as e:
+            found.append((e.code, e.exit_code))
+    return spark.createDataFrame(found, "code string, exit_code long")
+
+
+@stated("SELECT 'records/inner' AS path, 'listed' AS what UNION ALL SELECT 'records/inner', 'NESTED_STORE' UNION ALL SELECT 'records/link.md', 'left out'")
+def store_boundary(spark, sf):
+    """A store inside the store is named but not entered; a link out of the store is passed over."""
+    store = build(spark, sf)
+    os.makedirs(f"{store.root}/records/inner")
+    for name in ("STORE.md", "x.md"):
+        with open(f"{store.root}/records/inner/{name}", "w") as f:
+            f.write(_page("note", "inner", 1))
+    os.symlink("/etc/hostname", f"{store.root}/records/link.md")
+    listed = [(r.path, "listed") for r in S.listing(spark, store).filter("path like 'records/inner%' or path like 'records/link%'").collect()]
+    issues = [(r.file, r.code) for r in validate.config_rules(spark, store).filter("code = 'NESTED_STORE'").collect()]
+    out = [("records/link.md", "left out")] if "records/link.md" not in dict(listed) else []
+    return spark.createDataFrame(listed + issues + out, "path string, what string")
+
+
+@stated("SELECT 'records/customers/' || c_custkey AS path, sha256(encode('leaf') || '\\x00'::BLOB || unhex(lpad(hex(length('records/customers/' || c_custkey)), 16, '0')) || encode('records/customers/' || c_custkey) "
+        "|| unhex('0000000000000020') || unhex(sha256(c_name))) AS entry, c_custkey % 2 = 0 AS reused FROM customer")
+def content_entries(spark, sf):
+    """Leaf hashes of a content tree, half of them taken over from a former one."""
+    from ..operators import merkle
+
+    rows = tb.read(spark, sf, "customer").select("c_custkey", F.concat(F.lit("records/customers/"), F.col("c_custkey").cast("string")).alias("path"), F.sha2("c_name", 256).alias("sha256"))
+    former = merkle.entries(rows.filter("c_custkey % 2 = 0"))
+    return merkle.entries(rows, former).select("path", "entry", "reused")
+
+
+@stated("SELECT path, row_number() OVER (ORDER BY path) AS rank FROM (SELECT DISTINCT 'assets/' || p_brand || '.pdf' AS path FROM part WHERE p_brand NOT LIKE '%3')")
+def assets_paths(spark, sf):
+    """Safe paths of the manifest's required files, in plain text order."""
+    name = F.when(F.col("p_brand").like("%3"), F.lit("../")).otherwise(F.lit("assets/"))
+    rows = tb.read(spark, sf, "part").select(F.concat(name, F.col("p_brand"), F.lit(".pdf")).alias("path"), F.lit(True).alias("required")).distinct()
+    return ranked(assets.paths(rows.unionByName(rows.withColumn("required", F.lit(False)).withColumn("path", F.concat("path", F.lit("x")))), required_only=True)).select("path", F.col("rank").cast("long").alias("rank"))
