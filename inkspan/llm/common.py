@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of the Arrow batches in which texts go to Python, unless the session asks for others than Spark's 64 MB.
+BATCH_BYTES, BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def modest(df: DataFrame) -> DataFrame:
+    """``df``, whose texts are to go to Python: makes the session's Arrow batches smaller, where it has Spark's own size.
+
+    A task holds a batch several times over, in the JVM and in Python.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, "64m").lower() in ("64m", "64mb", "67108864", "67108864b"):
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
+def lean(run):
+    """An Arrow function that gives back, when its task ends, what memory its worker holds free.
+
+    Workers outlive their tasks; an idle one would keep the most that any of
+    them took.
+    """
+
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return ended
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever its letters' case."""
     have, name = {c.lower() for c in df.columns}, f"__{base}"

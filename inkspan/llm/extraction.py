@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, table
+from .common import modest, quoted, table
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -309,7 +309,7 @@ def extract(pages: DataFrame, html_column: str = "html", text: str = "text", kee
     and memory in proportion to it.
     """
     keep = [c for c in (pages.columns if keep is None else keep) if c.lower() != text.lower()]
-    rows = pages.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.col(quoted(html_column)).alias("html"))
+    rows = modest(pages).select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.col(quoted(html_column)).alias("html"))
     kinds = "".join(f"k{i} {pages.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

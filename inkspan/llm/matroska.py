@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import quoted, table, written
+from .common import modest, quoted, table, written
 
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 SCALE, ENTRY, NUMBER, KIND, CODEC, AUDIO = 0x2AD7B1, 0xAE, 0xD7, 0x83, 0x86, 0xE1
@@ -319,7 +319,7 @@ def media_column(docs: DataFrame, text: str = "text", media: str = "media") -> D
     one task, and must fit a cell (2 GB).
     """
     keep = [c for c in docs.columns if c.lower() != media.lower()]
-    rows = docs.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    rows = modest(docs).select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     kinds = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

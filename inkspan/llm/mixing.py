@@ -171,7 +171,13 @@ def mix(
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as many times as the mix repeats it."""
+    """The mix itself: every document as many times as the mix repeats it, with the columns of ``docs``.
+
+    Null and empty texts weigh nothing and are taken as often as their source;
+    a null source is a source; a null id is ordered as the empty text; rows
+    that repeat id and size share their fate; an empty table gives no rows; a
+    text of any length is one document.
+    """
     rows = mix(docs, **options)
     n = fresh(rows, "copy")
     # sequence(1, 0) would count down.

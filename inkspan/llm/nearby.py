@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, mark, quoted, release, sorted_lists, table, written
+from .common import components, lean, mark, modest, quoted, release, sorted_lists, table, written
 
 SEED = 42
 #: Posting lists up to PAIRED are paired at once, up to LOCAL in blocks; longer ones are split by further bytes.
@@ -218,12 +218,12 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
         raise ValueError("bits must be 0 to 6: with 7 or more, no byte need be shared")
 
     def met(posted: DataFrame, most: int) -> DataFrame:
-        return posted.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(bits, most), "a long, b long, link boolean")
+        return posted.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(_links(bits, most)), "a long, b long, link boolean")
 
-    first = written(met(distinct.mapInArrow(_postings(bits), "key long, fp long"), LOCAL))
+    first = written(met(distinct.mapInArrow(lean(_postings(bits)), "key long, fp long"), LOCAL))
     found, long = first.filter("link"), first.filter("not link").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if not long.isEmpty():
-        found = found.union(met(long.mapInArrow(_longer(bits), "key long, fp long"), 1 << 62))
+        found = found.union(met(long.mapInArrow(lean(_longer(bits)), "key long, fp long"), 1 << 62))
     return found.select("a", "b")
 
 
@@ -251,14 +251,20 @@ def near_duplicates(
     class is named by its smallest id; an empty table gives no rows; other
     columns are not looked at.
     """
-    kept = docs.select(F.col(quoted(doc_id)).alias("ident"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    return _classed(docs, text, doc_id, shingle, bits).select(
+        F.col("ident").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _classed(docs: DataFrame, text: str, doc_id: str, shingle: int = 3, bits: int = 3) -> DataFrame:
+    """``(ident, source, fp, component_id)`` of every row; ``source`` is its text's xxhash64."""
+    kept = modest(docs).select(F.col(quoted(doc_id)).alias("ident"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    kept = kept.select("ident", F.xxhash64("text").alias("source"), "text")
     kind, since = docs.schema[doc_id].dataType.simpleString(), mark()
-    rows = written(kept.mapInArrow(_fingerprinted(shingle), f"ident {kind}, fp long"))
+    rows = written(kept.mapInArrow(lean(_fingerprinted(shingle)), f"ident {kind}, source long, fp long"))
     named = classes(rows, "ident", "fp", bits)
     release(docs.sparkSession, since, rows, named)
-    return rows.join(named, "fp").select(
-        F.col("ident").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return rows.join(named, "fp").select("ident", "source", "fp", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
@@ -267,23 +273,18 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "
     With ``bits`` (the default) components are those of 64-bit fingerprints;
     with a ``similarity`` those of whole shingle sets, by the same index on
     fingerprints that are wide enough (:mod:`.similar`).  Rows without an id
-    are kept.  Of rows that repeat the smallest id, one stays.
+    are kept.  Of rows that repeat an id and a text one stays; where texts of
+    several components share an id, one of each.
     """
-    if "similarity" in options:
-        from .similar import without_similar
+    from .similar import one_of_each, without_similar
 
+    if "similarity" in options:
         return without_similar(docs, text, doc_id, **options)
     since = mark()
-    ids = near_duplicates(docs, text, doc_id, **options)
-    kept = written(
-        ids.filter(F.col(quoted(doc_id)) == F.col("component_id")).groupBy(F.col(quoted(doc_id)).alias("kept")).count()
-    )
+    rows = _classed(docs, text, doc_id, **options).filter("ident is not null")
+    kept = written(rows.groupBy("component_id", "ident").agg(F.min("source").alias("source")).filter("ident = component_id").select("ident", "source"))
     release(docs.sparkSession, since, kept)
-    cond = F.col(quoted(doc_id)) == F.col("kept")
-    single = docs.join(kept.select("kept"), cond, "left_semi")
-    if not kept.filter("count > 1").isEmpty():
-        single = single.dropDuplicates([doc_id])
-    return single.unionByName(docs.filter(F.col(quoted(doc_id)).isNull()))
+    return one_of_each(docs, kept, text, doc_id)
 
 
 def op9_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:

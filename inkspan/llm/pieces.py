@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import quoted, table
+from .common import lean, modest, quoted, table
 
 #: Where the vocabulary files of public tokenizers are; a parameter of everything here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -33,7 +33,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct chunks a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Chunks that travel as one text to the libraries.
 TOGETHER = 64
 
@@ -279,7 +279,7 @@ def _texts(col: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def _rows(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str]:
-    rows = docs.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    rows = modest(docs).select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     return rows, "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
 
 
@@ -304,7 +304,7 @@ def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL, ids: st
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in range(len(keep))], lists, pa.array(same)], names=[*batch.schema.names[:-1], "ids", "parity"])
 
-    out = rows.mapInArrow(run, kinds + "ids array<int>, parity boolean")
+    out = rows.mapInArrow(lean(run), kinds + "ids array<int>, parity boolean")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(ids), F.col("parity").alias(parity))
 
 
@@ -329,7 +329,7 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "text", model_path: st
             made = [t.decode(errors="replace") if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.string())], names=[*batch.schema.names[:-1], "text"])
 
-    return own.mapInArrow(run, kinds + "text string").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("text").alias(text))
+    return own.mapInArrow(lean(run), kinds + "text string").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("text").alias(text))
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
@@ -355,4 +355,4 @@ def op8_pieces(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> Dat
                     pa.array([t == x.encode() for t, x in zip(back, texts)]), pa.array(same),
                 ], names=["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "text_sha256", "round_trip", "parity"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean, parity boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean, parity boolean")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import bit_filter, held_out, labelled, mark, passing, quoted, release, table, written
+from .common import bit_filter, held_out, labelled, lean, mark, modest, passing, quoted, release, table, written
 
 #: The statistics, in the order of the vector.
 NAMES = (
@@ -95,9 +95,9 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns and the vector ``x`` of each whole text (null as empty)."""
-    rows = docs.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    rows = modest(docs).select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     kinds = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
-    out = rows.mapInArrow(_measured, kinds + "x array<double>")
+    out = rows.mapInArrow(lean(_measured), kinds + "x array<double>")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "x")
 
 
@@ -110,13 +110,13 @@ def measure_labelled(docs: DataFrame, labels: DataFrame, label: str, text: str =
     ids = written(labelled(labels, label, modulus, remainder, doc_id).select(name(F.col("ident")).alias("h")))
     needed = docs.sparkSession.sparkContext.broadcast(bit_filter(ids))  # 16 MB at most
     ident = F.col(quoted(doc_id))
-    rows = docs.filter(ident.isNotNull()).select(name(ident).alias("h"), ident.alias("ident"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    rows = modest(docs).filter(ident.isNotNull()).select(name(ident).alias("h"), ident.alias("ident"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = (batch.take(pa.array(passing(batch.column(0).to_numpy(), needed.value))) for batch in batches)
         yield from _measured(pa.RecordBatch.from_arrays(batch.columns[1:], names=["ident", "text"]) for batch in own if batch.num_rows)
 
-    return rows.mapInArrow(run, f"ident {docs.schema[doc_id].dataType.simpleString()}, x array<double>").withColumnRenamed("ident", doc_id)
+    return rows.mapInArrow(lean(run), f"ident {docs.schema[doc_id].dataType.simpleString()}, x array<double>").withColumnRenamed("ident", doc_id)
 
 
 def _matrix(col: pa.Array, k: int) -> np.ndarray:
@@ -217,7 +217,7 @@ def train(measured: DataFrame, labels: DataFrame, label: str = "quality", doc_id
     # A seeded share of the rows, reduced to class and margin where they lie: 16 bytes a row come to the driver.
     share = min(1.0, 0.95 * line_rows / max(total[:, 0, 0].sum(), 1))
     draw = F.pmod(F.xxhash64(F.col("ident").cast("string"), F.lit(42)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
-    some = rows.filter(draw).select("y", "x").mapInArrow(_margins(model), "y int, m double").limit(line_rows).collect()
+    some = rows.filter(draw).select("y", "x").mapInArrow(lean(_margins(model)), "y int, m double").limit(line_rows).collect()
     if len({r.y for r in some}) == 2:
         beta = logistic(np.array([[r.m / 10] for r in some]), np.array([r.y for r in some], float))
         model.slope, model.bias = max(beta[0], 0.0) / 10, beta[1]
@@ -248,7 +248,7 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     measured = written(measure(docs, [doc_id], text))
     model = train(measured, labels, label, doc_id)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return measured.withColumnRenamed(doc_id, "ident").mapInArrow(_scored(model), f"ident {kind}, score double").withColumnRenamed("ident", doc_id)
+    return measured.withColumnRenamed(doc_id, "ident").mapInArrow(lean(_scored(model)), f"ident {kind}, score double").withColumnRenamed("ident", doc_id)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -272,7 +272,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: s
             if ok:
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(np.concatenate(ok)))
 
-    return rows.mapInArrow(keep, kinds).select([F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return rows.mapInArrow(lean(keep), kinds).select([F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

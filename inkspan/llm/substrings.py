@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import fresh, quoted, table, written
+from .common import fresh, lean, modest, quoted, table, written
 
 ANCHOR = 8
 #: Cells per sketch row: at least, at most (a broadcast of 64 MB), and input bytes for each.  Beyond 4 GB of text
@@ -291,7 +291,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = 35) -> Da
     ``spans`` are pairs of little-endian uint32.  Texts without any are absent.
     """
     spark = docs.sparkSession
-    only = docs.select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    only = modest(docs).select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     size = only.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a scan without Python
     cells = CELLS_LEAST
     while cells < CELLS_MOST and cells * BYTES_A_CELL < size:
@@ -299,7 +299,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = 35) -> Da
     buckets = int(min(max(64, size // BUCKET_BYTES), BUCKETS_MOST))
     flush = FLUSH * max(1, buckets >> 17)  # a bucket's part of a flush is some windows at least
     blocks = (
-        only.mapInArrow(_sketch(cells, window, FLUSH), "block int, once binary, often binary")
+        only.mapInArrow(lean(_sketch(cells, window, FLUSH)), "block int, once binary, often binary")
         .groupBy("block").applyInArrow(_merge, "block int, cells binary")
     )
     merged = bytearray(2 * cells // 8)
@@ -307,13 +307,13 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = 35) -> Da
         merged[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = part
     sketch = spark.sparkContext.broadcast(bytes(merged))
     sent = docs.select(_digest(text).alias("key"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")).mapInArrow(
-        _candidates(sketch, cells, window, buckets, flush), _SENT
+        lean(_candidates(sketch, cells, window, buckets, flush)), _SENT
     )
     answered = sent.groupBy("target").applyInArrow(_group, _SENT)
     spans = answered.groupBy("flush").applyInArrow(_ranges(window), "key binary, spans binary")
     # A text that whole flushes hold has the same ranges in each; one cut over flushes has a part in each.
     parts = spans.groupBy("key").agg(F.collect_set("spans").alias("parts"))
-    return parts.mapInArrow(_united, "key binary, spans binary")
+    return parts.mapInArrow(lean(_united), "key binary, spans binary")
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +324,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = W.utf8(batch.column(0))
         spans = batch.column(1)
-        for i, j in W.slices(off, 1 << 21):
+        for i, j in W.slices(off, 1 << 19):
             w = W.split(data[off[i] : off[j]], off[i : j + 1] - off[i])
             keep = np.ones(len(w.starts), bool)
             part = spans.slice(i, j - i)
@@ -378,7 +378,7 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, keep=
     schema = "n_words long, n_removed long, kept string" + ", untouched boolean" * untouched + "".join(
         f", keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)
     )
-    return rows.mapInArrow(_cleaned, schema).select(
+    return rows.mapInArrow(lean(_cleaned), schema).select(
         *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)],
         F.col("n_words").alias("sub_words"), F.col("n_removed").alias("sub_removed"), F.col("kept").alias("sub_kept"),
     )

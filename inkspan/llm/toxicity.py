@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import bounded, held_out, labelled, quoted, table, written
+from .common import bounded, held_out, labelled, modest, quoted, table, written
 from .quality import logistic
 
 OTHER, INSULT, THREAT, TARGET, NOT, REPORT, END = range(7)
@@ -283,7 +283,7 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     labels of both kinds nothing is learned, and matched seed words decide.
     """
     known = bounded(labelled(labels, label, modulus, remainder, doc_id), sample)
-    whole = docs.select(F.col(quoted(doc_id)).alias("ident"), F.lower(F.coalesce(F.col(quoted(text)), F.lit(""))).alias("text"))
+    whole = modest(docs).select(F.col(quoted(doc_id)).alias("ident"), F.lower(F.coalesce(F.col(quoted(text)), F.lit(""))).alias("text"))
     taught = whole.join(F.broadcast(known), "ident").select("y", "text")  # 16 bytes a row, ``sample`` rows at most
     kind = docs.schema[doc_id].dataType.simpleString()
     measured = written(whole.mapInArrow(_measured(Scorer(lexicon(taught))), f"ident {kind}, x0 double, x1 double, x2 double"))

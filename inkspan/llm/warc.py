@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filter, passing, quoted, table, written
+from .common import bit_filter, modest, passing, quoted, table, written
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -197,7 +197,7 @@ def write_archives(pages: DataFrame, ident: str = "page_id", url: str = "url", p
     makes no archives.  Other columns are not looked at.  A page of any length
     is written whole, by one task; it must fit a cell (2 GB).
     """
-    rows = pages.select(
+    rows = modest(pages).select(
         F.col(quoted(ident)).cast("long").alias("ident"), F.col(quoted(url)).cast("string").alias("url"),
         F.coalesce(F.col(quoted(payload)).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha1("payload"))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from inkspan.llm import similar
+from inkspan.llm import nearby, similar
 from tests.llm.test_llm_sets import SF, alike_sets, docs, edited
 
 
@@ -99,7 +99,7 @@ def test_leaders_follow_lists_over_batches():
     assert got == [(5, 5), (5, 6), (9, 2), (9, 3), (9, 9)]
 
 
-@pytest.mark.parametrize("tile", [similar.TILE, 64])
+@pytest.mark.parametrize("tile", [similar.TILE, 32])
 def test_a_family_of_a_thousand_near_copies_equals_brute_force(spark, monkeypatch, tile):
     """Copies edited on their own, most of them below 0.8 to each other, with and without their base; groups in one block and in many."""
     monkeypatch.setattr(similar, "TILE", tile)
@@ -123,6 +123,18 @@ def test_whole_fixture_table_equals_brute_force(spark):
     assert [got[i] for i in ids] == [ids[c] for c in want]
 
 
+@pytest.mark.parametrize("options", [{"shingle": 5, "similarity": 0.8}, {}])
+def test_texts_that_share_an_id_stay_apart(spark, options):
+    """One row of each group stays, whatever ids are repeated; rows that repeat both stay once, rows without an id all."""
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(5, a), (5, b), (5, b), (7, a), (3, c), (3, c), (2, b), (None, a), (None, a)]
+    kept = nearby.without_near_duplicates(docs(spark, rows), **options).collect()
+    names = {a: "a", b: "b", c: "c"}
+    assert sorted((str(x.doc_id), names[x.text]) for x in kept) == [("2", "b"), ("3", "c"), ("5", "a"), ("None", "a"), ("None", "a")]
+
+
 def test_extra_columns_long_texts_and_a_wrong_similarity(spark):
     long = " ".join(f"v{i}" for i in range(300_000))
     d = docs(spark, [(1, long), (2, long + " more"), (3, long.upper()), (4, None), (5, "")])
