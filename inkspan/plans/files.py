@@ -272,7 +272,7 @@ def text_headings(spark, sf):
     """Levels and texts of headings, closing marks left out; seven marks are no heading."""
     i = (F.col("c_custkey") % 7).cast("int")
     line = F.concat(F.lit("  "), F.repeat(F.lit("#"), i + 1), F.lit(" a # "), F.col("c_custkey").cast("string"), F.lit(" ##  "))
-    return tb.read(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 7 + 1).alias("level"), T.heading_text(line).alias("heading"), T.heading_level(line).alias("marked"))
+    return tb.read(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 7 + 1).alias("level"), T.heading_text(line).alias("heading"), T.heading_level(line).cast("long").alias("marked"))
 
 
 @stated("SELECT c_custkey, CASE i WHEN 0 THEN 'caf' || chr(233) || c_custkey ELSE 'records/n/' || c_custkey END AS key, i = 2 AS short FROM (SELECT c_custkey, c_custkey % 3 AS i FROM customer)")
