@@ -26,10 +26,11 @@ def recency() -> list[Column]:
     return [F.desc_nulls_last("updated"), F.col("parts")]
 
 
-def browse(records: DataFrame, most: int = BROWSED) -> DataFrame:
-    """The ``most`` newest records of each type-folder with their ``place`` (from 1)."""
+def browse(records: DataFrame, most: int | None = BROWSED) -> DataFrame:
+    """The ``most`` newest records (None: all) of each type-folder with their ``place`` (from 1)."""
     w = Window.partitionBy("type_folder").orderBy(*recency())
-    return records.filter("type_folder is not null").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+    rows = records.filter("type_folder is not null").withColumn("place", F.row_number().over(w))
+    return rows if most is None else rows.filter(F.col("place") <= most)
 
 
 def counts(records: DataFrame) -> DataFrame:
@@ -56,18 +57,18 @@ def entry_line() -> Column:
     return F.concat(F.lit("- [["), bare(F.col("path")), F.lit("]] — "), T.collapse_whitespace(F.col("summary")), tags)
 
 
-def folder_index(records: DataFrame, most: int = BROWSED) -> DataFrame:
-    """``(type_folder, text)``: the browse page of each type-folder."""
+def folder_index(records: DataFrame, most: int | None = BROWSED) -> DataFrame:
+    """``(type_folder, text)``: the browse page of each type-folder, or with ``most`` None a page that lists all its records."""
     shown = browse(records, most).select("type_folder", "place", "layer", "type", "updated_raw", entry_line().alias("line"))
     pages = shown.groupBy("type_folder").agg(
-        F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"),  # ``most`` at most
+        F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"),  # ``most`` at most, where it is given
         F.min_by(F.struct("updated_raw", "layer", "type"), "place").alias("top"),
     )
     total = records.filter("type_folder is not null").groupBy("type_folder").agg(F.count("*").alias("n"))
     stamp = F.when(F.col("top.updated_raw").isNotNull(), F.concat(F.lit("updated: "), F.col("top.updated_raw"), F.lit("\n"))).otherwise("")
     head = F.concat(F.lit("---\ntype: index\nscope: type-folder\nfolder: "), F.col("type_folder"), F.lit("\n"), stamp, F.lit("---\n\n# "), F.col("type_folder"), F.lit("\n\n"))
     body = F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
-    more = F.when(F.col("n") > most, F.format_string(
+    more = F.lit("") if most is None else F.when(F.col("n") > most, F.format_string(
         f"\n## More\n\nThis folder has %d files. The {most} most recent are listed above.\nQuery type %s in %s for the complete catalog.\n",
         F.col("n"), F.col("top.type"), F.col("top.layer"))).otherwise("")
     return pages.join(total, "type_folder").select("type_folder", F.concat(head, body, more).alias("text"))
