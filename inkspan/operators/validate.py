@@ -234,9 +234,11 @@ def log_rules(log: DataFrame) -> list[DataFrame]:
     ]
 
 
-def index_rules(records: DataFrame, pages: DataFrame, sidecar: DataFrame) -> list[DataFrame]:
+def index_rules(records: DataFrame, pages: DataFrame, sidecar: DataFrame, most: int | None = BROWSED) -> list[DataFrame]:
     """Browse pages and catalogue lines against the records.
 
+    The page of a folder of more than ``most`` files need not list them all; with None every page must.
+
     ``pages`` is ``(folder, path, scope, says, line, entry, summary)``: a row for each entry of each
     type-folder page, one with a null entry for a page without any.  A folder
     without a page gets one issue and no entry checks.
@@ -250,7 +252,8 @@ def index_rules(records: DataFrame, pages: DataFrame, sidecar: DataFrame) -> lis
     members = records.filter("type_folder is not null").select("type_folder", bare(F.col("path")).alias("node"), T.collapse_whitespace(F.col("summary")).alias("summary"))
     both = entries.join(members, ["type_folder", "node"], "full_outer").join(folders, "type_folder", "left").join(have.select("type_folder", F.col("page").alias("own")), "type_folder")
     out.append(issue(both.filter("summary is null"), ERROR, "INDEX_STALE_ENTRY", F.col("own"), F.concat(F.lit("no file "), F.col("node")), F.col("line"), F.col("node")))
-    out.append(issue(both.filter(F.col("shown").isNull() & (F.col("n") <= BROWSED)), ERROR, "INDEX_MISSING_ENTRY", F.col("own"), F.concat(F.lit("not listed: "), F.col("node")), key=F.col("node")))
+    whole = F.lit(True) if most is None else F.col("n") <= most
+    out.append(issue(both.filter(F.col("shown").isNull() & whole), ERROR, "INDEX_MISSING_ENTRY", F.col("own"), F.concat(F.lit("not listed: "), F.col("node")), key=F.col("node")))
     out.append(issue(both.filter("shown <> summary"), ERROR, "INDEX_SUMMARY_MISMATCH", F.col("own"), F.concat(F.lit("another summary than "), F.col("node"), F.lit("'s")), F.col("line"), F.col("node")))
     # The machine-readable twin: folders (or layers, for loose files) without one, rows gone, rows that differ.
     folder = F.coalesce("type_folder", "layer")
