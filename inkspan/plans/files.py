@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import link, text as T, time as TM
 from ..operators import assets, catalog, emit, extract, graph, merkle, query, search, stats, validate
+from ..shared import written
 from ..sources import store as S
 from ..sources import tables as tb
 from .queries import stated
@@ -27,7 +28,7 @@ _FILES = f"WITH f AS (SELECT *, head || body AS text FROM ({_TEXTS})) "
 
 def markdown(spark, sf) -> DataFrame:
     """The files, described as a store's files are."""
-    rows = spark.sql(f"SELECT path, head || body AS text FROM ({_TEXTS.replace('customer)', '{customer})')})", customer=tb.read(spark, sf, "customer"))
+    rows = spark.sql(f"SELECT path, head || body AS text FROM ({_TEXTS.replace('customer)', '{customer})')})", customer=tb.read(spark, sf, "customer").repartition("c_custkey"))  # files are parsed in as many tasks as a shuffle has, as a store's are
     return S.described(rows.select("path", F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("content")))
 
 
@@ -36,8 +37,16 @@ def records(spark, sf) -> DataFrame:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """``rows`` with their rank in the order in which they come: for operators whose order is the point."""
-    return rows.withColumn("at", F.monotonically_increasing_id()).withColumn("rank", F.row_number().over(Window.orderBy("at"))).drop("at")
+    """``rows`` with their rank in the order in which they come: for operators whose order is the point.
+
+    The rows are written with their partition and their place in it; what ranks
+    a partition begins with follows from one row a partition.
+    """
+    kept = written(rows.withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    sizes = kept.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(F.broadcast(starts), "part").withColumn("rank", F.col("before") + place + 1).drop("at", "part", "before")
 
 
 @stated(_FILES + "SELECT path, 'records' AS layer, 'records/customers' AS type_folder, type, name AS summary, seg || ',n' || n AS tags, '2026-01-02T03:04:05Z' AS created_raw, updated AS updated_raw, "
