@@ -47,11 +47,14 @@ def rule(cond: Column, severity: str, code: str, message: Column | str, key: str
     return F.when(cond, F.struct(*_said(severity, code, F.col("path"), message, line, key)))
 
 
-def flagged(rows: DataFrame, rules: list[Column]) -> DataFrame:
-    """The issues of many rules over one relation, found in one pass."""
+def flagged(rows: DataFrame, rules: list[Column], more: Column | None = None) -> DataFrame:
+    """The issues of many rules over one relation, and those of the array ``more``, found in one pass."""
     if not rules:
         return rows.sparkSession.createDataFrame([], ISSUES)
-    return rows.select(F.explode(F.array_compact(F.array(*rules))).alias("i")).select("i.*")
+    found = F.array_compact(F.array(*rules))
+    if more is not None:
+        found = F.concat(found, F.coalesce(more, F.slice(found, 1, 0)))
+    return rows.select(F.explode(found).alias("i")).select("i.*")
 
 
 def either(parts: list[DataFrame]) -> DataFrame:
@@ -143,8 +146,8 @@ def file_rules(rows: DataFrame, config: Config) -> list[DataFrame]:
         check(text("type").isin(*config.ignored), INFO, "POLICY_IGNORED_TYPE_PRESENT", "the type is ignored by policy", "type")
     for kind, schema in config.schemas.items():
         out += [F.when(good & (text("type") == kind), c) for c in schema_columns(schema)]
-    flow = issue(rows.filter(good).withColumn("k", F.explode("flow")), ERROR, "WIKI_LINK_FLOW_FORM_LIST", F.col("path"), "a list of links in flow form reads as nested lists", key=F.col("k"))
-    return [flagged(rows, out), flow]
+    flow = lambda k: F.struct(*_said(ERROR, "WIKI_LINK_FLOW_FORM_LIST", F.col("path"), "a list of links in flow form reads as nested lists", key=k))
+    return [flagged(rows, out, F.when(good, F.transform("flow", flow)))]
 
 
 def schema_columns(schema: Schema) -> list[Column]:
