@@ -24,8 +24,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents four fifths alike in five-word shingles, the one with the smallest id stays.
 
-    The operator's index with count filtering, on fingerprints that are wide
-    enough for that similarity (three bits of 64 are for closer copies); every
+    SimHash fingerprints of all texts are linked by the operator's index with
+    count filtering at three of 64 bits, which is for close copies; the same
+    index on wider fingerprints adds the pairs that lie farther apart.  Every
     link is verified on whole shingle sets.  Null and empty texts are one
     group, rows without an id all stay, of rows that repeat an id one.
     """

@@ -270,9 +270,9 @@ def _classed(docs: DataFrame, text: str, doc_id: str, shingle: int = 3, bits: in
 def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` with one row left of each component: the one with the smallest id.
 
-    With ``bits`` (the default) components are those of 64-bit fingerprints;
-    with a ``similarity`` those of whole shingle sets, by the same index on
-    fingerprints that are wide enough (:mod:`.similar`).  Rows without an id
+    Components are those of 64-bit fingerprints at ``bits`` differing bits; with
+    a ``similarity`` each pair that these and, where 64 bits are too few, wider
+    ones find is verified on whole shingle sets (:mod:`.similar`).  Rows without an id
     are kept.  Of rows that repeat an id and a text one stays; where texts of
     several components share an id, one of each.
     """

@@ -1,9 +1,11 @@
-"""Near-duplicates by Jaccard similarity of word shingles: the near-dedup operator's index on wide fingerprints.
+"""Near-duplicates by SimHash, verified by the Jaccard similarity of whole shingle sets, none left out.
 
-Documents that are four fifths alike in five-word shingles lie about ten bits
-apart in 64, beyond what any byte of a 64-bit fingerprint guarantees.  So the
-same method runs on a fingerprint with as many positions as such a pair can
-differ in, and more:
+Every text gets its 64-bit SimHash fingerprint; the near-dedup operator's
+index (:func:`.nearby.links`) gives those that differ in few bits, and the
+pairs are verified.  But documents that are four fifths alike in five-word
+shingles lie about ten bits apart in 64, beyond what any byte of such a
+fingerprint guarantees.  So the same index follows on a fingerprint with as
+many positions as such a pair can differ in, and more:
 
 1. A set's shingles fall by hash into the positions of its size level; the
    value at a position is a hash of the shingles there.  Sets that differ in
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import nearby
 from . import words as W
 from .common import bit_filter, components, lean, mark, modest, passing, quoted, release, sorted_lists, written
 
@@ -176,7 +179,8 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, column: int = 0):
 
 
 def _described(k: int, similarity: float):
-    """(ident, text hash, text) to sizes, parities and index keys, these at the first place where a task meets a set."""
+    """(ident, text hash, text) to SimHash fingerprints, sizes, parities and index keys, these at the first place where a
+    task meets a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -188,9 +192,11 @@ def _described(k: int, similarity: float):
             many[own] = np.bincount(row, minlength=len(own))
             key = pa.array(key[np.argsort(row, kind="stable")].view(np.int64))
             keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), key)
+            data, off = W.utf8(batch.column(2))
+            fp = pa.array(nearby.fingerprints(data[off[i] : off[j]], off[i : j + 1] - off[i], k).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(node), pa.array(n), pa.array(parities(h, first), pa.binary()), keys],
-                names=["ident", "source", "node", "n", "parities", "keys"],
+                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(node), pa.array(n), fp, pa.array(parities(h, first), pa.binary()), keys],
+                names=["ident", "source", "node", "n", "fp", "parities", "keys"],
             )
 
     return run
@@ -408,6 +414,17 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, simi
     return written(_sides(near, sets).mapInArrow(lean(_alike(similarity)), "a long, b long"))
 
 
+def _hashed_alike(nodes: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b, tally) of sets whose SimHash fingerprints differ in ``bits`` bits or fewer: links that connect all of
+    these, by the near-dedup operator's index of distinct fingerprints; those of equal ones lead to one of them."""
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("one")))
+    equal = nodes.select("fp", F.col("node").alias("b")).join(prints, "fp").filter("one <> b").select(F.col("one").alias("a"), "b")
+    near = nearby.links(prints.select("fp"), bits)
+    for x in "ab":
+        near = near.join(prints.select(F.col("fp").alias(x), F.col("one").alias(f"one_{x}")), x)
+    return equal.union(near.select(F.least("one_a", "one_b"), F.greatest("one_a", "one_b"))).withColumn("tally", F.lit(LEAST))
+
+
 def _across(led: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float, nearest: bool) -> DataFrame:
     """Pairs of sets that met one leader, lie in different components and may be similar."""
     rooted = led.join(roots, "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root"))
@@ -429,7 +446,7 @@ def _across(led: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: floa
     return written(found.distinct().withColumn("tally", F.lit(LEAST)))
 
 
-def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, bits: int = 3) -> DataFrame:
     """``(ident, component_id)`` for every row: the smallest id reachable over links of ``similarity`` or more.
 
     Two texts are alike by the Jaccard similarity of their sets of lower-cased
@@ -439,12 +456,13 @@ def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rule, as a class is named by its smallest id; rows without an id link
     others and share one row of a null ``ident``; a text of any length is one
     set, held by one task; an empty table gives no rows; other columns are not
-    looked at.  ``similarity`` must be 0.7 to 1.
+    looked at.  ``similarity`` must be 0.7 to 1.  Pairs are found by SimHash at
+    ``bits`` differing bits and by the wide index, and all are verified.
     """
-    return _classed(docs, text, doc_id, shingle, similarity).groupBy("ident").agg(F.min("component_id").alias("component_id"))
+    return _classed(docs, text, doc_id, shingle, similarity, bits).groupBy("ident").agg(F.min("component_id").alias("component_id"))
 
 
-def _classed(docs: DataFrame, text: str, doc_id: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _classed(docs: DataFrame, text: str, doc_id: str, shingle: int = 5, similarity: float = 0.8, bits: int = 3) -> DataFrame:
     """``(ident, source, component_id)`` of every row; ``source`` is its text's xxhash64."""
     if not 0.7 <= similarity <= 1:
         raise ValueError("similarity must be 0.7 to 1: below, a fingerprint's positions guarantee nothing")
@@ -452,9 +470,10 @@ def _classed(docs: DataFrame, text: str, doc_id: str, shingle: int = 5, similari
     kept = kept.select("ident", F.xxhash64("text").alias("source"), "text")
     texts = kept.select("source", "text")
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = written(kept.mapInArrow(lean(_described(shingle, similarity)), f"ident {kind}, source long, node long, n long, parities binary, keys array<long>"))
-    ids = rows.groupBy("node").agg(F.min("ident").alias("least"), F.min(F.struct("source", "n", "parities")).alias("p"))
+    rows = written(kept.mapInArrow(lean(_described(shingle, similarity)), f"ident {kind}, source long, node long, n long, fp long, parities binary, keys array<long>"))
+    ids = rows.groupBy("node").agg(F.min("ident").alias("least"), F.min(F.struct("source", "n", "parities", "fp")).alias("p"))
     nodes = written(ids.select("node", "least", "p.*"))
+    hashed = written(_hashed_alike(nodes, bits))
     listed = rows.select(F.explode("keys").alias("key"), "node")
     rows = rows.select("ident", "source", "node")
     met = written(listed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_met), "key long, a long, b long, tally int"))
@@ -462,7 +481,7 @@ def _classed(docs: DataFrame, text: str, doc_id: str, shingle: int = 5, similari
     long = long.join(long.groupBy("node").count(), "node").repartition("key").sortWithinPartitions("key", F.desc("count"), "node")
     led = written(long.select("key", "node").mapInArrow(lean(_led), "leader long, node long").distinct())
     pairs = led.filter("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"), F.lit(LEAST).alias("tally"))
-    edges = _verified(met.filter("tally > 0").select("a", "b", "tally").union(pairs), nodes, texts, shingle, similarity)
+    edges = _verified(hashed.union(met.filter("tally > 0").select("a", "b", "tally")).union(pairs), nodes, texts, shingle, similarity)
     roots = components(edges)
     for nearest in (True, False):
         across = _across(led, roots, nodes, similarity, nearest)

@@ -144,3 +144,40 @@ def test_extra_columns_long_texts_and_a_wrong_similarity(spark):
     assert similar.without_similar(d).columns == d.columns
     with pytest.raises(ValueError):
         similar.similar_classes(d, similarity=0.5)
+
+
+def test_the_stage_links_copies_by_simhash_and_verifies_them(spark, monkeypatch):
+    """The stage's fingerprints are those of all texts, its links those at three bits; of these only sets at 0.8 are one class."""
+    import corpus_pipeline
+
+    found, own, verify = [], nearby.links, similar._verified
+
+    def links(distinct, bits=3):
+        out = own(distinct, bits)
+        found.append((bits, {x.fp for x in distinct.collect()}, {(min(x), max(x)) for x in out.collect()}))
+        return out
+
+    def verified(pairs, *rest):
+        tested.update((min(x.a, x.b), max(x.a, x.b)) for x in pairs.collect())
+        return verify(pairs, *rest)
+
+    tested = set()
+    monkeypatch.setattr(nearby, "links", links)
+    monkeypatch.setattr(similar, "_verified", verified)
+    r = random.Random(12)
+    texts = []
+    for _ in range(20):
+        base = [f"w{r.randrange(10**9)}" for _ in range(1500)]
+        texts += [" ".join(base), " ".join([*base[:-1], "other"])]
+    texts += ["a b c d e f g " * 200, "a b c d e f g " * 200 + "h i j k l m n o p q"]  # much alike by SimHash, far apart as sets
+    off = np.append(0, np.cumsum([len(t) for t in texts]))
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    fp = nearby.fingerprints(data, off, 5).view(np.int64).tolist()
+    node = [n for _, _, _, _, _, own_nodes in similar._sets(iter([pa.record_batch([pa.array(texts)], names=["text"])]), 5) for n in own_nodes.tolist()]
+    apart = [((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(fp[::2], fp[1::2])]
+    kept = {x.doc_id for x in corpus_pipeline.deduplicate(spark, docs(spark, list(enumerate(texts))), SF).collect()}
+    (bits, seen, pairs), = found
+    assert bits == 3 and seen == set(fp)
+    assert {(min(a, b), max(a, b)) for a, b, n in zip(fp[::2], fp[1::2], apart) if 0 < n <= 3} <= pairs and sum(n <= 3 for n in apart) > 10
+    assert {(min(a, b), max(a, b)) for a, b, n in zip(node[::2], node[1::2], apart) if n <= 3} <= tested
+    assert kept == set(alike_sets(texts)) and apart[-1] <= 3 and {40, 41} <= kept
